@@ -32,9 +32,13 @@ ATTRIBUTE_REGEX = r"""(?s)\s+[^\s=/>"']+\s*=\s*(?:"[^"]*+"|'[^']*+'|[^\s>"']++)"
 _NUMERIC_REF = r"(?i)&#(?:x[0-9a-f]{1,6}|[0-9]{1,7});"
 _NAMED_REFS = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
 
-# A token that is not raw text has at most this role in the tree: opens (+1), closes (-1) or neither.
-_PER_FILE = W.partitionBy("file_id").orderBy("tok_idx")
-_BEFORE = _PER_FILE.rowsBetween(W.unboundedPreceding, -1)
+
+def _per_file():
+    return W.partitionBy("file_id").orderBy("tok_idx")
+
+
+def _before():
+    return _per_file().rowsBetween(W.unboundedPreceding, -1)
 
 
 def _unescape(value: Column) -> Column:
@@ -167,7 +171,7 @@ def markup_tokens(documents: DataFrame) -> DataFrame:
 
 def with_offsets(tokens: DataFrame) -> DataFrame:
     """Add ``start``, the byte position of each token."""
-    spent = F.sum(F.length("gap") + F.coalesce(F.length("token"), F.lit(0))).over(_BEFORE)
+    spent = F.sum(F.length("gap") + F.coalesce(F.length("token"), F.lit(0))).over(_before())
     return tokens.withColumn("start", (F.coalesce(spent, F.lit(0)) + F.length("gap")).cast("bigint"))
 
 
@@ -183,14 +187,14 @@ def with_skips(tokens: DataFrame, html: bool = True) -> DataFrame:
     step = F.when((F.col("kind") == "start") & bearing, 1).when((F.col("kind") == "end") & bearing, -1).otherwise(0)
     dangerous = low.isin(*[r[0] for r in rules.MARKUP_ELEMENTS])
     rows = tokens.withColumn("_step", step).withColumn(
-        "depth", F.coalesce(F.sum("_step").over(_BEFORE), F.lit(0))
+        "depth", F.coalesce(F.sum("_step").over(_before()), F.lit(0))
     )
     rows = rows.withColumn("_level", F.col("depth") + F.when(F.col("_step") == -1, -1).otherwise(0))
     on_level = W.partitionBy("file_id", "_level", F.col("_step") == 0).orderBy("tok_idx")
     opens = (F.col("_step") == 1) & dangerous
     closes = (F.col("_step") == -1) & F.coalesce(F.lag(opens).over(on_level), F.lit(False))
     rows = rows.withColumn("_open", F.when(opens, 1).when(closes, -1).otherwise(0))
-    inside = F.coalesce(F.sum("_open").over(_BEFORE), F.lit(0)) > 0
+    inside = F.coalesce(F.sum("_open").over(_before()), F.lit(0)) > 0
     return (
         rows.withColumn("inside", inside)
         .withColumn("dropped", ~F.col("inside") & F.col("kind").isin("start", "empty", "raw") & dangerous)
