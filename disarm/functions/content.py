@@ -32,48 +32,29 @@ def uint_le(content: Column, offset: int, width: int) -> Column:
     return F.conv(F.concat(*digits), 16, 10).cast("bigint")
 
 
-def pattern_hits(content: Column, regex: str, longest: int) -> Column:
-    """Every match of ``regex`` with its byte offset: ``ARRAY<STRUCT<offset: BIGINT, hit: STRING>>``.
+def pattern_hits(column: str, regex: str, longest: int) -> Column:
+    """Every match of ``regex`` in a binary column, with its byte offset: ``ARRAY<STRUCT<offset: BIGINT, hit: STRING>>``.
 
     The content is cut into short blocks that overlap by the longest match, so the work is linear
     in the content and every intermediate array is short. A match must never start inside another.
     """
-    step, overlap = SCAN_BLOCK, longest + 1
-    pattern = F.lit(regex)
-    size = F.octet_length(content)
-    starts = F.when(size > 0, F.sequence(F.lit(0).cast("bigint"), (size - 1).cast("bigint"), F.lit(step).cast("bigint")))
-    blocks = F.transform(
-        starts,
-        lambda s: F.struct(s.alias("at"), latin1(F.substring(content, (s + 1).cast("int"), F.lit(step + overlap))).alias("text")),
-    )
-    blocks = F.filter(blocks, lambda b: F.rlike(b["text"], pattern))
-    cut = F.transform(
-        blocks,
-        lambda b: F.struct(
-            b["at"].alias("at"),
-            F.regexp_extract_all(b["text"], pattern, F.lit(0)).alias("hits"),
-            F.split(b["text"], regex, -1).alias("gaps"),
-        ),
-    )
-
-    def lengths(parts: Column, count: Column) -> Column:
-        return F.aggregate(F.slice(parts, F.lit(1), count), F.lit(0).cast("bigint"), lambda acc, p: acc + F.length(p))
-
-    located = F.flatten(
-        F.transform(
-            cut,
-            lambda b: F.filter(
-                F.transform(
-                    b["hits"],
-                    lambda h, i: F.struct(
-                        (b["at"] + lengths(b["gaps"], i + 1) + lengths(b["hits"], i)).alias("offset"), h.alias("hit")
-                    ),
-                ),
-                lambda x: x["offset"] < b["at"] + step,
-            ),
-        )
-    )
-    return F.coalesce(located, F.array().cast("array<struct<offset: bigint, hit: string>>"))
+    pattern = f"r'{regex}'"
+    blocks = f"""
+        transform(
+          CASE WHEN octet_length({column}) > 0 THEN sequence(0L, octet_length({column}) - 1L, {SCAN_BLOCK}L) END,
+          s -> struct(s AS at, decode(substring({column}, int(s) + 1, {SCAN_BLOCK + longest + 1}), 'ISO-8859-1') AS text))"""
+    cut = f"""
+        transform(filter({blocks}, b -> rlike(b.text, {pattern})),
+          b -> struct(b.at AS at, regexp_extract_all(b.text, {pattern}, 0) AS hits, split(b.text, {pattern}, -1) AS gaps))"""
+    # position of a hit in its block: the gaps up to it and the hits before it
+    located = f"""
+        flatten(transform({cut}, b -> filter(
+          transform(b.hits, (h, i) -> struct(
+            b.at + aggregate(slice(b.gaps, 1, i + 1), 0L, (acc, g) -> acc + length(g))
+                 + aggregate(slice(b.hits, 1, i), 0L, (acc, g) -> acc + length(g)) AS offset,
+            h AS hit)),
+          x -> x.offset < b.at + {SCAN_BLOCK})))"""
+    return F.expr(f"coalesce({located}, CAST(array() AS ARRAY<STRUCT<offset: BIGINT, hit: STRING>>))")
 
 
 def apply_spans(content: Column, spans: Column) -> Column:

@@ -46,17 +46,42 @@ def path_finding(name: Column, office: bool = False) -> Column:
     return _cases(branches)
 
 
+def is_unsafe_path(name: Column, office: bool = False) -> Column:
+    """Whether any path rule hits."""
+    size = F.octet_length(name)
+    return _any(
+        size > arg if test == "longer" else getattr(F, test)(name, F.lit(arg))
+        for test, arg, in_office, *_ in rules.ENTRY_PATH_RULES
+        if in_office or not office
+    )
+
+
+def _part_tests(name: Column) -> list[Column]:
+    base = F.lower(base_name(name))
+    whole = F.lower(name)
+    tests = []
+    for on, prefix, suffixes, *_ in rules.OFFICE_PART_RULES:
+        subject = base if on == "base" else whole
+        if prefix == "=":
+            tests.append(subject == suffixes[0])
+        else:
+            ends = _any(F.endswith(subject, F.lit(s)) for s in suffixes)
+            tests.append(F.startswith(subject, F.lit(prefix)) & ends if prefix else ends)
+    return tests
+
+
+def is_dangerous_part(name: Column) -> Column:
+    """Whether any part rule hits."""
+    return _any(_part_tests(name))
+
+
 def part_finding(name: Column) -> Column:
     """Finding struct for a dangerous Office part name (first rule that hits), or null."""
     base = base_name(name)
-    branches = []
-    for on, prefix, suffixes, kind, severity, text in rules.OFFICE_PART_RULES:
-        subject = F.lower(base if on == "base" else name)
-        if prefix == "=":
-            hit = subject == suffixes[0]
-        else:
-            hit = F.startswith(subject, F.lit(prefix)) & _any(F.endswith(subject, F.lit(s)) for s in suffixes)
-        branches.append((hit, finding(kind, name, F.format_string(text, base) if "%s" in text else text, severity)))
+    branches = [
+        (hit, finding(kind, name, F.format_string(text, base) if "%s" in text else text, severity))
+        for hit, (_, _, _, kind, severity, text) in zip(_part_tests(name), rules.OFFICE_PART_RULES)
+    ]
     return _cases(branches)
 
 
@@ -103,7 +128,7 @@ def rels_external_refs(parts: DataFrame) -> DataFrame:
 
 def oversized_entries(entries: DataFrame) -> DataFrame:
     """Entries over the per-entry cap that no path rule has already dropped."""
-    kept = entries.where(path_finding(F.col("name")).isNull() & (F.col("size") > rules.MAX_ENTRY_BYTES))
+    kept = entries.where(~is_unsafe_path(F.col("name")) & (F.col("size") > rules.MAX_ENTRY_BYTES))
     return kept.select(
         "archive_id", "entry_idx", F.lit("oversized_entry").alias("type"), base_name(F.col("name")).alias("location"),
         F.lit("medium").alias("severity"),
@@ -112,9 +137,9 @@ def oversized_entries(entries: DataFrame) -> DataFrame:
 
 def counted_size(office: bool = False) -> Column:
     """Bytes an entry adds to the decompressed total: nothing if it is dropped or oversized."""
-    dropped = path_finding(F.col("name"), office).isNotNull()
+    dropped = is_unsafe_path(F.col("name"), office)
     if office:
-        dropped = dropped | part_finding(F.col("name")).isNotNull()
+        dropped = dropped | is_dangerous_part(F.col("name"))
     return F.when(~dropped & (F.col("size") <= rules.MAX_ENTRY_BYTES), F.col("size")).otherwise(0)
 
 
@@ -156,7 +181,7 @@ def archive_terminal(entries: DataFrame) -> DataFrame:
     ``entries`` also has ``read_error BOOLEAN`` and ``member_status STRING``. A bomb or a blocked
     member blocks and keeps the findings up to it; an entry that cannot be read is an error without findings.
     """
-    kept = path_finding(F.col("name")).isNull() & (F.col("size") <= rules.MAX_ENTRY_BYTES)
+    kept = ~F.col("dropped") & (F.col("size") <= rules.MAX_ENTRY_BYTES)
     event = (
         F.when(kept & F.col("read_error"), "read_error")
         .when(kept & (F.col("running") > rules.MAX_ARCHIVE_BYTES), "zip_bomb")
@@ -164,8 +189,9 @@ def archive_terminal(entries: DataFrame) -> DataFrame:
     )
     # an entry that cannot be read adds nothing to the total
     readable = entries.withColumn("size", F.when(F.col("read_error"), 0).otherwise(F.col("size")))
-    rows = running_totals(readable).select(
-        "archive_id", "entry_idx", event.alias("event"), path_finding(F.col("name")).isNotNull().alias("dropped"),
+    totals = running_totals(readable).withColumn("dropped", is_unsafe_path(F.col("name")))
+    rows = totals.select(
+        "archive_id", "entry_idx", event.alias("event"), "dropped",
         ((F.col("member_status") == "SANITIZED") & kept).alias("member_sanitized"),
     )
     first = rows.groupBy("archive_id").agg(

@@ -39,12 +39,8 @@ def magic_type(content: Column) -> Column:
 
 
 def extension_type(filename: Column) -> Column:
-    ext = extension(filename)
-    return reduce(
-        lambda chain, item: chain.when(ext == item[0], item[1]),
-        list(rules.EXTENSION_TYPES.items())[1:],
-        F.when(ext == "pdf", "pdf"),
-    ).otherwise("unknown")
+    pairs = ", ".join(f"'{ext}', '{kind}'" for ext, kind in rules.EXTENSION_TYPES.items())
+    return F.coalesce(F.expr(f"map({pairs})")[extension(filename)], F.lit("unknown"))
 
 
 def package_type(listing: Column) -> Column:
@@ -60,9 +56,16 @@ def package_type(listing: Column) -> Column:
     return F.when(listing.isNotNull(), F.coalesce(F.get(F.array_compact(kinds), F.lit(0)), F.lit("zip")))
 
 
+def may_be_container(content: Column, filename: Column) -> Column:
+    """Files worth opening as a ZIP container: by magic, or by name where the bytes say nothing."""
+    by_name = magic_type(content).isNull() & extension_type(filename).isin("zip", *rules.OFFICE_TYPES)
+    return is_pk(content) | by_name
+
+
 def with_listing(files: DataFrame) -> DataFrame:
     """Add ``listing``: the entry names of ZIP containers, null for everything else."""
-    return files.withColumn("listing", zip_listing(F.when(is_pk(F.col("content")), F.col("content"))))
+    content = F.col("content")
+    return files.withColumn("listing", zip_listing(F.when(may_be_container(content, F.col("filename")), content)))
 
 
 def type_of(content: Column, filename: Column, listing: Column) -> Column:

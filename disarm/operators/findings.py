@@ -16,10 +16,8 @@ def finding(kind, location, description, severity) -> Column:
         return value if isinstance(value, Column) else F.lit(value)
 
     return F.struct(
-        col(kind).cast("string").alias("type"),
-        col(location).cast("string").alias("location"),
-        col(description).cast("string").alias("description"),
-        col(severity).cast("string").alias("severity"),
+        col(kind).alias("type"), col(location).alias("location"),
+        col(description).alias("description"), col(severity).alias("severity"),
     )
 
 

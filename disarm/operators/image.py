@@ -18,13 +18,23 @@ def _text(number: Column) -> Column:
     return number.cast("string")
 
 
-def jpeg_findings(marker: Column, payload: Column, offset: Column) -> Column:
-    """Findings of one JPEG segment, as an array (EXIF with a position gives two)."""
-    at = _text(offset)
+def jpeg_rule(marker: Column, payload: Column) -> Column:
+    """Which rule a JPEG segment hits: ``exif_gps``, ``exif``, ``xmp``, ``app``, ``comment``, or null."""
     is_exif = (F.octet_length(payload) >= 6) & F.startswith(payload, binary(b"Exif"))
     has_gps = F.contains(payload, binary(b"\x88\x25")) | F.contains(payload, binary(b"\x25\x88"))
     is_xmp = (F.octet_length(payload) >= 29) & F.contains(payload, binary(rules.XMP_NAMESPACE.encode()))
-    number = F.substring(marker, 4, 2).cast("int")
+    is_app = F.startswith(marker, F.lit("APP")) & ~marker.isin("APP0", "APP1")
+    return (
+        F.when((marker == "APP1") & is_exif, F.when(has_gps, "exif_gps").otherwise("exif"))
+        .when((marker == "APP1") & is_xmp, "xmp")
+        .when(is_app, "app")
+        .when(marker == "COM", "comment")
+    )
+
+
+def jpeg_findings(marker: Column, rule: Column, offset: Column) -> Column:
+    """Findings of one JPEG segment, as an array (EXIF with a position gives two)."""
+    at = _text(offset)
     exif = finding(
         "exif", F.concat(F.lit("APP1 marker at offset "), at),
         "EXIF metadata stripped (may contain GPS, device info, timestamps)", "medium",
@@ -39,11 +49,11 @@ def jpeg_findings(marker: Column, payload: Column, offset: Column) -> Column:
     )
     comment = finding("comment", F.concat(F.lit("COM marker at offset "), at), "JPEG comment stripped", "low")
     return (
-        F.when((marker == "APP1") & is_exif & has_gps, F.array(exif, gps))
-        .when((marker == "APP1") & is_exif, F.array(exif))
-        .when((marker == "APP1") & is_xmp, F.array(xmp))
-        .when(F.startswith(marker, F.lit("APP")) & (number >= 2), F.array(app))
-        .when(marker == "COM", F.array(comment))
+        F.when(rule == "exif_gps", F.array(exif, gps))
+        .when(rule == "exif", F.array(exif))
+        .when(rule == "xmp", F.array(xmp))
+        .when(rule == "app", F.array(app))
+        .when(rule == "comment", F.array(comment))
     )
 
 
@@ -58,7 +68,11 @@ def png_finding(chunk: Column, offset: Column) -> Column:
     return reduce(lambda c, r: c.when(chunk == r[0], of(r)), rest, F.when(chunk == first[0], of(first)))
 
 
-def gif_findings(content: Column) -> Column:
+def gif_hits(column: str) -> Column:
+    return pattern_hits(column, GIF_EXTENSION_REGEX, 2)
+
+
+def gif_findings(content: Column, hits: Column) -> Column:
     """Comment and application extensions, found by their two lead bytes anywhere past the header."""
     size = F.octet_length(content)
 
@@ -77,8 +91,7 @@ def gif_findings(content: Column) -> Column:
             ),
         )
 
-    hits = F.filter(pattern_hits(content, GIF_EXTENSION_REGEX, 2), lambda h: h["offset"] >= 13)
-    return F.array_compact(F.transform(hits, one))
+    return F.array_compact(F.transform(F.filter(hits, lambda h: h["offset"] >= 13), one))
 
 
 # --- operators on a table of segments ------------------------------------------------------------
@@ -86,7 +99,7 @@ def gif_findings(content: Column) -> Column:
 
 def jpeg_segment_rules(segments: DataFrame) -> DataFrame:
     """``(file_id, seg_idx, marker, offset, payload)`` rows → one row per finding."""
-    found = jpeg_findings(F.col("marker"), F.col("payload"), F.col("offset"))
+    found = jpeg_findings(F.col("marker"), jpeg_rule(F.col("marker"), F.col("payload")), F.col("offset"))
     return segments.select("file_id", "seg_idx", F.explode(found).alias("f")).select("file_id", "seg_idx", "f.*")
 
 
@@ -99,7 +112,7 @@ def png_chunk_rules(segments: DataFrame) -> DataFrame:
 
 def gif_extension_rules(files: DataFrame) -> DataFrame:
     """Whole GIF files → one row per extension found."""
-    return files.select("file_id", F.posexplode(gif_findings(F.col("content"))).alias("seq", "f")).select(
+    return files.select("file_id", F.posexplode(gif_findings(F.col("content"), gif_hits("content"))).alias("seq", "f")).select(
         "file_id", "seq", "f.*"
     )
 
@@ -153,43 +166,45 @@ def is_whole(file_type: Column, segments: Column) -> Column:
     )
 
 
-def segment_findings(content: Column, file_type: Column, segments: Column) -> Column:
-    def jpeg(s: Column) -> Column:
+def with_rules(content: Column, file_type: Column, segments: Column) -> Column:
+    """Segments with ``rule``: the JPEG rule hit, the name of a metadata chunk or block, or null."""
+
+    def rule(s: Column) -> Column:
         payload = F.substring(content, (s["offset"] + 5).cast("int"), (s["length"] - 4).cast("int"))
-        return F.coalesce(
-            jpeg_findings(s["marker"], payload, s["offset"]),
-            F.array().cast("array<struct<type: string, location: string, description: string, severity: string>>"),
+        return (
+            F.when(file_type == "jpeg", jpeg_rule(s["marker"], payload))
+            .when((file_type == "png") & s["marker"].isin(*[c[0] for c in rules.PNG_CHUNKS]), s["marker"])
+            .when((file_type == "gif") & s["marker"].isin("COMMENT", "APPLICATION"), s["marker"])
         )
 
-    return (
-        F.when(file_type == "jpeg", F.flatten(F.transform(segments, jpeg)))
-        .when(file_type == "png", F.array_compact(F.transform(segments, lambda s: png_finding(s["marker"], s["offset"]))))
-        .otherwise(gif_findings(content))
+    return F.transform(
+        segments,
+        lambda s: F.struct(s["marker"].alias("marker"), s["offset"].alias("offset"), s["length"].alias("length"), rule(s).alias("rule")),
     )
 
 
-def metadata_spans(content: Column, file_type: Column, segments: Column) -> Column:
-    """Byte spans to cut: flagged segments and whatever follows the end of the image."""
+def segment_findings(content: Column, file_type: Column, ruled: Column, hits: Column) -> Column:
+    """Findings of one image from its ruled segments; a GIF's come from the scan for lead bytes."""
+    flagged = F.filter(ruled, lambda s: s["rule"].isNotNull())
+    return (
+        F.when(file_type == "jpeg", F.flatten(F.transform(flagged, lambda s: jpeg_findings(s["marker"], s["rule"], s["offset"]))))
+        .when(file_type == "png", F.transform(flagged, lambda s: png_finding(s["marker"], s["offset"])))
+        .otherwise(gif_findings(content, hits))
+    )
 
-    def flagged(s: Column) -> Column:
-        payload = F.substring(content, (s["offset"] + 5).cast("int"), (s["length"] - 4).cast("int"))
-        return (
-            (s["marker"] == "TRAILER")
-            | ((file_type == "jpeg") & jpeg_findings(s["marker"], payload, s["offset"]).isNotNull())
-            | ((file_type == "png") & s["marker"].isin(*[c[0] for c in rules.PNG_CHUNKS]))
-            | ((file_type == "gif") & s["marker"].isin("COMMENT", "APPLICATION"))
-        )
 
-    trailer = F.get(F.filter(segments, lambda s: s["marker"] == "TRAILER"), F.lit(0))["offset"]
+def metadata_spans(ruled: Column) -> Column:
+    """Byte spans to cut: flagged segments and whatever follows the end of the image."""
+    trailer = F.get(F.filter(ruled, lambda s: s["marker"] == "TRAILER"), F.lit(0))["offset"]
+    cut = F.filter(
+        ruled,
+        lambda s: (s["marker"] == "TRAILER") | (s["rule"].isNotNull() & (trailer.isNull() | (s["offset"] < trailer))),
+    )
     return F.transform(
-        F.filter(
-            segments,
-            lambda s: flagged(s) & (trailer.isNull() | (s["marker"] == "TRAILER") | (s["offset"] < trailer)),
-        ),
-        lambda s: F.struct(s["offset"].alias("start"), s["length"].alias("len"), binary(b"").alias("replacement")),
+        cut, lambda s: F.struct(s["offset"].alias("start"), s["length"].alias("len"), binary(b"").alias("replacement"))
     )
 
 
-def strip_segments(content: Column, file_type: Column, segments: Column) -> Column:
+def strip_segments(content: Column, ruled: Column) -> Column:
     """The image without its metadata; pixels are left as they are."""
-    return apply_spans(content, metadata_spans(content, file_type, segments))
+    return apply_spans(content, metadata_spans(ruled))

@@ -26,23 +26,19 @@ def _by_name(hit: Column, field: int) -> Column:
     return F.expr(f"map({pairs})")[hit]
 
 
-def name_hits(content: Column) -> Column:
-    return pattern_hits(content, NAMES_REGEX, _LONGEST)
+def name_hits(column: str) -> Column:
+    """All hits in one scan: the named patterns, and ``/AA`` where it is a dictionary key."""
+    return pattern_hits(column, f"{NAMES_REGEX}|{AA_REGEX}", _LONGEST)
 
 
-def aa_hits(content: Column) -> Column:
-    return pattern_hits(content, AA_REGEX, 4)
+def _is_aa(hit: Column) -> Column:
+    return hit["hit"] == rules.PDF_AA[0]
 
 
-def is_active(content: Column) -> Column:
-    """Cheap test that lets clean files skip extraction and masking."""
-    return F.rlike(latin1(content), F.lit(f"{NAMES_REGEX}|{AA_REGEX}"))
-
-
-def findings_of(content: Column) -> Column:
+def findings_of(hits: Column) -> Column:
     """All findings of one file: named patterns by offset, then additional-action keys by offset."""
     named = F.transform(
-        name_hits(content),
+        F.filter(hits, lambda h: ~_is_aa(h)),
         lambda h: finding(
             _by_name(h["hit"], 1),
             F.concat(F.lit('byte pattern "'), h["hit"], F.lit('" at offset '), h["offset"].cast("string")),
@@ -52,7 +48,7 @@ def findings_of(content: Column) -> Column:
     )
     _, kind, severity, text = rules.PDF_AA
     extra = F.transform(
-        aa_hits(content),
+        F.filter(hits, _is_aa),
         lambda h: finding(kind, F.concat(F.lit("byte offset "), h["offset"].cast("string")), text, severity),
     )
     return F.concat(named, extra)
@@ -70,7 +66,7 @@ def mask(content: Column) -> Column:
 
 def pdf_findings(files: DataFrame) -> DataFrame:
     """Rows ``(file_id, offset, hit, type, severity)`` for the named patterns."""
-    hits = files.select("file_id", F.explode(name_hits(F.col("content"))).alias("h"))
+    hits = files.select("file_id", F.explode(pattern_hits("content", NAMES_REGEX, _LONGEST)).alias("h"))
     return hits.select(
         "file_id", "h.offset", "h.hit",
         _by_name(F.col("h.hit"), 1).alias("type"), _by_name(F.col("h.hit"), 2).alias("severity"),
@@ -79,14 +75,16 @@ def pdf_findings(files: DataFrame) -> DataFrame:
 
 def pdf_aa_findings(files: DataFrame) -> DataFrame:
     """Rows ``(file_id, offset, type, severity)`` for additional-action keys."""
-    hits = files.select("file_id", F.explode(aa_hits(F.col("content"))).alias("h"))
+    hits = files.select("file_id", F.explode(pattern_hits("content", AA_REGEX, 4)).alias("h"))
     return hits.select(
         "file_id", "h.offset", F.lit(rules.PDF_AA[1]).alias("type"), F.lit(rules.PDF_AA[2]).alias("severity")
     )
 
 
 def pdf_mask(files: DataFrame) -> DataFrame:
-    return files.withColumn("content", F.when(is_active(F.col("content")), mask(F.col("content"))).otherwise(F.col("content")))
+    """Mask the content; clean files skip it."""
+    active = F.rlike(latin1(F.col("content")), F.lit(f"{NAMES_REGEX}|{AA_REGEX}"))
+    return files.withColumn("content", F.when(active, mask(F.col("content"))).otherwise(F.col("content")))
 
 
 def error_of(content: Column) -> Column:

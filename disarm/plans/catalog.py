@@ -224,7 +224,7 @@ def _(spark, sf):
     found = entries.where("k % 3 = 0").select(leaf.alias("file_id"), kind.alias("location"), kind.alias("type"))
     root = F.concat(F.lit("root-"), F.floor(F.col("archive_id") / 10).cast("bigint"))
     members = entries.select(leaf.alias("child_id"), inner.alias("parent_id"), "name").unionByName(
-        entries.groupBy("archive_id").agg().select(
+        entries.select("archive_id").distinct().select(
             inner.alias("child_id"), root.alias("parent_id"), F.concat(inner, F.lit(".zip")).alias("name")
         )
     )
@@ -329,9 +329,8 @@ SELECT file_id, concat('FFD8', coalesce(string_agg(seg_hex, '' ORDER BY seg_idx)
 FROM {segment_bytes} GROUP BY file_id""")
 def _(spark, sf):
     rows = _jpegs(spark, sf).withColumn("segments", image_segments("content", F.lit("jpeg")))
-    return rows.select(
-        "file_id", F.hex(image.strip_segments(F.col("content"), F.lit("jpeg"), F.col("segments"))).alias("clean_hex")
-    )
+    rows = rows.withColumn("ruled", image.with_rules(F.col("content"), F.lit("jpeg"), F.col("segments")))
+    return rows.select("file_id", F.hex(image.strip_segments(F.col("content"), F.col("ruled"))).alias("clean_hex"))
 
 
 # --- markup ----------------------------------------------------------------------------------------

@@ -14,7 +14,9 @@ from disarm.functions.segments import image_segments
 from disarm.functions.zips import ArchiveEntries, zip_rebuild
 from disarm.operators import image, pdf
 from disarm.operators.archive import path_finding
-from disarm.operators.detect import detect_type, extension_type, is_pk, looks_like_markup, magic_type, package_type, with_listing
+from disarm.operators.detect import (
+    detect_type, extension_type, looks_like_markup, magic_type, may_be_container, type_of, with_listing,
+)
 from disarm.operators.findings import finding, no_findings
 from disarm.operators.markup import inspect_markup
 from disarm.operators.office import inspect_office
@@ -62,21 +64,26 @@ def _is_token_markup(content: Column, filename: Column) -> Column:
 def _inspect_single(files: DataFrame) -> DataFrame:
     """PDF, images, failed SVG and unknown types: decided inside the file's own row, nothing is shuffled."""
     content, kind = F.col("content"), F.col("original_type")
-    rows = files.withColumn(
-        "_segments", image_segments(F.when(kind.isin(*rules.IMAGE_TYPES), content), kind)
-    ).withColumn("_size", image.dimensions(content, kind, F.col("_segments")))
+    size = F.octet_length(content)
+    rows = files.withColumn("_segments", image_segments(F.when(kind.isin(*rules.IMAGE_TYPES), content), kind))
+    rows = rows.withColumns(
+        {
+            "_size": image.dimensions(content, kind, F.col("_segments")),
+            "_whole": F.coalesce(image.is_whole(kind, F.col("_segments")), F.lit(False)),
+            "_ruled": image.with_rules(content, kind, F.col("_segments")),
+            "_hits": F.when(kind == "pdf", pdf.name_hits("content")).when(kind == "gif", image.gif_hits("content")),
+        }
+    )
     pixels = F.col("_size.width") * F.col("_size.height")
     markup_error = (
-        F.when(F.octet_length(content) == 0, "svg: empty file")
-        .when(F.octet_length(content) > rules.MAX_FILE_BYTES, F.format_string("svg: file exceeds maximum size (%d bytes)", F.octet_length(content)))
+        F.when(size == 0, "svg: empty file")
+        .when(size > rules.MAX_FILE_BYTES, F.format_string("svg: file exceeds maximum size (%d bytes)", size))
         .otherwise("svg: input does not appear to be SVG/XML")
     )
     image_error = (
-        F.when(F.octet_length(content) == 0, "empty file")
+        F.when(size == 0, "empty file")
         .when(
-            (F.octet_length(content) > rules.MAX_FILE_BYTES)
-            | F.col("_size").isNull()
-            | ~F.coalesce(image.is_whole(kind, F.col("_segments")), F.lit(False)),
+            (size > rules.MAX_FILE_BYTES) | F.col("_size").isNull() | ~F.col("_whole"),
             F.concat(F.lit("decoding "), kind, F.lit(" image: malformed data")),
         )
         .when(
@@ -88,15 +95,17 @@ def _inspect_single(files: DataFrame) -> DataFrame:
         F.when(kind == "pdf", pdf.error_of(content))
         .when(kind == "svg", markup_error)
         .when(kind.isin(*rules.IMAGE_TYPES), image_error)
+        # a container type here means bytes that are no container
+        .when(kind == "zip", F.when(size == 0, "archive sanitize: empty input").otherwise("archive sanitize: invalid zip"))
+        .when(kind.isin(*rules.OFFICE_TYPES), "office sanitize: invalid zip")
     )
-    rows = rows.withColumn("error_message", error)
-    found = (
-        F.when(F.col("error_message").isNotNull(), no_findings())
-        .when((kind == "pdf") & pdf.is_active(content), pdf.findings_of(content))
-        .when(kind.isin(*rules.IMAGE_TYPES), image.segment_findings(content, kind, F.col("_segments")))
-        .otherwise(no_findings())
+    found = F.when(kind == "pdf", pdf.findings_of(F.col("_hits"))).when(
+        kind.isin(*rules.IMAGE_TYPES), image.segment_findings(content, kind, F.col("_ruled"), F.col("_hits"))
+    )
+    rows = rows.withColumns({"error_message": error, "_found": found})
+    rows = rows.withColumn(
+        "findings", F.coalesce(F.when(F.col("error_message").isNull(), F.col("_found")), no_findings())
     )
-    rows = rows.withColumn("findings", F.coalesce(found, no_findings()))
     status = (
         F.when(F.col("error_message").isNotNull(), "ERROR")
         .when(kind == "unknown", "UNSUPPORTED")
@@ -104,9 +113,7 @@ def _inspect_single(files: DataFrame) -> DataFrame:
         .otherwise("CLEAN")
     )
     rows = rows.withColumn("status", status)
-    cleaned = F.when(kind == "pdf", pdf.mask(content)).otherwise(
-        image.strip_segments(content, kind, F.col("_segments"))
-    )
+    cleaned = F.when(kind == "pdf", pdf.mask(content)).otherwise(image.strip_segments(content, F.col("_ruled")))
     output = F.when(F.col("status").isin("CLEAN", "UNSUPPORTED"), content).when(F.col("status") == "SANITIZED", cleaned)
     return rows.withColumn("output", output)
 
@@ -119,12 +126,9 @@ def inspect_files(files: DataFrame, registry: Registry | None = None, strict_ref
     """
     rows = files.select("file_id", "filename", "content")
     content, name = F.col("content"), F.col("filename")
-    plain = rows.where(~is_pk(content)).withColumn(
-        "original_type", F.coalesce(magic_type(content), extension_type(name))
-    )
-    packed = with_listing(rows.where(is_pk(content))).withColumn(
-        "original_type", F.coalesce(package_type(F.col("listing")), extension_type(name))
-    )
+    container = may_be_container(content, name)
+    plain = rows.where(~container).withColumn("original_type", F.coalesce(magic_type(content), extension_type(name)))
+    packed = with_listing(rows.where(container)).withColumn("original_type", type_of(content, name, F.col("listing")))
     return _inspect(plain, packed, None, 0, registry or Registry(), strict_reference)
 
 
@@ -142,24 +146,26 @@ def _inspect(
         return [n for n in names if n not in custom and (types is None or n in types)]
 
     parts: list[DataFrame] = []
-    in_row = wanted("pdf", "unknown", "svg", *rules.IMAGE_TYPES)
-    if in_row:
+    containers = wanted("zip", *rules.OFFICE_TYPES)
+    if in_row := wanted(*rules.FILE_TYPES, "unknown"):
         to_tokens = F.coalesce(_is_token_markup(F.col("content"), F.col("filename")), F.lit(False))
-        single = plain.where(kind.isin(*in_row) & ~to_tokens).unionByName(
-            packed.where(kind.isin(*in_row)).drop("listing")
-        )
+        damaged = packed.where(F.col("listing").isNull() & kind.isin(*in_row)).drop("listing")
+        if depth >= rules.MAX_ARCHIVE_DEPTH:
+            damaged = damaged.where(kind != "zip")
+        single = plain.where(kind.isin(*in_row) & ~to_tokens).unionByName(damaged)
         parts.append(_inspect_single(single.withColumn("original_size", _size())).select(*OUTCOME))
         if "svg" in in_row:
             documents = plain.where((kind == "svg") & to_tokens).select("file_id", "content")
             parts.append(inspect_markup(documents).withColumn("original_type", F.lit("svg")).select(*OUTCOME))
-    containers = wanted("zip", *rules.OFFICE_TYPES)
-    if containers:
-        parts.append(_no_container(plain.where(kind.isin(*containers)), depth))
+    opened = packed.where(F.col("listing").isNotNull())
     if office_types := wanted(*rules.OFFICE_TYPES):
-        office = packed.where(kind.isin(*office_types)).withColumn("original_size", _size())
+        office = opened.where(kind.isin(*office_types)).withColumn("original_size", _size())
         parts.append(inspect_office(office).select(*OUTCOME))
-    if wanted("zip"):
-        parts.append(_inspect_archives(packed.where(kind == "zip"), depth, registry, strict))
+    if "zip" in containers:
+        if depth >= rules.MAX_ARCHIVE_DEPTH:
+            parts.append(_too_deep(packed.where(kind == "zip"), depth))
+        else:
+            parts.append(_inspect_archives(opened.where(kind == "zip"), depth, registry, strict))
     typed = plain.unionByName(packed.drop("listing"))
     for inspector, names in registry.items():
         mine = typed.where(kind.isin(*names))
@@ -170,36 +176,16 @@ def _inspect(
     return reduce(DataFrame.unionByName, parts)
 
 
-def _no_container(rows: DataFrame, depth: int) -> DataFrame:
-    """A container type by name only: the bytes are no container."""
-    is_zip = F.col("original_type") == "zip"
-    failed = rows.select(
-        "file_id", "filename", "original_type", F.lit("ERROR").alias("status"), _size().alias("original_size"),
-        no_findings().alias("findings"),
-        F.when(is_zip & (F.octet_length("content") == 0), "archive sanitize: empty input")
-        .when(is_zip, "archive sanitize: invalid zip")
-        .otherwise("office sanitize: invalid zip")
-        .alias("error_message"),
-        F.lit(None).cast("binary").alias("output"),
-    )
-    return (_too_deep(failed, depth) if depth >= rules.MAX_ARCHIVE_DEPTH else failed).select(*OUTCOME)
-
-
-def _too_deep(rows: DataFrame, depth: int) -> DataFrame:
+def _too_deep(archives: DataFrame, depth: int) -> DataFrame:
     """An archive at the depth cap is blocked unopened, whatever its bytes are."""
-    is_zip = F.col("original_type") == "zip"
     bomb = finding(
         "zip_bomb", base_name(F.col("filename")),
         f"archive nesting depth {depth} exceeds maximum of {rules.MAX_ARCHIVE_DEPTH}", "critical",
     )
-    return rows.withColumns(
-        {
-            "status": F.when(is_zip, "BLOCKED").otherwise(F.col("status")),
-            "findings": F.when(is_zip, F.array(bomb)).otherwise(F.col("findings")),
-            "error_message": F.when(is_zip, f"archive sanitize: nesting too deep ({depth} levels)").otherwise(
-                F.col("error_message")
-            ),
-        }
+    return archives.select(
+        "file_id", "original_type", F.lit("BLOCKED").alias("status"), _size().alias("original_size"),
+        F.array(bomb).alias("findings"), F.lit(f"archive sanitize: nesting too deep ({depth} levels)").alias("error_message"),
+        F.lit(None).cast("binary").alias("output"),
     )
 
 
@@ -208,15 +194,6 @@ def _inspect_archives(archives: DataFrame, depth: int, registry: Registry, stric
 
     Everything grouped per archive is bounded by the archive cap.
     """
-    if depth >= rules.MAX_ARCHIVE_DEPTH:
-        blocked = archives.drop("listing").withColumns(
-            {
-                "original_size": _size(), "status": F.lit("BLOCKED"), "findings": no_findings(),
-                "error_message": F.lit(None).cast("string"), "output": F.lit(None).cast("binary"),
-            }
-        )
-        return _too_deep(blocked, depth).select(*OUTCOME)
-
     # name rules on the listing; only entries that survive them are read
     named = F.transform(
         "listing",
@@ -236,8 +213,10 @@ def _inspect_archives(archives: DataFrame, depth: int, registry: Registry, stric
     outcomes = None
     if types:
         typed = members.where("content IS NOT NULL").select("file_id", "filename", "content", "original_type", "listing")
-        pk = is_pk(F.col("content"))
-        inner = _inspect(typed.where(~pk).drop("listing"), typed.where(pk), types, depth + 1, registry, strict)
+        container = may_be_container(F.col("content"), F.col("filename"))
+        inner = _inspect(
+            typed.where(~container).drop("listing"), typed.where(container), types, depth + 1, registry, strict
+        )
         outcomes = stage(
             inner.select(
                 "file_id", F.col("status").alias("m_status"), F.col("findings").alias("m_findings"),
