@@ -26,16 +26,26 @@ def looks_like_markup(content: Column) -> Column:
     return F.contains(head, F.lit("<svg")) | F.contains(head, F.lit("<?xml"))
 
 
+def _magic_tests(content: Column) -> list[tuple[Column, str]]:
+    """Leading bytes and the type they mean, in the order they are tried (fixed values)."""
+
+    def starts(lead: bytes) -> Column:
+        return F.startswith(content, binary(lead))
+
+    return [
+        (starts(b"%PDF"), "pdf"),
+        (is_pk(content), "pk"),
+        (starts(b"\xff\xd8\xff"), "jpeg"),
+        (starts(b"\x89PNG\r\n\x1a\n"), "png"),
+        (starts(b"GIF87a") | starts(b"GIF89a"), "gif"),
+        (F.contains(_sniff(content), F.lit("<svg")), "svg"),
+    ]
+
+
 def magic_type(content: Column) -> Column:
     """Type by leading bytes; ``pk`` for any ZIP container, null when nothing matches."""
-    return (
-        F.when(F.startswith(content, binary(b"%PDF")), "pdf")
-        .when(is_pk(content), "pk")
-        .when(F.startswith(content, binary(b"\xff\xd8\xff")), "jpeg")
-        .when(F.startswith(content, binary(b"\x89PNG\r\n\x1a\n")), "png")
-        .when(F.startswith(content, binary(b"GIF87a")) | F.startswith(content, binary(b"GIF89a")), "gif")
-        .when(F.contains(_sniff(content), F.lit("<svg")), "svg")
-    )
+    (first, kind), *rest = _magic_tests(content)
+    return reduce(lambda chain, t: chain.when(t[0], t[1]), rest, F.when(first, kind))
 
 
 def extension_type(filename: Column) -> Column:
@@ -58,8 +68,8 @@ def package_type(listing: Column) -> Column:
 
 def may_be_container(content: Column, filename: Column) -> Column:
     """Files worth opening as a ZIP container: by magic, or by name where the bytes say nothing."""
-    by_name = magic_type(content).isNull() & extension_type(filename).isin("zip", *rules.OFFICE_TYPES)
-    return is_pk(content) | by_name
+    has_magic = reduce(lambda a, b: a | b, [test for test, _ in _magic_tests(content)])
+    return is_pk(content) | (extension_type(filename).isin("zip", *rules.OFFICE_TYPES) & ~has_magic)
 
 
 def with_listing(files: DataFrame) -> DataFrame:

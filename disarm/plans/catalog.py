@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from disarm import rules
@@ -17,8 +19,13 @@ from disarm.operators.chunks import assemble_chunks, split_chunks
 from disarm.operators.detect import detect_type, is_supported
 from disarm.operators.findings import findings_table
 from disarm.operators.verdicts import audit_log, digest_groups, mode_output, unseen_digests, verdict_json, verdicts
-from disarm.plans.derived import AS_OF, archive_of, table, with_views
+from disarm.plans.derived import AS_OF, archive_of, instants, table, view_over, with_views
 from disarm.plans.pipeline import inspect_files
+from disarm.staging import stage, staging_dir
+from disarm.streaming.queries import dedupe_stream, run_append, run_complete, running_counters, stream_table, windowed_counters
+from disarm.streaming.stateful import (
+    assemble_stream, download_expiry_stream, error_streak_stream, rate_limit_stream, token_stream,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -233,10 +240,11 @@ def _(spark, sf):
 
 def _archives(spark, sf):
     docs = table(spark, sf, "documents")
-    return docs.select(
+    archives = docs.select(
         F.col("doc_id").cast("string").alias("file_id"), F.lit("up.zip").alias("filename"),
         archive_of("text", (F.col("doc_id") % 6).cast("int")).alias("content"),
     )
+    return stage(archives, "archives")
 
 
 @query("archive_expand", """
@@ -445,7 +453,7 @@ def _(spark, sf):
 
 
 def corpus(spark, sf):
-    """PDF, SVG, archive, Office and plain files built on the documents and parts."""
+    """A stored table of PDF, SVG, archive, Office and plain files built on the documents and parts."""
     pdfs = table(spark, sf, "pdf_files").select(
         F.concat(F.lit("pdf-"), "file_id").alias("file_id"), "filename", _bytes().alias("content")
     )
@@ -455,7 +463,7 @@ def corpus(spark, sf):
     other = _typed(spark, sf).where("file_id % 14 IN (0, 2, 7, 8, 9, 10)").select(
         F.concat(F.lit("any-"), "file_id").alias("file_id"), "filename", "content"
     )
-    return pdfs.unionByName(svgs).unionByName(other)
+    return stage(pdfs.unionByName(svgs).unionByName(other), "corpus")
 
 
 _PDF_COUNT = f"len(regexp_extract_all(body, '{_PDF_NAMES}')) + len(regexp_extract_all(body, '/AA[ \t\n\r<0-9]'))"
@@ -868,3 +876,80 @@ SELECT file_id, CAST(i AS INT) AS seq, substr(h, CAST(i * 2048 + 1 AS BIGINT), 2
 FROM (SELECT file_id, h, unnest(range(0, CAST(ceil(length(h) / 2048.0) AS BIGINT))) AS i FROM (SELECT file_id, hex(body) AS h FROM {pdf_files}) AS p) AS q""")
 def _(spark, sf):
     return split_chunks(_pdf(spark, sf), size=1024).select("file_id", "seq", F.hex("chunk").alias("chunk_hex"))
+
+
+# --- streaming twins: the same rules over the tables read as streams ---------------------------------
+
+
+def _streamed(spark, sf, name: str) -> DataFrame:
+    """A derived table over the events table read as a stream."""
+    return view_over(spark, name, instants(stream_table(spark, sf, "events.parquet")))
+
+
+def _appended(stream: DataFrame, label: str) -> DataFrame:
+    base = f"{staging_dir(stream.sparkSession)}/disarm-{label}-{uuid.uuid4().hex}"
+    return run_append(stream, f"{base}/out", f"{base}/progress")
+
+
+@query("stream_running_counters", ORACLES["files_processed"])
+def _(spark, sf):
+    base = f"{staging_dir(spark)}/disarm-counters-{uuid.uuid4().hex}"
+    return run_complete(running_counters(_streamed(spark, sf, "verdict_log")), f"{base}/out", f"{base}/progress")
+
+
+@query("stream_windowed_counters", """
+SELECT CAST(floor(epoch(time_bucket(INTERVAL 1 DAY, ts))) AS BIGINT) AS day_start, original_type AS type, lower(status) AS result, count(*) AS files
+FROM {verdict_log} GROUP BY 1, 2, 3""")
+def _(spark, sf):
+    base = f"{staging_dir(spark)}/disarm-windows-{uuid.uuid4().hex}"
+    counted = windowed_counters(_streamed(spark, sf, "verdict_log"), "1 day", "1 hour")
+    done = run_complete(counted, f"{base}/out", f"{base}/progress")
+    return done.select(F.unix_seconds("window.start").alias("day_start"), "type", "result", "files")
+
+
+@query("stream_error_streaks", ORACLES["error_streaks"])
+def _(spark, sf):
+    return _appended(error_streak_stream(_streamed(spark, sf, "verdict_log")), "streaks")
+
+
+@query("stream_token_redemption", f"""
+SELECT event_id, token, CASE WHEN p_action = 'issue' THEN CASE WHEN epoch_us(t.ts) - epoch_us(p_ts) <= 86400000000 THEN 'ok' ELSE 'expired' END ELSE 'invalid' END AS outcome
+FROM {_TOKEN_PREV} AS t WHERE action = 'attempt'""")
+def _(spark, sf):
+    return _appended(token_stream(_streamed(spark, sf, "token_events")), "tokens")
+
+
+@query("stream_rate_limit", ORACLES["rate_limit_decisions"])
+def _(spark, sf):
+    rows = instants(stream_table(spark, sf, "events.parquet")).withColumnRenamed("user_id", "key")
+    return _appended(rate_limit_stream(rows, max_events=1, window_s=6 * 3600), "limits")
+
+
+@query("stream_digest_dedupe", "SELECT DISTINCT sha256(props) AS sha256 FROM events")
+def _(spark, sf):
+    rows = instants(stream_table(spark, sf, "events.parquet"))
+    return _appended(dedupe_stream(rows, "60 days", "props").select("sha256"), "digests")
+
+
+@query("stream_assemble_chunks", """
+SELECT CAST(user_id AS VARCHAR) AS request_id, sha256(string_agg(props, '' ORDER BY ts, event_id)) AS sha256, CAST(sum(strlen(props)) AS BIGINT) AS size
+FROM events GROUP BY user_id""")
+def _(spark, sf):
+    # one upload per user; its chunks are numbered on the stored table, then read as a stream
+    order = W.partitionBy("user_id").orderBy("ts", "event_id")
+    numbered = table(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("request_id"), (F.row_number().over(order) - 1).alias("seq"),
+        F.col("props").cast("binary").alias("chunk"), "ts",
+        F.lead("ts").over(order).isNull().alias("is_last"),
+    )
+    path = f"{staging_dir(spark)}/disarm-chunks-{uuid.uuid4().hex}"
+    numbered.write.parquet(path)
+    whole = _appended(assemble_stream(stream_table(spark, path)), "uploads")
+    return whole.select("request_id", sha256_hex(F.col("content")).alias("sha256"), "size")
+
+
+@query("stream_download_expiry", """
+SELECT id, size, 'stored' AS event FROM {downloads}
+UNION ALL SELECT id, size, 'expired' FROM {downloads} WHERE created_at + INTERVAL 10 MINUTE <= (SELECT max(created_at) FROM {downloads}) - INTERVAL 1 MINUTE""")
+def _(spark, sf):
+    return _appended(download_expiry_stream(_streamed(spark, sf, "downloads")), "expiry")

@@ -170,7 +170,7 @@ def depends_on(sql: str) -> list[str]:
     return [n for n in dict.fromkeys(_NAME.findall(sql)) if n in GIVEN or n in VIEWS]
 
 
-def _instants(df: DataFrame) -> DataFrame:
+def instants(df: DataFrame) -> DataFrame:
     """Zone-less timestamps are read as UTC, whatever the session's zone is."""
     zoneless = [f.name for f in df.schema if isinstance(f.dataType, T.TimestampNTZType)]
     micros = "timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {}))"
@@ -180,14 +180,23 @@ def _instants(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, or a derived one built on them."""
     if name in GIVEN:
-        return _instants(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-    sql = VIEWS[name]
-    deps = depends_on(sql)
-    # braces that belong to the text are doubled for the formatter
-    escaped = re.sub(r"[{}]", lambda m: m.group() * 2, sql)
-    for dep in deps:
-        escaped = escaped.replace("{{" + dep + "}}", "{" + dep + "}")
-    return spark.sql(escaped, **{dep: table(spark, sf_dir, dep) for dep in deps})
+        return instants(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    deps = {dep: table(spark, sf_dir, dep) for dep in depends_on(VIEWS[name])}
+    return spark.sql(_escaped(name), **deps)
+
+
+def view_over(spark: SparkSession, name: str, source: DataFrame) -> DataFrame:
+    """A derived table that needs one table only, over another form of it (a stream, say)."""
+    (dep,) = depends_on(VIEWS[name])
+    return spark.sql(_escaped(name), **{dep: source})
+
+
+def _escaped(name: str) -> str:
+    """The SQL with all braces doubled for the formatter, but for those around a table name."""
+    text = re.sub(r"[{}]", lambda m: m.group() * 2, VIEWS[name])
+    for dep in depends_on(VIEWS[name]):
+        text = text.replace("{{" + dep + "}}", "{" + dep + "}")
+    return text
 
 
 def with_views(sql: str) -> str:

@@ -54,13 +54,6 @@ def _size() -> Column:
     return F.octet_length("content").cast("bigint")
 
 
-def _is_token_markup(content: Column, filename: Column) -> Column:
-    """Files that go to the tokenizer: SVG by content, or by name with a plausible start, and not over the cap."""
-    magic = magic_type(content)
-    by_name = magic.isNull() & (extension_type(filename) == "svg") & looks_like_markup(content)
-    return ((magic == "svg") | by_name) & (F.octet_length(content) <= rules.MAX_FILE_BYTES)
-
-
 def _inspect_single(files: DataFrame) -> DataFrame:
     """PDF, images, failed SVG and unknown types: decided inside the file's own row, nothing is shuffled."""
     content, kind = F.col("content"), F.col("original_type")
@@ -148,11 +141,12 @@ def _inspect(
     parts: list[DataFrame] = []
     containers = wanted("zip", *rules.OFFICE_TYPES)
     if in_row := wanted(*rules.FILE_TYPES, "unknown"):
-        to_tokens = F.coalesce(_is_token_markup(F.col("content"), F.col("filename")), F.lit(False))
+        # SVG with a plausible start goes to the tokenizer; the rest of it fails in its own row
+        to_tokens = looks_like_markup(F.col("content")) & (_size() <= rules.MAX_FILE_BYTES)
         damaged = packed.where(F.col("listing").isNull() & kind.isin(*in_row)).drop("listing")
         if depth >= rules.MAX_ARCHIVE_DEPTH:
             damaged = damaged.where(kind != "zip")
-        single = plain.where(kind.isin(*in_row) & ~to_tokens).unionByName(damaged)
+        single = plain.where(kind.isin(*in_row) & ~((kind == "svg") & to_tokens)).unionByName(damaged)
         parts.append(_inspect_single(single.withColumn("original_size", _size())).select(*OUTCOME))
         if "svg" in in_row:
             documents = plain.where((kind == "svg") & to_tokens).select("file_id", "content")
