@@ -932,19 +932,18 @@ def _(spark, sf):
 
 
 @query("stream_assemble_chunks", """
-SELECT CAST(user_id AS VARCHAR) AS request_id, sha256(string_agg(props, '' ORDER BY ts, event_id)) AS sha256, CAST(sum(strlen(props)) AS BIGINT) AS size
-FROM events GROUP BY user_id""")
-def _(spark, sf):
-    # one upload per user; its chunks are numbered on the stored table, then read as a stream
-    order = W.partitionBy("user_id").orderBy("ts", "event_id")
-    numbered = table(spark, sf, "events").select(
-        F.col("user_id").cast("string").alias("request_id"), (F.row_number().over(order) - 1).alias("seq"),
-        F.col("props").cast("binary").alias("chunk"), "ts",
-        F.lead("ts").over(order).isNull().alias("is_last"),
+SELECT request_id, sha256(string_agg(text, '' ORDER BY seq)) AS sha256, CAST(sum(strlen(text)) AS BIGINT) AS size FROM {chunk_rows} GROUP BY request_id""")
+def _(spark, sf):
+    # chunks numbered from zero, the last one marked; stored, then read as a stream
+    rows = table(spark, sf, "chunk_rows")
+    ends = rows.groupBy("request_id").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
+    chunks = rows.join(ends, "request_id").select(
+        "request_id", (F.col("seq") - F.col("lo")).cast("int").alias("seq"), _bytes("text").alias("chunk"),
+        (F.col("seq") == F.col("hi")).alias("is_last"), F.timestamp_seconds(F.col("seq")).alias("ts"),
     )
     path = f"{staging_dir(spark)}/disarm-chunks-{uuid.uuid4().hex}"
-    numbered.write.parquet(path)
-    whole = _appended(assemble_stream(stream_table(spark, path)), "uploads")
+    chunks.write.parquet(path)
+    whole = _appended(assemble_stream(stream_table(spark, path), lateness="1 day"), "uploads")
     return whole.select("request_id", sha256_hex(F.col("content")).alias("sha256"), "size")
 
 

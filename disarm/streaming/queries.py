@@ -74,10 +74,18 @@ def run_complete(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
+MAX_BATCH = "1g"
+
+
 def stream_table(spark: SparkSession, path: str, name: str = "*.parquet", max_files: int | None = None) -> DataFrame:
-    """The Parquet files of a folder as a stream, oldest first; ``name`` picks files by pattern."""
+    """The Parquet files of a folder as a stream, oldest first; ``name`` picks files by pattern.
+
+    A micro-batch is bounded in bytes, so what stateful operators order within one is bounded too.
+    """
     schema = spark.read.option("pathGlobFilter", name).parquet(path).schema
     reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
+    else:
+        reader = reader.option("maxBytesPerTrigger", MAX_BATCH)
     return reader.parquet(path)

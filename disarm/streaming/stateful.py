@@ -134,6 +134,14 @@ class ChunkAssembly(StatefulProcessor):
         # bytes so far and the number of the last chunk (-1 until it is known); a size of -1 marks a rejected upload
         self.progress = handle.getValueState("progress", T.StructType().add("size", "long").add("last", "integer").add("n", "integer"))
 
+    def _stop_timers(self) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+
+    def _restart_timer(self, latest: int) -> None:
+        self._stop_timers()
+        self.handle.registerTimer(latest + self.timeout_ms)
+
     def _result(self, key, content, size, reason) -> pd.DataFrame:
         return pd.DataFrame({"request_id": [key[0]], "content": [content], "size": [size], "reject_reason": [reason]})
 
@@ -150,6 +158,7 @@ class ChunkAssembly(StatefulProcessor):
                 if size > self.max_size:
                     self.chunks.clear()
                     self.progress.update((-1, last, n))
+                    self._restart_timer(latest)
                     yield self._result(key, None, size, "file_too_large")
                     size = -1
                     break
@@ -160,20 +169,19 @@ class ChunkAssembly(StatefulProcessor):
             parts = sorted(self.chunks.get())
             self.chunks.clear()
             self.progress.clear()
-            for timer in self.handle.listTimers():
-                self.handle.deleteTimer(timer)
+            self._stop_timers()
             yield self._result(key, b"".join(bytes(p[1]) for p in parts), size, None)
             return
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(latest + self.timeout_ms)
+        self._restart_timer(latest)
         self.progress.update((size, last, n))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         size = self.progress.get()[0] if self.progress.exists() else 0
         self.chunks.clear()
         self.progress.clear()
-        yield self._result(key, None, size, "upload_timeout")
+        # a rejected upload is only forgotten
+        if size >= 0:
+            yield self._result(key, None, size, "upload_timeout")
 
     def close(self) -> None:
         pass
