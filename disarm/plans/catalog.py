@@ -22,7 +22,9 @@ from disarm.operators.verdicts import audit_log, digest_groups, mode_output, uns
 from disarm.plans.derived import AS_OF, archive_of, instants, table, view_over, with_views
 from disarm.plans.pipeline import inspect_files
 from disarm.staging import stage, staging_dir
-from disarm.streaming.queries import dedupe_stream, run_append, run_complete, running_counters, stream_table, windowed_counters
+from disarm.streaming.queries import (
+    dedupe_stream, inspect_stream, run_append, run_complete, running_counters, stream_table, windowed_counters,
+)
 from disarm.streaming.stateful import (
     assemble_stream, download_expiry_stream, error_streak_stream, rate_limit_stream, token_stream,
 )
@@ -310,31 +312,28 @@ def _(spark, sf):
 
 
 def _jpegs(spark, sf):
-    """Segments joined into whole files; a file has one segment per line number."""
-    rows = table(spark, sf, "segment_bytes")
-    body = F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", "seg_hex"))), lambda s: s["seg_hex"])
-    whole = rows.groupBy("file_id").agg(F.array_join(body, "").alias("body"))
-    return whole.select(
-        "file_id", F.unhex(F.concat(F.lit("FFD8"), "body", F.lit("FFDA000201FF00FFD9414243"))).alias("content")
-    )
+    rows = table(spark, sf, "jpeg_files")
+    return rows.select("file_id", F.unhex(F.concat(F.lit("FFD8"), "s1", "s2", "s3", F.lit("FFDA000201FF00FFD9414243"))).alias("content"))
 
 
-_SEGMENT_OFFSETS = """(SELECT *, CAST(2 + coalesce(sum(seg_length) OVER (PARTITION BY file_id ORDER BY seg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos,
-  sum(seg_length) OVER (PARTITION BY file_id) AS total, row_number() OVER (PARTITION BY file_id ORDER BY seg_idx) AS rn, count(*) OVER (PARTITION BY file_id) AS n FROM {segment_bytes})"""
+_SEGMENT_ROWS = """(SELECT file_id, 0 AS seg_idx, s1 AS s, 2 AS pos FROM {jpeg_files}
+  UNION ALL SELECT file_id, 1, s2, 2 + length(s1) / 2 FROM {jpeg_files} UNION ALL SELECT file_id, 2, s3, 2 + (length(s1) + length(s2)) / 2 FROM {jpeg_files}
+  UNION ALL SELECT file_id, 3, 'FFDA000201FF00FFD9', 2 + (length(s1) + length(s2) + length(s3)) / 2 FROM {jpeg_files}
+  UNION ALL SELECT file_id, 4, 'TRAIL3', 11 + (length(s1) + length(s2) + length(s3)) / 2 FROM {jpeg_files})"""
 
 
 @query("image_segments", f"""
-SELECT file_id, CAST(rn - 1 AS INT) AS seg_idx, marker, pos AS "offset", seg_length AS length FROM {_SEGMENT_OFFSETS} AS s
-UNION ALL SELECT file_id, CAST(n AS INT), 'SOS', CAST(2 + total AS BIGINT), CAST(9 AS BIGINT) FROM {_SEGMENT_OFFSETS} AS s WHERE rn = 1
-UNION ALL SELECT file_id, CAST(n + 1 AS INT), 'TRAILER', CAST(11 + total AS BIGINT), CAST(3 AS BIGINT) FROM {_SEGMENT_OFFSETS} AS s WHERE rn = 1""")
+SELECT file_id, seg_idx, CASE substr(s, 1, 4) WHEN 'FFE0' THEN 'APP0' WHEN 'FFE1' THEN 'APP1' WHEN 'FFE2' THEN 'APP2' WHEN 'FFEF' THEN 'APP15' WHEN 'FFFE' THEN 'COM'
+  WHEN 'FFDA' THEN 'SOS' WHEN 'TRAI' THEN 'TRAILER' ELSE substr(s, 3, 2) END AS marker, CAST(pos AS BIGINT) AS "offset", CAST(length(s) / 2 AS BIGINT) AS length
+FROM {_SEGMENT_ROWS} AS r""")
 def _(spark, sf):
     walked = _jpegs(spark, sf).select("file_id", F.explode(image_segments("content", F.lit("jpeg"))).alias("s"))
     return walked.select("file_id", "s.*")
 
 
 @query("strip_segments", """
-SELECT file_id, concat('FFD8', coalesce(string_agg(seg_hex, '' ORDER BY seg_idx) FILTER (WHERE marker IN ('APP0', 'DB', 'C0')), ''), 'FFDA000201FF00FFD9') AS clean_hex
-FROM {segment_bytes} GROUP BY file_id""")
+SELECT file_id, concat('FFD8', CASE WHEN k1 THEN s1 ELSE '' END, CASE WHEN k2 THEN s2 ELSE '' END, CASE WHEN k3 THEN s3 ELSE '' END, 'FFDA000201FF00FFD9') AS clean_hex
+FROM (SELECT *, substr(s1, 1, 4) IN ('FFE0', 'FFDB', 'FFC0') AS k1, substr(s2, 1, 4) IN ('FFE0', 'FFDB', 'FFC0') AS k2, substr(s3, 1, 4) IN ('FFE0', 'FFDB', 'FFC0') AS k3 FROM {jpeg_files}) AS j""")
 def _(spark, sf):
     rows = _jpegs(spark, sf).withColumn("segments", image_segments("content", F.lit("jpeg")))
     rows = rows.withColumn("ruled", image.with_rules(F.col("content"), F.lit("jpeg"), F.col("segments")))
@@ -507,7 +506,7 @@ SELECT CAST(file_id AS VARCHAR) AS file_id, concat('{{"status":"', CASE WHEN n >
 FROM (SELECT file_id, {_PDF_COUNT} AS n, strlen(body) AS size FROM {{pdf_files}}) AS p""")
 def _(spark, sf):
     files = _pdf(spark, sf).withColumn("file_id", F.col("file_id").cast("string"))
-    done = verdict_json(inspect_files(files))
+    done = verdict_json(inspect_files(files, types=["pdf"]))
     return done.select("file_id", F.concat(F.regexp_extract("line", r'^(.*?),"threats"', 1), F.lit("}")).alias("head"))
 
 
@@ -596,7 +595,7 @@ FROM {{requests}} AS r JOIN (SELECT file_id, {_PDF_COUNT} AS n FROM {{pdf_files}
 def _(spark, sf):
     requests = adm.admission(table(spark, sf, "requests"))
     files = _pdf(spark, sf)
-    done = verdicts(inspect_files(files))
+    done = verdicts(inspect_files(files, types=["pdf"]))
     return audit_log(requests, done)
 
 
@@ -704,6 +703,11 @@ def _(spark, sf):
     return events.error_streaks(_log(spark, sf))
 
 
+@query("error_streaks_of_three", ORACLES["error_streaks"].replace("streak = 5", "streak = 3"))
+def _(spark, sf):
+    return events.error_streaks(_log(spark, sf), threshold=3)
+
+
 def _limited(spark, sf):
     return table(spark, sf, "events").select("event_id", "ts", F.col("user_id").alias("key"))
 
@@ -891,6 +895,16 @@ def _appended(stream: DataFrame, label: str) -> DataFrame:
     return run_append(stream, f"{base}/out", f"{base}/progress")
 
 
+@query("stream_inspect", ORACLES["inspect_verdicts"])
+def _(spark, sf):
+    path = f"{staging_dir(spark)}/disarm-stream-{uuid.uuid4().hex}"
+    corpus(spark, sf).write.parquet(f"{path}/in")
+    inspect_stream(stream_table(spark, f"{path}/in"), f"{path}/out", f"{path}/progress").awaitTermination()
+    return verdicts(spark.read.parquet(f"{path}/out")).select(
+        "file_id", "original_type", "status", "n_findings", "max_severity", "original_size"
+    )
+
+
 @query("stream_running_counters", ORACLES["files_processed"])
 def _(spark, sf):
     base = f"{staging_dir(spark)}/disarm-counters-{uuid.uuid4().hex}"
@@ -939,7 +953,7 @@ def _(spark, sf):
     ends = rows.groupBy("request_id").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
     chunks = rows.join(ends, "request_id").select(
         "request_id", (F.col("seq") - F.col("lo")).cast("int").alias("seq"), _bytes("text").alias("chunk"),
-        (F.col("seq") == F.col("hi")).alias("is_last"), F.timestamp_seconds(F.col("seq")).alias("ts"),
+        (F.col("seq") == F.col("hi")).alias("is_last"), F.timestamp_seconds(F.col("seq") + 1_700_000_000).alias("ts"),
     )
     path = f"{staging_dir(spark)}/disarm-chunks-{uuid.uuid4().hex}"
     chunks.write.parquet(path)

@@ -86,10 +86,16 @@ SELECT file_id, seg_idx, k,
   CASE k % 9 WHEN 0 THEN 'FFE0' WHEN 1 THEN 'FFE1' WHEN 2 THEN 'FFE2' WHEN 3 THEN 'FFEF' WHEN 4 THEN 'FFFE' WHEN 5 THEN 'FFDB' WHEN 6 THEN 'FFE1' WHEN 7 THEN 'FFE1' ELSE 'FFC0' END AS code_hex,
   CASE k % 9 WHEN 1 THEN '457869660000882541' WHEN 6 THEN '457869660000414141' WHEN 7 THEN '687474703A2F2F6E732E61646F62652E636F6D2F7861702F312E302F004141' WHEN 8 THEN '080010002003012200021101031101' ELSE '41' END AS payload_hex
 FROM (SELECT l_orderkey AS file_id, l_linenumber AS seg_idx, max(l_partkey) AS k FROM {lineitem} GROUP BY l_orderkey, l_linenumber) AS g""",
-    "segment_bytes": """
-SELECT file_id, seg_idx, marker, CAST(length(payload_hex) / 2 + 4 AS BIGINT) AS seg_length,
-  concat(code_hex, lpad(hex(CAST(length(payload_hex) / 2 + 2 AS BIGINT)), 4, '0'), payload_hex) AS seg_hex, payload_hex
-FROM {segments}""",
+    # three JPEG segments per file
+    "jpeg_files": """
+SELECT o_orderkey AS file_id,
+  CASE o_orderkey % 9 WHEN 0 THEN 'FFE0000341' WHEN 1 THEN 'FFE1000B457869660000882541' WHEN 2 THEN 'FFE2000341' WHEN 3 THEN 'FFEF000341' WHEN 4 THEN 'FFFE000341' WHEN 5 THEN 'FFDB000341'
+    WHEN 6 THEN 'FFE1000B457869660000414141' WHEN 7 THEN 'FFE1001F687474703A2F2F6E732E61646F62652E636F6D2F7861702F312E302F00' ELSE 'FFC0000B080010002001011100' END AS s1,
+  CASE o_custkey % 9 WHEN 0 THEN 'FFE0000341' WHEN 1 THEN 'FFE1000B457869660000882541' WHEN 2 THEN 'FFE2000341' WHEN 3 THEN 'FFEF000341' WHEN 4 THEN 'FFFE000341' WHEN 5 THEN 'FFDB000341'
+    WHEN 6 THEN 'FFE1000B457869660000414141' WHEN 7 THEN 'FFE1001F687474703A2F2F6E732E61646F62652E636F6D2F7861702F312E302F00' ELSE 'FFC0000B080010002001011100' END AS s2,
+  CASE (o_orderkey + o_custkey) % 9 WHEN 0 THEN 'FFE0000341' WHEN 1 THEN 'FFE1000B457869660000882541' WHEN 2 THEN 'FFE2000341' WHEN 3 THEN 'FFEF000341' WHEN 4 THEN 'FFFE000341' WHEN 5 THEN 'FFDB000341'
+    WHEN 6 THEN 'FFE1000B457869660000414141' WHEN 7 THEN 'FFE1001F687474703A2F2F6E732E61646F62652E636F6D2F7861702F312E302F00' ELSE 'FFC0000B080010002001011100' END AS s3
+FROM {orders}""",
     "png_chunks": """
 SELECT l_orderkey AS file_id, l_linenumber AS seg_idx, max(l_partkey) AS k,
   CASE max(l_partkey) % 8 WHEN 0 THEN 'tEXt' WHEN 1 THEN 'zTXt' WHEN 2 THEN 'iTXt' WHEN 3 THEN 'eXIf' WHEN 4 THEN 'iCCP' WHEN 5 THEN 'tIME' WHEN 6 THEN 'IDAT' ELSE 'text' END AS marker

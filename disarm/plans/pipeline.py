@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -54,118 +55,154 @@ def _size() -> Column:
     return F.octet_length("content").cast("bigint")
 
 
-def _inspect_single(files: DataFrame) -> DataFrame:
-    """PDF, images, failed SVG and unknown types: decided inside the file's own row, nothing is shuffled."""
+def _inspect_single(files: DataFrame, kinds: set[str], enabled: set[str]) -> DataFrame:
+    """Files decided inside their own row: PDF, images, damaged files of any type, and types without an inspector.
+
+    ``kinds`` are the types that can occur; expressions for others are left out. Nothing is shuffled.
+    """
     content, kind = F.col("content"), F.col("original_type")
     size = F.octet_length(content)
-    rows = files.withColumn("_segments", image_segments(F.when(kind.isin(*rules.IMAGE_TYPES), content), kind))
-    rows = rows.withColumns(
-        {
-            "_size": image.dimensions(content, kind, F.col("_segments")),
-            "_whole": F.coalesce(image.is_whole(kind, F.col("_segments")), F.lit(False)),
-            "_ruled": image.with_rules(content, kind, F.col("_segments")),
-            "_hits": F.when(kind == "pdf", pdf.name_hits("content")).when(kind == "gif", image.gif_hits("content")),
-        }
-    )
-    pixels = F.col("_size.width") * F.col("_size.height")
-    markup_error = (
-        F.when(size == 0, "svg: empty file")
-        .when(size > rules.MAX_FILE_BYTES, F.format_string("svg: file exceeds maximum size (%d bytes)", size))
-        .otherwise("svg: input does not appear to be SVG/XML")
-    )
-    image_error = (
-        F.when(size == 0, "empty file")
-        .when(
-            (size > rules.MAX_FILE_BYTES) | F.col("_size").isNull() | ~F.col("_whole"),
-            F.concat(F.lit("decoding "), kind, F.lit(" image: malformed data")),
+    images = [t for t in rules.IMAGE_TYPES if t in kinds & enabled]
+    errors: list[tuple[Column, Column]] = []
+    found: list[tuple[Column, Column]] = []
+    cleaned: list[tuple[Column, Column]] = []
+    rows = files
+    if images:
+        is_image = kind.isin(*images)
+        rows = rows.withColumn("_segments", image_segments(F.when(is_image, content), kind))
+        rows = rows.withColumns(
+            {
+                "_size": image.dimensions(content, kind, F.col("_segments")),
+                "_whole": F.coalesce(image.is_whole(kind, F.col("_segments")), F.lit(False)),
+                "_ruled": image.with_rules(content, kind, F.col("_segments")),
+                "_blocks": F.when(kind == "gif", image.gif_hits("content")),
+            }
         )
-        .when(
-            pixels > rules.MAX_PIXELS,
-            F.format_string(f"decoded image exceeds pixel limit (%d pixels, max {rules.MAX_PIXELS})", pixels),
+        pixels = F.col("_size.width") * F.col("_size.height")
+        broken = (size > rules.MAX_FILE_BYTES) | F.col("_size").isNull() | ~F.col("_whole")
+        image_error = (
+            F.when(size == 0, "empty file")
+            .when(broken, F.concat(F.lit("decoding "), kind, F.lit(" image: malformed data")))
+            .when(
+                pixels > rules.MAX_PIXELS,
+                F.format_string(f"decoded image exceeds pixel limit (%d pixels, max {rules.MAX_PIXELS})", pixels),
+            )
         )
-    )
-    error = (
-        F.when(kind == "pdf", pdf.error_of(content))
-        .when(kind == "svg", markup_error)
-        .when(kind.isin(*rules.IMAGE_TYPES), image_error)
-        # a container type here means bytes that are no container
-        .when(kind == "zip", F.when(size == 0, "archive sanitize: empty input").otherwise("archive sanitize: invalid zip"))
-        .when(kind.isin(*rules.OFFICE_TYPES), "office sanitize: invalid zip")
-    )
-    found = F.when(kind == "pdf", pdf.findings_of(F.col("_hits"))).when(
-        kind.isin(*rules.IMAGE_TYPES), image.segment_findings(content, kind, F.col("_ruled"), F.col("_hits"))
-    )
-    rows = rows.withColumns({"error_message": error, "_found": found})
+        errors.append((is_image, image_error))
+        found.append((is_image, image.segment_findings(content, kind, F.col("_ruled"), F.col("_blocks"))))
+        cleaned.append((is_image, image.strip_segments(content, F.col("_ruled"))))
+    if "pdf" in kinds & enabled:
+        rows = rows.withColumn("_hits", F.when(kind == "pdf", pdf.name_hits("content")))
+        errors.append((kind == "pdf", pdf.error_of(content)))
+        found.append((kind == "pdf", pdf.findings_of(F.col("_hits"))))
+        cleaned.append((kind == "pdf", pdf.mask(content)))
+    # markup and containers get here only when their bytes are not what they should be
+    if "svg" in kinds & enabled:
+        markup_error = (
+            F.when(size == 0, "svg: empty file")
+            .when(size > rules.MAX_FILE_BYTES, F.format_string("svg: file exceeds maximum size (%d bytes)", size))
+            .otherwise("svg: input does not appear to be SVG/XML")
+        )
+        errors.append((kind == "svg", markup_error))
+    if "zip" in kinds & enabled:
+        empty = F.when(size == 0, "archive sanitize: empty input")
+        errors.append((kind == "zip", empty.otherwise("archive sanitize: invalid zip")))
+    if office := [t for t in rules.OFFICE_TYPES if t in kinds & enabled]:
+        errors.append((kind.isin(*office), F.lit("office sanitize: invalid zip")))
+
+    rows = rows.withColumns({"error_message": _first(errors, F.lit(None).cast("string")), "_found": _first(found, no_findings())})
     rows = rows.withColumn(
         "findings", F.coalesce(F.when(F.col("error_message").isNull(), F.col("_found")), no_findings())
     )
     status = (
         F.when(F.col("error_message").isNotNull(), "ERROR")
-        .when(kind == "unknown", "UNSUPPORTED")
+        .when(~kind.isin(*enabled), "UNSUPPORTED")
         .when(F.size("findings") > 0, "SANITIZED")
         .otherwise("CLEAN")
     )
     rows = rows.withColumn("status", status)
-    cleaned = F.when(kind == "pdf", pdf.mask(content)).otherwise(image.strip_segments(content, F.col("_ruled")))
-    output = F.when(F.col("status").isin("CLEAN", "UNSUPPORTED"), content).when(F.col("status") == "SANITIZED", cleaned)
+    output = F.when(F.col("status").isin("CLEAN", "UNSUPPORTED"), content).when(
+        F.col("status") == "SANITIZED", _first(cleaned, F.lit(None).cast("binary"))
+    )
     return rows.withColumn("output", output)
 
 
-def inspect_files(files: DataFrame, registry: Registry | None = None, strict_reference: bool = False) -> DataFrame:
+def _first(cases: list[tuple[Column, Column]], default: Column) -> Column:
+    if not cases:
+        return default
+    (test, value), *rest = cases
+    return reduce(lambda chain, case: chain.when(case[0], case[1]), rest, F.when(test, value)).otherwise(default)
+
+
+def inspect_files(
+    files: DataFrame,
+    registry: Registry | None = None,
+    types: Sequence[str] = rules.FILE_TYPES,
+    strict_reference: bool = False,
+) -> DataFrame:
     """``(file_id, filename, content)`` → one outcome row per file.
 
-    ``file_id`` is unique. ``strict_reference`` leaves oversized archive entries unreported.
-    Types in ``registry`` go to its inspectors instead of the built-in ones.
+    ``file_id`` is unique. ``types`` are the types inspected; any other type is UNSUPPORTED and passes
+    through. Types in ``registry`` go to its inspectors instead of the built-in ones.
+    ``strict_reference`` leaves oversized archive entries unreported.
     """
     rows = files.select("file_id", "filename", "content")
     content, name = F.col("content"), F.col("filename")
     container = may_be_container(content, name)
     plain = rows.where(~container).withColumn("original_type", F.coalesce(magic_type(content), extension_type(name)))
     packed = with_listing(rows.where(container)).withColumn("original_type", type_of(content, name, F.col("listing")))
-    return _inspect(plain, packed, None, 0, registry or Registry(), strict_reference)
+    run = _Run(registry or Registry(), set(types), strict_reference)
+    return _inspect(plain, packed, {*rules.FILE_TYPES, "unknown"}, 0, run)
 
 
-def _inspect(
-    plain: DataFrame, packed: DataFrame, types: set[str] | None, depth: int, registry: Registry, strict: bool
-) -> DataFrame:
+@dataclass(frozen=True)
+class _Run:
+    registry: Registry
+    enabled: set[str]
+    strict: bool
+
+
+def _inspect(plain: DataFrame, packed: DataFrame, occurring: set[str], depth: int, run: _Run) -> DataFrame:
     """Route typed files. ``packed`` holds the ZIP containers, with their ``listing``; ``plain`` the rest.
 
-    ``types`` names the types that occur, where that is known; branches for other types are left out.
+    Branches for types that do not occur are left out.
     """
-    custom = registry.types()
     kind = F.col("original_type")
-
-    def wanted(*names: str) -> list[str]:
-        return [n for n in names if n not in custom and (types is None or n in types)]
+    mine = occurring - set(run.registry.types())
+    opens = sorted(mine & run.enabled & {"zip", *rules.OFFICE_TYPES})
 
     parts: list[DataFrame] = []
-    containers = wanted("zip", *rules.OFFICE_TYPES)
-    if in_row := wanted(*rules.FILE_TYPES, "unknown"):
-        # SVG with a plausible start goes to the tokenizer; the rest of it fails in its own row
-        to_tokens = looks_like_markup(F.col("content")) & (_size() <= rules.MAX_FILE_BYTES)
-        damaged = packed.where(F.col("listing").isNull() & kind.isin(*in_row)).drop("listing")
-        if depth >= rules.MAX_ARCHIVE_DEPTH:
-            damaged = damaged.where(kind != "zip")
-        single = plain.where(kind.isin(*in_row) & ~((kind == "svg") & to_tokens)).unionByName(damaged)
-        parts.append(_inspect_single(single.withColumn("original_size", _size())).select(*OUTCOME))
-        if "svg" in in_row:
-            documents = plain.where((kind == "svg") & to_tokens).select("file_id", "content")
-            parts.append(inspect_markup(documents).withColumn("original_type", F.lit("svg")).select(*OUTCOME))
+    if mine:
+        unopened = F.col("listing").isNull() | ~kind.isin(*opens)
+        if depth >= rules.MAX_ARCHIVE_DEPTH and "zip" in opens:
+            unopened = unopened & (kind != "zip")
+        single = plain.where(kind.isin(*mine))
+        if "svg" in mine & run.enabled:
+            # SVG with a plausible start goes to the tokenizer; the rest of it fails in its own row
+            to_tokens = (kind == "svg") & looks_like_markup(F.col("content")) & (_size() <= rules.MAX_FILE_BYTES)
+            parts.append(
+                inspect_markup(single.where(to_tokens).select("file_id", "content"))
+                .withColumn("original_type", F.lit("svg"))
+                .select(*OUTCOME)
+            )
+            single = single.where(~to_tokens)
+        single = single.unionByName(packed.where(kind.isin(*mine) & unopened).drop("listing"))
+        parts.append(_inspect_single(single.withColumn("original_size", _size()), mine, run.enabled).select(*OUTCOME))
     opened = packed.where(F.col("listing").isNotNull())
-    if office_types := wanted(*rules.OFFICE_TYPES):
+    if office_types := [t for t in opens if t != "zip"]:
         office = opened.where(kind.isin(*office_types)).withColumn("original_size", _size())
         parts.append(inspect_office(office).select(*OUTCOME))
-    if "zip" in containers:
+    if "zip" in opens:
         if depth >= rules.MAX_ARCHIVE_DEPTH:
             parts.append(_too_deep(packed.where(kind == "zip"), depth))
         else:
-            parts.append(_inspect_archives(opened.where(kind == "zip"), depth, registry, strict))
+            parts.append(_inspect_archives(opened.where(kind == "zip"), depth, run))
     typed = plain.unionByName(packed.drop("listing"))
-    for inspector, names in registry.items():
-        mine = typed.where(kind.isin(*names))
-        done = inspector(mine).select("file_id", "status", "findings", "error_message", "output")
+    for inspector, names in run.registry.items():
+        theirs = typed.where(kind.isin(*names))
+        done = inspector(theirs).select("file_id", "status", "findings", "error_message", "output")
         parts.append(
-            mine.select("file_id", "original_type", _size().alias("original_size")).join(done, "file_id").select(*OUTCOME)
+            theirs.select("file_id", "original_type", _size().alias("original_size")).join(done, "file_id").select(*OUTCOME)
         )
     return reduce(DataFrame.unionByName, parts)
 
@@ -183,7 +220,7 @@ def _too_deep(archives: DataFrame, depth: int) -> DataFrame:
     )
 
 
-def _inspect_archives(archives: DataFrame, depth: int, registry: Registry, strict: bool) -> DataFrame:
+def _inspect_archives(archives: DataFrame, depth: int, run: _Run) -> DataFrame:
     """Archives → outcomes. Members are expanded once, into a staged table, and inspected like any file.
 
     Everything grouped per archive is bounded by the archive cap.
@@ -209,7 +246,7 @@ def _inspect_archives(archives: DataFrame, depth: int, registry: Registry, stric
         typed = members.where("content IS NOT NULL").select("file_id", "filename", "content", "original_type", "listing")
         container = may_be_container(F.col("content"), F.col("filename"))
         inner = _inspect(
-            typed.where(~container).drop("listing"), typed.where(container), types, depth + 1, registry, strict
+            typed.where(~container).drop("listing"), typed.where(container), types, depth + 1, run
         )
         outcomes = stage(
             inner.select(
@@ -218,7 +255,7 @@ def _inspect_archives(archives: DataFrame, depth: int, registry: Registry, stric
             ),
             f"outcomes{depth}",
         )
-    return _fold_members(opened, members, outcomes, strict)
+    return _fold_members(opened, members, outcomes, run.strict)
 
 
 def _read_members(opened: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from disarm import rules
@@ -18,7 +17,7 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
         return spark.createDataFrame([], LEDGER)
-    document = spark.read.schema(LEDGER_DOCUMENT).option("multiLine", "true").json(path)
+    document = spark.read.schema(LEDGER_DOCUMENT).option("multiLine", "true").option("recursiveFileLookup", "true").json(path)
     checked = document.withColumn(
         "clients",
         F.when(F.col("version") == rules.LEDGER_VERSION, F.col("clients")).otherwise(
@@ -37,31 +36,27 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+RECORDS_PER_DOCUMENT = 100_000
+
+
 def write_ledger(ledger: DataFrame, path: str) -> None:
-    """Write one document to a new folder.
+    """Write the ledger to a new folder: one document, or several once it outgrows one.
 
-    A ledger is one JSON document by format, so one task writes its lines; it streams them and
-    spills while sorting, so the ledger need not fit in its memory.
+    Records are spread over the documents by fingerprint, so each one is put together in a bounded group.
     """
 
     def unix(name: str):
         return F.coalesce(F.unix_seconds(name), F.lit(0)).alias(f"{name}_unix")
 
-    have = {c: F.col(c) if c in ledger.columns else F.lit(None).cast("string").alias(c) for c in ("name", "common_name", "revoke_reason")}
-    rows = ledger.select(
-        "fingerprint", have["name"], F.coalesce(have["common_name"], F.lit("")).alias("common_name"),
-        unix("issued_at"), unix("not_after"), unix("revoked_at"), have["revoke_reason"],
-    )
-    # head, one line per record and tail, in this order, as the lines of one text file
-    records = rows.select(F.lit(1).alias("part"), "fingerprint", F.to_json(F.struct("*")).alias("record"))
-    previous = F.lag("part").over(W.partitionBy("part").orderBy("fingerprint"))
-    lines = records.select(
-        "part", "fingerprint",
-        F.concat(F.when(previous.isNull(), "").otherwise(","), "record").alias("value"),
-    )
-    spark = ledger.sparkSession
-    frame = spark.createDataFrame(
-        [(0, "", f'{{"version": {rules.LEDGER_VERSION}, "clients": ['), (2, "", "]}")],
-        "part INT, fingerprint STRING, value STRING",
+    def text(name: str):
+        return (F.col(name) if name in ledger.columns else F.lit(None).cast("string")).alias(name)
+
+    record = F.struct(
+        "fingerprint", text("name"), F.coalesce(text("common_name"), F.lit("")).alias("common_name"),
+        unix("issued_at"), unix("not_after"), unix("revoked_at"), text("revoke_reason"),
     )
-    lines.unionByName(frame).coalesce(1).sortWithinPartitions("part", "fingerprint").select("value").write.text(path)
+    documents = -(-ledger.count() // RECORDS_PER_DOCUMENT) or 1
+    numbered = ledger.select(F.pmod(F.xxhash64("fingerprint"), F.lit(documents)).alias("document"), record.alias("record"))
+    packed = numbered.groupBy("document").agg(F.array_sort(F.collect_list("record")).alias("clients"))
+    body = F.to_json(F.struct(F.lit(rules.LEDGER_VERSION).alias("version"), "clients"))
+    packed.select("document", body.alias("value")).write.partitionBy("document").text(path)

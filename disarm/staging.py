@@ -29,6 +29,16 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def range_width(spark: SparkSession) -> int:
-    """How many ranges an ordered table is cut into: the session's shuffle width."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+RANGE_BYTES = 256 * 1024 * 1024
+MAX_RANGES = 20_000
+
+
+def range_width(df: DataFrame) -> int:
+    """How many ranges an ordered table is cut into.
+
+    At least the session's shuffle width, more for a large input, and never so many that one
+    summary row per range would be much.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(width, min(MAX_RANGES, -(-size // RANGE_BYTES)))

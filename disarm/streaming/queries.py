@@ -74,7 +74,7 @@ def run_complete(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-MAX_BATCH = "1g"
+MAX_BATCH_BYTES = 1 << 30
 
 
 def stream_table(spark: SparkSession, path: str, name: str = "*.parquet", max_files: int | None = None) -> DataFrame:
@@ -87,5 +87,5 @@ def stream_table(spark: SparkSession, path: str, name: str = "*.parquet", max_fi
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     else:
-        reader = reader.option("maxBytesPerTrigger", MAX_BATCH)
+        reader = reader.option("maxBytesPerTrigger", MAX_BATCH_BYTES)
     return reader.parquet(path)
