@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 def base_name(path: Column) -> Column:
     """Last path element; trailing slashes are ignored, an empty path is ``.``, a path of slashes is ``/``."""
-    trimmed = F.regexp_replace(path, "/+$", "")
+    trimmed = F.rtrim(path, F.lit("/"))
+    of_folder = F.when(trimmed == "", "/").otherwise(F.substring_index(trimmed, "/", -1))
     return (
         F.when(path == "", ".")
-        .when(trimmed == "", "/")
-        .otherwise(F.substring_index(trimmed, "/", -1))
+        .when(F.endswith(path, F.lit("/")), of_folder)
+        .otherwise(F.substring_index(path, "/", -1))
     )
 
 

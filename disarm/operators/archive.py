@@ -57,16 +57,19 @@ def is_unsafe_path(name: Column, office: bool = False) -> Column:
 
 
 def _part_tests(name: Column) -> list[Column]:
-    base = F.lower(base_name(name))
     whole = F.lower(name)
+    base = base_name(whole)
     tests = []
     for on, prefix, suffixes, *_ in rules.OFFICE_PART_RULES:
-        subject = base if on == "base" else whole
+        if on == "path":
+            tests.append(_any(F.endswith(whole, F.lit(s)) for s in suffixes))
+            continue
         if prefix == "=":
-            tests.append(subject == suffixes[0])
+            hit = base == suffixes[0]
         else:
-            ends = _any(F.endswith(subject, F.lit(s)) for s in suffixes)
-            tests.append(F.startswith(subject, F.lit(prefix)) & ends if prefix else ends)
+            hit = F.startswith(base, F.lit(prefix)) & _any(F.endswith(base, F.lit(s)) for s in suffixes)
+        # a cheap test on the whole path first: few names get as far as their base
+        tests.append(F.contains(whole, F.lit(suffixes[0] if prefix in ("", "=") else prefix)) & hit)
     return tests
 
 
@@ -78,8 +81,13 @@ def is_dangerous_part(name: Column) -> Column:
 def part_finding(name: Column) -> Column:
     """Finding struct for a dangerous Office part name (first rule that hits), or null."""
     base = base_name(name)
+
+    def described(text: str) -> Column:
+        head, _, tail = text.partition("%s")
+        return F.concat(F.lit(head), base, F.lit(tail)) if "%s" in text else F.lit(text)
+
     branches = [
-        (hit, finding(kind, name, F.format_string(text, base) if "%s" in text else text, severity))
+        (hit, finding(kind, name, described(text), severity))
         for hit, (_, _, _, kind, severity, text) in zip(_part_tests(name), rules.OFFICE_PART_RULES)
     ]
     return _cases(branches)
@@ -107,16 +115,18 @@ def rels_finding(name: Column, body: Column) -> Column:
 
 def entry_path_safety(entries: DataFrame, office: bool = False) -> DataFrame:
     """Entries with an unsafe path, one finding each."""
-    return entries.select("archive_id", "entry_idx", path_finding(F.col("name"), office).alias("f")).where(
-        "f IS NOT NULL"
-    ).select("archive_id", "entry_idx", "f.*")
+    unsafe = entries.where(is_unsafe_path(F.col("name"), office))
+    return unsafe.select("archive_id", "entry_idx", path_finding(F.col("name"), office).alias("f")).select(
+        "archive_id", "entry_idx", "f.*"
+    )
 
 
 def entry_name_rules(entries: DataFrame) -> DataFrame:
     """Entries that are dangerous Office parts, one finding each."""
-    return entries.select("archive_id", "entry_idx", part_finding(F.col("name")).alias("f")).where(
-        "f IS NOT NULL"
-    ).select("archive_id", "entry_idx", "f.*")
+    dangerous = entries.where(is_dangerous_part(F.col("name")))
+    return dangerous.select("archive_id", "entry_idx", part_finding(F.col("name")).alias("f")).select(
+        "archive_id", "entry_idx", "f.*"
+    )
 
 
 def rels_external_refs(parts: DataFrame) -> DataFrame:

@@ -183,10 +183,17 @@ def instants(df: DataFrame) -> DataFrame:
     return df.withColumns({name: F.expr(micros.format(name)) for name in zoneless}) if zoneless else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Content that sits in fewer splits than there are cores is spread over them; a large table never does."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, or a derived one built on them."""
     if name in GIVEN:
-        return instants(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        df = instants(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        return spread(df) if name in ("documents", "pages") else df
     deps = {dep: table(spark, sf_dir, dep) for dep in depends_on(VIEWS[name])}
     return spark.sql(_escaped(name), **deps)
 
