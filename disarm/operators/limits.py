@@ -20,6 +20,7 @@ from disarm import rules
 from disarm.staging import stage
 
 HOT_ROWS = 2_000_000
+BROADCAST_KEYS = 100_000
 _OUT = T.StructType().add("event_id", "long").add("accepted", "boolean")
 
 
@@ -30,10 +31,14 @@ def rate_limit_decisions(
     rows = events.select("event_id", "key", F.unix_micros("ts").alias("at"))
     # at most (all rows / hot_rows) keys are hot
     hot = stage(rows.groupBy("key").count().where(F.col("count") > hot_rows).select("key"), "hotkeys")
-    if hot.isEmpty():
-        return _fold(rows, max_events, window_s * 1_000_000)
-    cold = _fold(rows.join(hot, "key", "left_anti"), max_events, window_s * 1_000_000)
-    return cold.unionByName(_by_slices(rows.join(hot, "key"), max_events, window_s * 1_000_000))
+    n_hot = hot.count()
+    window = window_s * 1_000_000
+    if n_hot == 0:
+        return _fold(rows, max_events, window)
+    small = n_hot <= BROADCAST_KEYS
+    hot = F.broadcast(hot) if small else hot
+    cold = _fold(rows.join(hot, "key", "left_anti"), max_events, window)
+    return cold.unionByName(_by_slices(rows.join(hot, "key"), max_events, window, small))
 
 
 def _fold(rows: DataFrame, max_events: int, window: int) -> DataFrame:
@@ -59,7 +64,7 @@ def _slices(rows: DataFrame) -> Iterator[int]:
     return iter(range(first, last + 1))
 
 
-def _by_slices(rows: DataFrame, max_events: int, window: int) -> DataFrame:
+def _by_slices(rows: DataFrame, max_events: int, window: int, small: bool) -> DataFrame:
     """Hot keys, one window-long slice after another; the number of rounds depends on the time span only."""
     spark = rows.sparkSession
     sliced = stage(rows.withColumn("_slice", F.floor(F.col("at") / window)), "slices")
@@ -68,7 +73,9 @@ def _by_slices(rows: DataFrame, max_events: int, window: int) -> DataFrame:
     )
     accepted: list[DataFrame] = []
     for number in _slices(sliced):
-        taken = stage(_slice_round(sliced.where(F.col("_slice") == number), state, max_events), "round")
+        # one state row per hot key; broadcast where their number was checked
+        held = F.broadcast(state) if small else state
+        taken = stage(_slice_round(sliced.where(F.col("_slice") == number), held, max_events), "round")
         accepted.append(taken)
         state = taken.groupBy("key").agg(F.array_sort(F.collect_list(F.col("at") + window)).alias("free_at"))
     all_taken = accepted[0]
@@ -91,7 +98,7 @@ def _slice_round(rows: DataFrame, state: DataFrame, max_events: int) -> DataFram
         (max_events - F.size(free) + F.size(F.filter(free, lambda x: x <= F.col("at")))).alias("places"),
     )
     within = W.partitionBy("key", "places").orderBy("at", "event_id")
-    first = placed.withColumn("rn", F.row_number().over(within)).where(F.col("rn") <= max_events)
+    first = stage(placed.withColumn("rn", F.row_number().over(within)).where(F.col("rn") <= max_events), "first")
     runs = first.groupBy("key", "places").agg(F.max("rn").cast("bigint").alias("n"))
     upto = W.partitionBy("key").orderBy("places").rowsBetween(W.unboundedPreceding, 0)
     # taken so far = min(places, taken before + rows): a running minimum over the run totals

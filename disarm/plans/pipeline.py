@@ -150,11 +150,19 @@ def inspect_files(
     content, name = F.col("content"), F.col("filename")
     container = may_be_container(content, name)
     plain = rows.where(~container).withColumn("original_type", F.coalesce(magic_type(content), extension_type(name)))
-    packed = with_listing(rows.where(container)).withColumn("original_type", type_of(content, name, F.col("listing")))
+    # containers are needed several times (listing, entries, rebuilding): read and listed once, then staged
+    listed = with_listing(rows.where(container)).withColumn("original_type", type_of(content, name, F.col("listing")))
+    packed = stage(listed, "containers")
     run = _Run(registry or Registry(), set(types), strict_reference)
     return _inspect(plain, packed, {*rules.FILE_TYPES, "unknown"}, 0, run)
 
 
+def _occurring(typed: DataFrame) -> dict[str, bool]:
+    """Types that occur in a staged table, and whether any file of the type has no listing (one small row per type)."""
+    rows = typed.groupBy("original_type").agg(F.bool_or(F.col("listing").isNull()).alias("unlisted")).collect()
+    return {r.original_type: r.unlisted for r in rows}
+
+
 @dataclass(frozen=True)
 class _Run:
     registry: Registry
@@ -165,35 +173,36 @@ class _Run:
 def _inspect(plain: DataFrame, packed: DataFrame, occurring: set[str], depth: int, run: _Run) -> DataFrame:
     """Route typed files. ``packed`` holds the ZIP containers, with their ``listing``; ``plain`` the rest.
 
-    Branches for types that do not occur are left out.
+    Branches for types that do not occur are left out; ``occurring`` are the types ``plain`` may hold.
     """
     kind = F.col("original_type")
-    mine = occurring - set(run.registry.types())
-    opens = sorted(mine & run.enabled & {"zip", *rules.OFFICE_TYPES})
+    custom = set(run.registry.types())
+    mine = occurring - custom
+    held = {t: unlisted for t, unlisted in _occurring(packed).items() if t not in custom}
+    opens = {t for t in held if t in run.enabled and t in ("zip", *rules.OFFICE_TYPES)}
+    too_deep = depth >= rules.MAX_ARCHIVE_DEPTH
 
     parts: list[DataFrame] = []
-    if mine:
-        unopened = F.col("listing").isNull() | ~kind.isin(*opens)
-        if depth >= rules.MAX_ARCHIVE_DEPTH and "zip" in opens:
-            unopened = unopened & (kind != "zip")
-        single = plain.where(kind.isin(*mine))
-        if "svg" in mine & run.enabled:
-            # SVG with a plausible start goes to the tokenizer; the rest of it fails in its own row
-            to_tokens = (kind == "svg") & looks_like_markup(F.col("content")) & (_size() <= rules.MAX_FILE_BYTES)
-            parts.append(
-                inspect_markup(single.where(to_tokens).select("file_id", "content"))
-                .withColumn("original_type", F.lit("svg"))
-                .select(*OUTCOME)
-            )
-            single = single.where(~to_tokens)
-        single = single.unionByName(packed.where(kind.isin(*mine) & unopened).drop("listing"))
-        parts.append(_inspect_single(single.withColumn("original_size", _size()), mine, run.enabled).select(*OUTCOME))
+    single = plain.where(kind.isin(*mine))
+    if "svg" in mine & run.enabled:
+        # SVG with a plausible start goes to the tokenizer; the rest of it fails in its own row
+        to_tokens = (kind == "svg") & looks_like_markup(F.col("content")) & (_size() <= rules.MAX_FILE_BYTES)
+        documents = single.where(to_tokens).select("file_id", "content")
+        parts.append(inspect_markup(documents).withColumn("original_type", F.lit("svg")).select(*OUTCOME))
+        single = single.where(~to_tokens)
+    unopened = [t for t, unlisted in held.items() if t not in opens or (unlisted and not (t == "zip" and too_deep))]
+    if unopened:
+        left = packed.where(kind.isin(*unopened) & (F.col("listing").isNull() | ~kind.isin(*opens)))
+        single = single.unionByName(left.drop("listing"))
+    parts.append(
+        _inspect_single(single.withColumn("original_size", _size()), mine | set(unopened), run.enabled).select(*OUTCOME)
+    )
     opened = packed.where(F.col("listing").isNotNull())
-    if office_types := [t for t in opens if t != "zip"]:
+    if office_types := sorted(opens - {"zip"}):
         office = opened.where(kind.isin(*office_types)).withColumn("original_size", _size())
         parts.append(inspect_office(office).select(*OUTCOME))
     if "zip" in opens:
-        if depth >= rules.MAX_ARCHIVE_DEPTH:
+        if too_deep:
             parts.append(_too_deep(packed.where(kind == "zip"), depth))
         else:
             parts.append(_inspect_archives(opened.where(kind == "zip"), depth, run))
