@@ -159,3 +159,21 @@ def test_uploads_across_batches(spark):
     out = sq.run_append(ss.assemble_stream(in_batches(spark, df, "ts"), max_size=100), fresh(), fresh()).collect()
     got = {r.request_id: (bytes(r.content) if r.content is not None else None, r.reject_reason) for r in out}
     assert got == {"a": (b"AB", None), "b": (None, "file_too_large"), "c": (None, "upload_timeout"), "d": (b"later", None)}
+
+
+def test_sql_functions(spark):
+    from disarm.functions.register import register
+
+    register(spark)
+    spark.createDataFrame(
+        [("z", bytearray(zip_of([("a", b"1"), ("b", b"22")])))], "id STRING, content BINARY"
+    ).createOrReplaceTempView("files")
+    rows = spark.sql("SELECT id, e.entry_idx, e.size FROM files, LATERAL archive_entries(content, CAST(NULL AS ARRAY<INT>)) AS e")
+    assert {tuple(r) for r in rows.collect()} == {("z", 0, 1), ("z", 1, 2)}
+    assert [e.name for e in spark.sql("SELECT zip_listing(content) AS l FROM files").first().l] == ["a", "b"]
+
+
+def test_types_left_out_pass_through(spark):
+    df = spark.createDataFrame([("a", "a.pdf", pdf(b"/JS 1")), ("b", "b.docm", MACRO)], "file_id STRING, filename STRING, content BINARY")
+    got = {r.file_id: (r.original_type, r.status) for r in inspect_files(df, types=["pdf"]).collect()}
+    assert got == {"a": ("pdf", "SANITIZED"), "b": ("docx", "UNSUPPORTED")}
