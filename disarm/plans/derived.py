@@ -146,7 +146,7 @@ FROM {events} WHERE event_type = 'signup' AND user_id % 50 = 0""",
     "pin_attempts": """
 SELECT event_id, ts, concat('fp-', event_id % 4) AS fingerprint FROM {events} WHERE event_type = 'view'""",
     "downloads": """
-SELECT event_id AS id, ts AS created_at, CAST(floor(value * 2000000) AS BIGINT) AS size FROM {events} WHERE event_type = 'click'""",
+SELECT event_id AS id, ts AS created_at, CAST(floor(value * 200000) AS BIGINT) AS size FROM {events} WHERE event_type = 'click'""",
     "certs": """
 SELECT o_orderkey AS cert_id, o_orderdate AS not_after FROM {orders}""",
     "pages_injected": """

@@ -138,13 +138,13 @@ def inspect_files(
     files: DataFrame,
     registry: Registry | None = None,
     types: Sequence[str] = rules.FILE_TYPES,
-    strict_reference: bool = False,
+    report_oversized: bool = True,
 ) -> DataFrame:
     """``(file_id, filename, content)`` → one outcome row per file.
 
     ``file_id`` is unique. ``types`` are the types inspected; any other type is UNSUPPORTED and passes
     through. Types in ``registry`` go to its inspectors instead of the built-in ones.
-    ``strict_reference`` leaves oversized archive entries unreported.
+    Oversized archive entries are dropped; ``report_oversized=False`` does so without a finding.
     """
     rows = files.select("file_id", "filename", "content")
     content, name = F.col("content"), F.col("filename")
@@ -153,7 +153,7 @@ def inspect_files(
     # containers are needed several times (listing, entries, rebuilding): read and listed once, then staged
     listed = with_listing(rows.where(container)).withColumn("original_type", type_of(content, name, F.col("listing")))
     packed = stage(listed, "containers")
-    run = _Run(registry or Registry(), set(types), strict_reference)
+    run = _Run(registry or Registry(), set(types), report_oversized)
     return _inspect(plain, packed, {*rules.FILE_TYPES, "unknown"}, 0, run)
 
 
@@ -167,7 +167,7 @@ def _occurring(typed: DataFrame) -> dict[str, bool]:
 class _Run:
     registry: Registry
     enabled: set[str]
-    strict: bool
+    report_oversized: bool
 
 
 def _inspect(plain: DataFrame, packed: DataFrame, occurring: set[str], depth: int, run: _Run) -> DataFrame:
@@ -249,10 +249,10 @@ def _inspect_archives(archives: DataFrame, depth: int, run: _Run) -> DataFrame:
     )
     opened = opened.withColumn("_wanted", wanted)
     members = stage(detect_type(_read_members(opened)), f"members{depth}")
-    types = {r[0] for r in members.where("content IS NOT NULL").select("original_type").distinct().collect()}
+    types = {r[0] for r in members.where("readable").select("original_type").distinct().collect()}
     outcomes = None
     if types:
-        typed = members.where("content IS NOT NULL").select("file_id", "filename", "content", "original_type", "listing")
+        typed = members.where("readable").select("file_id", "filename", "content", "original_type", "listing")
         container = may_be_container(F.col("content"), F.col("filename"))
         inner = _inspect(
             typed.where(~container).drop("listing"), typed.where(container), types, depth + 1, run
@@ -264,7 +264,7 @@ def _inspect_archives(archives: DataFrame, depth: int, run: _Run) -> DataFrame:
             ),
             f"outcomes{depth}",
         )
-    return _fold_members(opened, members, outcomes, run.strict)
+    return _fold_members(opened, members, outcomes, run.report_oversized)
 
 
 def _read_members(opened: DataFrame) -> DataFrame:
@@ -273,10 +273,11 @@ def _read_members(opened: DataFrame) -> DataFrame:
         F.concat(F.col("file_id").cast("string"), F.lit("/"), F.col("entry_idx")).alias("file_id"),
         F.col("file_id").alias("archive_id"), "entry_idx",
         F.get("listing", F.col("entry_idx"))["name"].alias("filename"), "size", "content", "error",
+        F.col("content").isNotNull().alias("readable"),
     )
 
 
-def _fold_members(opened: DataFrame, members: DataFrame, outcomes: DataFrame | None, strict: bool) -> DataFrame:
+def _fold_members(opened: DataFrame, members: DataFrame, outcomes: DataFrame | None, report_oversized: bool) -> DataFrame:
     """Per archive: first terminal event, findings in entry order, and the rebuilt container."""
     rows = members.select("file_id", "archive_id", "entry_idx", "filename", "size", "error")
     if outcomes is None:
@@ -331,7 +332,7 @@ def _fold_members(opened: DataFrame, members: DataFrame, outcomes: DataFrame | N
     )
     slot = lambda i, fs: F.struct(i.alias("i"), fs.alias("fs"))
     by_name = F.transform(
-        F.filter("_named", lambda e: e["f"].isNotNull() | (F.lit(not strict) & (e["declared_size"] > rules.MAX_ENTRY_BYTES))),
+        F.filter("_named", lambda e: e["f"].isNotNull() | (F.lit(report_oversized) & (e["declared_size"] > rules.MAX_ENTRY_BYTES))),
         lambda e: slot(e["entry_idx"], F.array(F.coalesce(e["f"], oversized(e["entry_idx"])))),
     )
     by_member = F.transform(
@@ -339,7 +340,7 @@ def _fold_members(opened: DataFrame, members: DataFrame, outcomes: DataFrame | N
         lambda m: slot(
             m["entry_idx"],
             F.when(m["entry_idx"] == F.col("_bomb"), F.array(bomb))
-            .when((m["size"] > rules.MAX_ENTRY_BYTES) & F.lit(not strict), F.array(oversized(m["entry_idx"])))
+            .when((m["size"] > rules.MAX_ENTRY_BYTES) & F.lit(report_oversized), F.array(oversized(m["entry_idx"])))
             .otherwise(F.coalesce(m["found"], no_findings())),
         ),
     )
