@@ -3,7 +3,8 @@
 A window over a hot key, or over no key at all, would pull every row of it into one task. Here the
 rows are cut into ranges of (keys, order) instead, so a hot key is spread over many ranges. Columns are
 first computed inside a range; one small summary row per range and key then carries the state from
-range to range. The number of ranges has a fixed bound, so the summaries of a key never outgrow a task.
+range to range. The number of ranges follows the row count, two million rows each at most, so a key that holds
+all of 10^11 rows has 50,000 summaries.
 
 ``order`` must be unique within a key.
 """
@@ -24,7 +25,8 @@ Local = Callable[[DataFrame, WindowSpec], DataFrame]
 
 def cut_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], local: Local) -> DataFrame:
     """Rows with ``_part`` and whatever ``local`` adds over the rows of one range and key; staged."""
-    parted = df.repartitionByRange(range_width(df), *keys, *order).withColumn(
+    rows = stage(df, "unordered")
+    parted = rows.repartitionByRange(range_width(rows, rows.count()), *keys, *order).withColumn(
         "_part", F.spark_partition_id()
     )
     within = W.partitionBy("_part", *keys).orderBy(*order)

@@ -11,34 +11,60 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders written by this process and not yet cleared, oldest first.
+_written: list[str] = []
+
 
 def staging_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where that is unset, a local folder is made for a local master only: on a cluster every machine
+    would write to a disk of its own, so there it is an error.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """The path of a fresh folder below the staging folder; it goes when :func:`clear_staged` is called."""
+    path = f"{staging_dir(spark)}/disarm-{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to a fresh folder below the staging folder and read it back."""
     spark = df.sparkSession
-    path = f"{staging_dir(spark)}/disarm-{label}-{uuid.uuid4().hex}"
+    path = new_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-RANGE_BYTES = 256 * 1024 * 1024
-MAX_RANGES = 20_000
+def mark() -> int:
+    """How many folders are staged by now; hand it to :func:`clear_staged` to keep those."""
+    return len(_written)
 
 
-def range_width(df: DataFrame) -> int:
-    """How many ranges an ordered table is cut into.
+def clear_staged(spark: SparkSession, since: int = 0) -> int:
+    """Delete the folders staged after ``since``; call it once the results that read them are written."""
+    gone, _written[since:] = _written[since:], []
+    jvm = spark._jvm
+    for path in gone:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return len(gone)
 
-    At least the session's shuffle width, more for a large input, and never so many that one
-    summary row per range would be much.
-    """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+RANGE_ROWS = 2_000_000
+
+
+def range_width(df: DataFrame, rows: int) -> int:
+    """How many ranges an ordered table of so many rows is cut into: the shuffle width, or one per RANGE_ROWS."""
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(width, min(MAX_RANGES, -(-size // RANGE_BYTES)))
+    return max(width, -(-rows // RANGE_ROWS))
