@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from disarm.llm import chat, decontaminate, jaccard_join, packing, toxicity, url_filter
+from disarm.llm import chat, decontaminate, jaccard_join, packing, toxicity, url_filter, vector_dedup
 
 OP2_SQL = r"""
 WITH RECURSIVE split AS (
@@ -138,6 +138,11 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
+
+def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_copies(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jaccard_join": op2_jaccard_join,
     "op5_decontaminate": op5_decontaminate,
@@ -145,5 +150,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_url_filter": op8_url_filter,
     "op9_chat_format": op9_chat_format,
+    "op10_vector_dedup": op10_vector_dedup,
 }
 ORACLES: dict[str, str] = {"op2_jaccard_join": OP2_SQL, "op5_decontaminate": OP5_SQL, "op8_url_filter": OP8_SQL, "op9_chat_format": OP9_SQL}
