@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from disarm.llm import chat, decontaminate, jaccard_join, packing, toxicity, url_filter, vector_dedup
+from disarm.llm import chat, decontaminate, jaccard_join, packing, toxicity, url_filter, vector_dedup, warc
 
 OP2_SQL = r"""
 WITH RECURSIVE split AS (
@@ -38,6 +38,24 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    index = warc.write_index(warc.write_archives(pages))
+    return warc.read_records(warc.wanted_pages(pages), index, payloads=False).drop("payload")
+
+
+OP3_SQL = """
+WITH sized AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM sized)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((('0x' || substr(h, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::BIGINT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to, true AS verified
+FROM firsts
+"""
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text", "hits")
 
@@ -145,6 +163,7 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_warc": op3_warc,
     "op5_decontaminate": op5_decontaminate,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_toxicity": op7_toxicity,
@@ -152,4 +171,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_format": op9_chat_format,
     "op10_vector_dedup": op10_vector_dedup,
 }
-ORACLES: dict[str, str] = {"op2_jaccard_join": OP2_SQL, "op5_decontaminate": OP5_SQL, "op8_url_filter": OP8_SQL, "op9_chat_format": OP9_SQL}
+ORACLES: dict[str, str] = {"op2_jaccard_join": OP2_SQL, "op3_warc": OP3_SQL, "op5_decontaminate": OP5_SQL, "op8_url_filter": OP8_SQL, "op9_chat_format": OP9_SQL}
