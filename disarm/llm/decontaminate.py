@@ -73,15 +73,18 @@ def _places(docs: DataFrame, tokens: DataFrame, sizes: list[int]) -> DataFrame:
 def contamination(
     docs: DataFrame, items: DataFrame, size: int = 13, shingle: int = 3, parts_in: int = 20
 ) -> DataFrame:
-    """``docs(doc_id, text)`` with n_words, n_hit, n_items, items_sha256, contaminated and hits.
+    """``docs`` (with doc_id and text) and n_words, n_hit, n_items, items_sha256, contaminated and hits.
 
     A window is ``size`` consecutive words of an item, or all words of a shorter one; an item without words has
     none. A word inside any occurrence of a window is hit. ``contaminated``: ``n_hit > 0 and parts_in * n_hit >=
     n_words``. ``hits`` lists (start, n) of the occurrences, words counted from 1. Items that repeat an id count
     as one item; null ids of items are left out of n_items and the digest. Null texts have no words. Each row of
-    ``docs`` is judged, repeated ones alike; empty tables of either kind are fine. Other columns are ignored.
+    ``docs`` is judged, repeated ones alike; empty tables of either kind are fine. Other columns of ``docs`` stay,
+    but for those named like the six new ones, which are replaced.
     """
-    docs = docs.select("doc_id", "text")
+    made = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hits")
+    kept = [c for c in docs.columns if c not in made]
+    docs = docs.select(*[F.col(f"`{c}`") for c in kept])
     windows = stage(windows_of(items, size, shingle), "windows")
     shingles = stage(_shingles_of(windows, shingle), "window-shingles")
     sizes = sorted(r[0] for r in windows.select("g").distinct().collect())  # at most `shingle` numbers
@@ -100,12 +103,12 @@ def contamination(
 
     judged = docs.withColumn("_key", _key()).join(near, "_key", "left").withColumn("_w", words_of(F.col("text")))
     holds = F.filter("near", lambda c: F.slice("_w", c["start"], c["n"]) == c["words"])
-    judged = judged.select("doc_id", "text", F.size("_w").cast("long").alias("n_words"), F.coalesce(holds, F.array().cast(near.schema["near"].dataType)).alias("_holds"))
+    judged = judged.select(*[F.col(f"`{c}`") for c in kept], F.size("_w").cast("long").alias("n_words"), F.coalesce(holds, F.array().cast(near.schema["near"].dataType)).alias("_holds"))
     covered = F.array_distinct(F.flatten(F.transform("_holds", lambda c: F.sequence(c["start"], c["start"] + c["n"] - 1))))
     named = F.array_sort(F.array_distinct(F.transform(F.flatten(F.transform("_holds", lambda c: c["items"])), lambda i: i.cast("string"))))
     judged = judged.withColumn("n_hit", F.size(covered).cast("long")).withColumn("_items", named)
     return judged.select(
-        "doc_id", "text", "n_words", "n_hit", F.size("_items").cast("long").alias("n_items"),
+        *[F.col(f"`{c}`") for c in kept], "n_words", "n_hit", F.size("_items").cast("long").alias("n_items"),
         F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (parts_in * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
         F.transform("_holds", lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"))).alias("hits"))

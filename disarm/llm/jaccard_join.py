@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from disarm.llm.components import components
@@ -32,7 +32,7 @@ _U = np.uint64
 _TOKEN = _U((1 << 48) - 1)  # low 48 bits: token; high 16: its document count, as far as that goes
 _FLUSH = 2_000_000  # tokens gathered in a task before they are dealt out
 #: What the bucket that answers for a row is told of it.
-_ROW = np.dtype([("row", "<i8"), ("id", "<i8"), ("null", "?"), ("n", "<u4")])
+_ROW = np.dtype([("row", "<i8"), ("id", "<i8"), ("null", "?"), ("key", "<i8"), ("n", "<u4")])
 _SALTS = (_U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93))
 
 
@@ -72,9 +72,8 @@ def _dealt(buckets: int, words: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = part.column(1)
-                found = shingle_sets(part.column(2), words)
-                held += [(r, i or 0, i is None, len(f)) for r, i, f in zip(part.column(0).to_pylist(), ids.to_pylist(), found)]
+                found = shingle_sets(part.column(3), words)
+                held += [(r, i or 0, i is None, k, len(f)) for r, i, k, f in zip(*[part.column(c).to_pylist() for c in range(3)], found)]
                 sets += found
                 count += sum(map(len, found))
                 if count >= _FLUSH:
@@ -128,7 +127,7 @@ def _regrouped(need: float):
         told = join("told", _ROW)
         first, last = np.searchsorted(rows, told["row"]), np.searchsorted(rows, told["row"], "right")
         return pd.DataFrame({
-            "row": told["row"], "id": pd.array(np.where(told["null"], 0, told["id"]), "Int64").copy(), "n": told["n"].astype(np.int64),
+            "row": told["row"], "id": pd.array(told["id"], "Int64"), "key": told["key"], "n": told["n"].astype(np.int64),
             "tokens": [tokens[a:z].tobytes() if n and z - a >= need * n else None for a, z, n in zip(first, last, told["n"].tolist())],
         }).assign(id=lambda d: d["id"].mask(told["null"]))
 
@@ -194,10 +193,15 @@ def _pairs(left: DataFrame, right: DataFrame, num: int, den: int) -> DataFrame:
     return l.join(r, fits).select(F.least("l.row", "r.row").alias("a"), F.greatest("l.row", "r.row").alias("b")).distinct()
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """Tells rows apart by id and text, also where ids repeat or are missing."""
+    return F.xxhash64(doc_id.cast("long"), text)
+
+
 def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80
 ) -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id and kept.
+    """One row per row of ``docs``: id, n_shingles, component_id, kept and key, which :func:`row_key` gives.
 
     Rows link when ``100 * |A and B| >= percent * |A or B|`` for their sets of shingles; component_id is the
     smallest id reachable by links, the row's own included, and ``kept`` is true for one row of a component
@@ -206,7 +210,7 @@ def jaccard_components(
     Other columns, whatever their names, are ignored; an empty table gives an empty result.
     """
     num, den = percent, 100
-    rows = _sets(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), words, num / den)
+    rows = _sets(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text")), words, num / den)
     sets = rows.where("tokens IS NOT NULL").withColumn(
         "class", F.when(F.length("tokens") == 8 * F.col("n"), F.concat(F.col("n").cast("string"), F.lit("-"), F.md5("tokens"))).otherwise(
             F.concat(F.lit("row "), F.col("row").cast("string"))))
@@ -238,10 +242,10 @@ def jaccard_components(
         found = verified(_pairs(placed, other, num, den))
         links = links.unionByName(found)
     copies = member.where("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b"))
-    placed = stage(_with_root(rows.select("row", "id", "n"), links.unionByName(copies)), "placed")
+    placed = stage(_with_root(rows.select("row", "id", "key", "n"), links.unionByName(copies)), "placed")
     lowest = stage(placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("m")), "lowest")
     return placed.join(lowest, "root").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("m.id").alias("component_id"), (F.col("m.row") == F.col("row")).alias("kept"))
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("m.id").alias("component_id"), (F.col("m.row") == F.col("row")).alias("kept"), "key")
 
 
 def _with_root(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -254,4 +258,4 @@ def _sets(rows: DataFrame, words: int, need: float) -> DataFrame:
     buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.mapInArrow(_dealt(buckets, words), "bucket int, tokens binary, rows binary, counts binary, told binary")
     counted = dealt.groupBy("bucket").applyInPandas(_counted(buckets), "home int, tokens binary, rows binary, told binary")
-    return stage(counted.groupBy("home").applyInPandas(_regrouped(need), "row long, id long, n long, tokens binary"), "sets")
+    return stage(counted.groupBy("home").applyInPandas(_regrouped(need), "row long, id long, key long, n long, tokens binary"), "sets")

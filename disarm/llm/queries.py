@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from disarm.llm import chat, decontaminate, jaccard_join, packing, toxicity, url_filter, vector_dedup, warc
+from disarm.llm import chat, decontaminate, jaccard_join, licenses, packing, token_counts, toxicity, url_filter, vector_dedup, warc
 
 OP2_SQL = r"""
 WITH RECURSIVE split AS (
@@ -34,8 +34,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents")).drop("key")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,8 +60,21 @@ FROM firsts
 """
 
 
+#: Personal data and keys that are redacted: addresses, numbers of several groups, long runs of hexadecimal digits.
+REDACTED = r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+|\+?\d[\d().-]*(?: [\d().-]+)*\d{3}|[0-9a-f]{24,}"
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents before and after their personal data are redacted."""
+    docs = token_counts.with_trees(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = docs.withColumn("edits", token_counts.redactions(F.col("text"), REDACTED, "[redacted]")).withColumn("tokens_before", F.get("tree.tokens", F.lit(1)))
+    edited = token_counts.apply_edits(docs.withColumn("n_edits", F.size("edits")))
+    return edited.select("doc_id", "n_edits", "tokens_before", F.col("n_tokens").alias("tokens_after"), "encoded_chars", F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text", "hits")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).drop("text", "hits")
 
 
 OP5_SQL = r"""
@@ -92,10 +109,8 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model)
-    return scored.select(
-        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"),
-        (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
+    scored = docs.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), toxicity.scores(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,8 +177,10 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_warc": op3_warc,
+    "op4_token_counts": op4_token_counts,
     "op5_decontaminate": op5_decontaminate,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_toxicity": op7_toxicity,

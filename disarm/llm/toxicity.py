@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -214,8 +213,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, lexicon: int
     return Model(_lexicon(rows, toxic, clean, ("a", "b"), least), weights)
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``toxicity`` from 0 to 1, over whole texts. Null and empty texts get the score of no event."""
+def scores(text: Column, model: Model) -> Column:
+    """The toxicity of whole texts, from 0 to 1. Null and empty texts get the score of no event."""
 
     @F.pandas_udf("double")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -223,9 +222,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         for part in texts:
             yield part.map(reader.score, na_action=None).astype(float)
 
-    return docs.withColumn("toxicity", run(F.col(text_col)))
-
-
-def train_hash(doc_id: object) -> int:
-    """The remainder that decides whether a row is held out, as :func:`held_out` has it."""
-    return zlib.crc32(str(doc_id).encode()) % 4
+    return run(text)
