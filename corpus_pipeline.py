@@ -26,10 +26,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    key = "_row_key"
-    kept = jaccard_join.jaccard_components(docs).where("kept").select(F.col("key").alias(key))
-    keyed = docs.withColumn(key, jaccard_join.row_key(F.col("doc_id"), F.col("text")))
-    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).select(docs.columns)
+    kept = jaccard_join.jaccard_components(docs).where("kept").select("key")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(row.alias("doc"), jaccard_join.row_key(F.col("doc_id"), F.col("text")).alias("key"))
+    return keyed.join(kept, "key", "left_semi").dropDuplicates(["key"]).select("doc.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
