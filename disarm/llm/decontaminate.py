@@ -84,7 +84,8 @@ def contamination(
     """
     made = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hits")
     kept = [c for c in docs.columns if c not in made]
-    docs = docs.select(*[F.col(f"`{c}`") for c in kept])
+    # the row itself is one value, so that no column of it can clash
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("doc"), "doc_id", "text")
     windows = stage(windows_of(items, size, shingle), "windows")
     shingles = stage(_shingles_of(windows, shingle), "window-shingles")
     sizes = sorted(r[0] for r in windows.select("g").distinct().collect())  # at most `shingle` numbers
@@ -101,14 +102,14 @@ def contamination(
         F.collect_set(F.struct(start.alias("start"), "n", "words", "items")).alias("near"))
     near = stage(near.withColumnRenamed("key", "_key"), "candidates")
 
-    judged = docs.withColumn("_key", _key()).join(near, "_key", "left").withColumn("_w", words_of(F.col("text")))
-    holds = F.filter("near", lambda c: F.slice("_w", c["start"], c["n"]) == c["words"])
-    judged = judged.select(*[F.col(f"`{c}`") for c in kept], F.size("_w").cast("long").alias("n_words"), F.coalesce(holds, F.array().cast(near.schema["near"].dataType)).alias("_holds"))
-    covered = F.array_distinct(F.flatten(F.transform("_holds", lambda c: F.sequence(c["start"], c["start"] + c["n"] - 1))))
-    named = F.array_sort(F.array_distinct(F.transform(F.flatten(F.transform("_holds", lambda c: c["items"])), lambda i: i.cast("string"))))
-    judged = judged.withColumn("n_hit", F.size(covered).cast("long")).withColumn("_items", named)
+    judged = docs.select("doc", _key().alias("_key"), words_of(F.col("text")).alias("w")).join(near, "_key", "left")
+    holds = F.filter("near", lambda c: F.slice("w", c["start"], c["n"]) == c["words"])
+    judged = judged.select("doc", F.size("w").cast("long").alias("n_words"), F.coalesce(holds, F.array().cast(near.schema["near"].dataType)).alias("holds"))
+    covered = F.array_distinct(F.flatten(F.transform("holds", lambda c: F.sequence(c["start"], c["start"] + c["n"] - 1))))
+    named = F.array_sort(F.array_distinct(F.transform(F.flatten(F.transform("holds", lambda c: c["items"])), lambda i: i.cast("string"))))
+    judged = judged.withColumn("n_hit", F.size(covered).cast("long")).withColumn("found", named)
     return judged.select(
-        *[F.col(f"`{c}`") for c in kept], "n_words", "n_hit", F.size("_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"),
+        "doc.*", "n_words", "n_hit", F.size("found").cast("long").alias("n_items"),
+        F.sha2(F.array_join("found", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (parts_in * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
-        F.transform("_holds", lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"))).alias("hits"))
+        F.transform("holds", lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"))).alias("hits"))

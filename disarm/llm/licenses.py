@@ -18,7 +18,6 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Wordings of common license notices, by name and form.
 TEMPLATES: dict[tuple[str, str], str] = {
@@ -65,8 +64,10 @@ CUES = ("licen", "permi", "redistribut", "rights reserved", "public domain", "co
 
 _WORD = re.compile(r"\w+(?:[-.]\w+)*")
 _UNIT = re.compile(r"[^\n.!?]*(?:[.!?](?!\s|$)[^\n.!?]*)*[.!?\n]?\s*")
-FINDING = T.StructType.fromDDL(
-    "license string, form string, start long, length long, saved_bytes int, plain_bytes int, share double, missing array<string>, extra array<string>, exact boolean")
+#: What is told of a notice.
+FINDING = {
+    "license": "string", "form": "string", "start": "long", "length": "long", "saved_bytes": "int", "plain_bytes": "int", "share": "double",
+    "missing": "array<string>", "extra": "array<string>", "exact": "boolean"}
 
 
 class Scanner:
@@ -157,9 +158,9 @@ def scan_licenses(
         scanner = Scanner(templates, share, ranked, longest)
         for batch in batches:
             made = [(i, *f) for i, t in zip(batch["id"], batch["text"]) for f in scanner.scan(t)]
-            yield pd.DataFrame(made, columns=[id_col, *FINDING.names])
+            yield pd.DataFrame(made, columns=[id_col, *FINDING])
 
     lower = F.lower(F.col(text_col))
     cued = reduce(lambda a, b: a | b, [F.contains(lower, F.lit(c)) for c in CUES])
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *FINDING])
+    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{k} {v}" for k, v in FINDING.items())
     return docs.where(cued).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, schema)

@@ -92,9 +92,10 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     new ones are replaced; an empty table of either kind is fine. The rules of one host travel as one
     value and should number in the thousands at most.
     """
-    named = pages.withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url))}).drop("rule", "verdict", "_fitting")
-    fitting = _sweep(named.select("host").distinct(), rules).withColumnRenamed("fitting", "_fitting")
-    longest = F.array_max(F.filter("_fitting", lambda r: F.startswith(F.col("path"), r["rule_path"])))
-    return named.join(fitting, "host", "left").withColumn("_won", longest).select(
-        *[c for c in pages.columns if c in named.columns and c not in ("host", "path")], "host", "path",
-        F.col("_won.rule").alias("rule"), F.coalesce("_won.verdict", F.lit(default)).alias("verdict"))
+    made = ("host", "path", "rule", "verdict")
+    page = F.struct(*[F.col(f"`{c}`") for c in pages.columns if c not in made])
+    named = pages.select(page.alias("page"), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
+    fitting = _sweep(named.select("host").distinct(), rules)
+    longest = F.array_max(F.filter("fitting", lambda r: F.startswith(F.col("path"), r["rule_path"])))
+    return named.join(fitting, "host", "left").withColumn("won", longest).select(
+        "page.*", "host", "path", F.col("won.rule").alias("rule"), F.coalesce("won.verdict", F.lit(default)).alias("verdict"))
