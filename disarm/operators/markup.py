@@ -1,8 +1,7 @@
-"""SVG and HTML: one regular expression cuts a document into tokens, windows find dropped subtrees.
+"""SVG and HTML: the tags of a document are walked once, and everything else happens in the document's row.
 
-A document is one row per token; each row also carries the text in front of the token, so the cleaned
-document is put together again from the same rows and the content crosses the network once.
-Everything that is grouped or ordered together belongs to one document, whose size is capped.
+The walk gives an array of tokens with their places and the subtrees that go. Rules are column expressions
+over that array and the bytes it points to, so nothing is shuffled and no text is copied to find anything.
 """
 
 from __future__ import annotations
@@ -10,35 +9,21 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from disarm import rules
 from disarm.functions.content import latin1, latin1_bytes
+from disarm.functions.tags import tag_walk
 from disarm.operators.findings import finding, no_findings
 
-# Token forms, in the order they are tried (fixed patterns).
+# Forms inside a tag (fixed patterns). An attribute starts after white space, a slash or the end of a quoted value.
 _ATTRS = r"""(?:[^"'>]++|"[^"]*+"|'[^']*+')*+"""
-_ATTRS_OPEN = r"""(?:[^"'>/]++|/(?!>)|"[^"]*+"|'[^']*+')*+"""
-_RAW = "|".join(
-    rf"<(?:[\w-]+:)?{name}(?=[\s/>]){_ATTRS_OPEN}/>|<(?:[\w-]+:)?{name}(?=[\s>]){_ATTRS}>.*?</(?:[\w-]+:)?{name}\s*>"
-    for name in ("script", "style")
-)
-TOKEN_REGEX = (
-    r"(?is)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<!doctype[^\[>]*\[.*?\]\s*>|<![^>]*>|"
-    rf"{_RAW}|</?[a-z_]{_ATTRS}>"
-)
-ATTRIBUTE_REGEX = r"""(?s)\s+[^\s=/>"']+\s*=\s*(?:"[^"]*+"|'[^']*+'|[^\s>"']++)"""
-_NUMERIC_REF = r"(?i)&#(?:x[0-9a-f]{1,6}|[0-9]{1,7});"
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s>"']++)"""
+ATTRIBUTE_REGEX = rf"""(?s)(?:[\s/]+|(?<=["']))[^\s=/>"']+(?:\s*=\s*{_VALUE})?"""
+_ATTRIBUTE_NAME = r"^[\s/]*([^\s=/]+)"
+_NUMERIC_REF = r"(?i)&#(?:x[0-9a-f]+|[0-9]+);?"
 _NAMED_REFS = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
-
-
-def _per_file():
-    return W.partitionBy("file_id").orderBy("tok_idx")
-
-
-def _before():
-    return _per_file().rowsBetween(W.unboundedPreceding, -1)
+MAX_CODE_DIGITS = 7  # of a code point without leading zeros; more cannot be ASCII
 
 
 def _unescape(value: Column) -> Column:
@@ -47,10 +32,9 @@ def _unescape(value: Column) -> Column:
     gaps = F.split(value, _NUMERIC_REF, -1)
 
     def decoded(ref: Column) -> Column:
-        digits = F.regexp_extract(ref, r"([0-9a-fA-F]+);$", 1)
-        code = F.when(
-            F.contains(F.lower(ref), F.lit("#x")), F.conv(digits, 16, 10).cast("bigint")
-        ).otherwise(digits.cast("bigint"))
+        digits = F.regexp_extract(ref, r"^&#[xX]?0*([0-9a-fA-F]*);?$", 1)
+        base = F.when(F.contains(F.lower(ref), F.lit("#x")), F.conv(digits, 16, 10)).otherwise(digits)
+        code = F.when(digits == "", F.lit(0)).when(F.length(digits) <= MAX_CODE_DIGITS, base.cast("bigint"))
         return F.when(code < 128, F.char(code)).otherwise("?")
 
     plain = F.array_join(
@@ -134,86 +118,45 @@ def css_findings(css: Column) -> Column:
 # --- tokens --------------------------------------------------------------------------------------
 
 
-def markup_tokens(documents: DataFrame) -> DataFrame:
-    """``(file_id, content)`` → one row per token, plus one last row with the text after them.
+def _void(html: bool) -> tuple[str, ...]:
+    return rules.XML_VOID_ELEMENTS + (rules.HTML_VOID_ELEMENTS if html else ())
 
-    Columns: ``tok_idx, kind, element, token, gap`` (the text before the token).
-    """
-    text = latin1(F.col("content"))
-    cut = documents.select(
-        "file_id",
-        F.posexplode(
-            F.arrays_zip(
-                F.split(text, TOKEN_REGEX, -1).alias("gap"),
-                F.regexp_extract_all(text, F.lit(TOKEN_REGEX), F.lit(0)).alias("token"),
-            )
-        ).alias("tok_idx", "t"),
-    ).select("file_id", "tok_idx", F.col("t.gap").alias("gap"), F.col("t.token").alias("token"))
-    name = F.regexp_extract("token", r"^</?([^\s/>]+)", 1)
-    low = F.lower(local_name(name))
-    kind = (
-        F.when(F.col("token").isNull(), "tail")
-        .when(F.startswith("token", F.lit("<!--")), "comment")
-        .when(F.startswith("token", F.lit("<![")), "cdata")
-        .when(F.startswith("token", F.lit("<?")), "pi")
-        .when(F.startswith("token", F.lit("<!")), "directive")
-        .when(F.startswith("token", F.lit("</")), "end")
-        .when(F.endswith("token", F.lit("/>")), "empty")
-        .when(low.isin("script", "style") & F.rlike("token", F.lit(r"(?s)</[^>]*>$")), "raw")
-        .otherwise("start")
-    )
-    return cut.select(
-        "file_id", "tok_idx", kind.alias("kind"),
-        F.when(F.substring("token", 2, 1).rlike(r"[/a-zA-Z_]"), local_name(name)).alias("element"),
-        "token", "gap",
-    )
 
+def walked(documents: DataFrame, html: bool = True) -> DataFrame:
+    """``documents`` with ``walk``, a struct of the tokens; null tokens where there are too many or the file is too large."""
+    walk = tag_walk([r[0] for r in rules.MARKUP_ELEMENTS], _void(html), rules.MAX_TOKENS)
+    fits = F.octet_length("content") <= rules.MAX_FILE_BYTES
+    return documents.withColumn("walk", walk(F.when(fits, F.col("content")))).withColumn(
+        "walk", F.when(fits, F.col("walk")))
 
-def with_offsets(tokens: DataFrame) -> DataFrame:
-    """Add ``start``, the byte position of each token."""
-    spent = F.sum(F.length("gap") + F.coalesce(F.length("token"), F.lit(0))).over(_before())
-    return tokens.withColumn("start", (F.coalesce(spent, F.lit(0)) + F.length("gap")).cast("bigint"))
 
+def _text(start: Column, length: Column) -> Column:
+    return latin1(F.substring(F.col("content"), (start + 1).cast("int"), length.cast("int")))
 
-def with_skips(tokens: DataFrame, html: bool = True) -> DataFrame:
-    """Add ``depth`` (before the token), ``dropped`` (starts a dropped subtree) and ``inside`` (lies in one).
 
-    Starts and ends on one level alternate, so the end of a dropped subtree is the row that follows
-    its start on that level.
-    """
-    low = F.lower("element")
-    void = rules.XML_VOID_ELEMENTS + (rules.HTML_VOID_ELEMENTS if html else ())
-    bearing = ~low.isin(*void)
-    step = F.when((F.col("kind") == "start") & bearing, 1).when((F.col("kind") == "end") & bearing, -1).otherwise(0)
-    dangerous = low.isin(*[r[0] for r in rules.MARKUP_ELEMENTS])
-    rows = tokens.withColumn("_step", step).withColumn(
-        "depth", F.coalesce(F.sum("_step").over(_before()), F.lit(0))
-    )
-    rows = rows.withColumn("_level", F.col("depth") + F.when(F.col("_step") == -1, -1).otherwise(0))
-    on_level = W.partitionBy("file_id", "_level", F.col("_step") == 0).orderBy("tok_idx")
-    opens = (F.col("_step") == 1) & dangerous
-    closes = (F.col("_step") == -1) & F.coalesce(F.lag(opens).over(on_level), F.lit(False))
-    rows = rows.withColumn("_open", F.when(opens, 1).when(closes, -1).otherwise(0))
-    inside = F.coalesce(F.sum("_open").over(_before()), F.lit(0)) > 0
-    return (
-        rows.withColumn("inside", inside)
-        .withColumn("dropped", ~F.col("inside") & F.col("kind").isin("start", "empty", "raw") & dangerous)
-        .drop("_step", "_level", "_open")
-    )
+def token_text(token: Column) -> Column:
+    return _text(token["start"], token["length"])
+
+
+def markup_tokens(documents: DataFrame, html: bool = True) -> DataFrame:
+    """``(file_id, content)`` → one row per token: tok_idx, kind, element, start (in bytes), length, inside, dropped."""
+    rows = walked(documents, html).select("file_id", F.posexplode("walk.tokens").alias("tok_idx", "t"))
+    return rows.select(
+        "file_id", "tok_idx", "t.kind", "t.element", "t.start", "t.length",
+        (F.col("t.cut") & ~F.col("t.opens")).alias("inside"), F.col("t.opens").alias("dropped"))
+
+
+def _pair_value(text: Column) -> Column:
+    value = F.regexp_extract(text, r"(?s)^[\s/]*[^\s=/]+\s*=\s*(.*)$", 1)
+    return F.regexp_replace(value, r"""(?s)^(["'])(.*)\1$""", "$2")
 
 
 def attributes(token: Column) -> Column:
     """``ARRAY<STRUCT<attr, value>>`` of a start tag; the text of a raw element is not searched."""
     tag = F.regexp_extract(token, rf"(?s)^<[^\s/>]+({_ATTRS})>", 1)
     pairs = F.regexp_extract_all(tag, F.lit(ATTRIBUTE_REGEX), F.lit(0))
-
-    def pair(text: Column) -> Column:
-        value = F.regexp_replace(F.regexp_extract(text, r"(?s)=\s*(.*)$", 1), r"""(?s)^(["'])(.*)\1$""", "$2")
-        return F.struct(
-            F.regexp_extract(text, r"^\s*([^\s=]+)", 1).alias("attr"), _unescape(value).alias("value")
-        )
-
-    return F.transform(pairs, pair)
+    return F.transform(
+        pairs, lambda p: F.struct(F.regexp_extract(p, _ATTRIBUTE_NAME, 1).alias("attr"), _unescape(_pair_value(p)).alias("value")))
 
 
 def _style_text(token: Column) -> Column:
@@ -221,22 +164,25 @@ def _style_text(token: Column) -> Column:
     return _unescape(F.regexp_replace(body, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1"))
 
 
-def scan(tokens: DataFrame) -> DataFrame:
-    """Add ``findings`` per token; nothing inside a dropped subtree is reported."""
-    tagged = F.col("kind").isin("start", "empty", "raw") & ~F.col("inside")
-    has_attrs = F.contains("token", F.lit("="))
-    by_attr = F.array_compact(
-        F.transform(attributes(F.col("token")), lambda a: attribute_finding(F.col("element"), a["attr"], a["value"]))
-    )
-    css = F.when((F.col("kind") == "raw") & (F.lower("element") == "style"), css_findings(_style_text(F.col("token"))))
-    return tokens.withColumn(
-        "findings",
-        F.when(F.col("dropped"), F.array(element_finding(F.col("element"))))
-        .when(tagged, F.concat(F.when(has_attrs, by_attr).otherwise(no_findings()), F.coalesce(css, no_findings())))
-        .otherwise(no_findings()),
+def _token_findings(token: Column) -> Column:
+    """Findings of one token; nothing inside a dropped subtree is reported."""
+    text, element = token_text(token), token["element"]
+    by_attr = F.array_compact(F.transform(attributes(text), lambda a: attribute_finding(element, a["attr"], a["value"])))
+    css = F.when((token["kind"] == "raw") & (F.lower(element) == "style"), css_findings(_style_text(text)))
+    plain = text.rlike(r"^<[^\s/>\"']*>$")  # no attributes; most tags
+    return (
+        F.when(token["opens"], F.array(element_finding(element)))
+        .when(token["cut"] | ~token["kind"].isin("start", "empty", "raw") | plain, no_findings())
+        .otherwise(F.concat(by_attr, F.coalesce(css, no_findings())))
     )
 
 
+def scanned(documents: DataFrame, html: bool = True) -> DataFrame:
+    """:func:`walked` with ``found``: an array of (tok_idx, findings) of the tokens that have any."""
+    each = F.transform("walk.tokens", lambda t, i: F.struct(i.alias("tok_idx"), _token_findings(t).alias("findings")))
+    return walked(documents, html).withColumn("found", F.filter(each, lambda x: F.size(x["findings"]) > 0))
+
+
 def _cleaned_tag(token: Column, element: Column) -> Column:
     """A tag without its dangerous attributes (a javascript: URI is blanked instead); other text verbatim."""
     head = F.regexp_extract(token, rf"(?s)^<[^\s/>]+{_ATTRS}>", 0)
@@ -244,11 +190,10 @@ def _cleaned_tag(token: Column, element: Column) -> Column:
     pairs = F.regexp_extract_all(head, F.lit(ATTRIBUTE_REGEX), F.lit(0))
 
     def kept(text: Column) -> Column:
-        value = F.regexp_replace(F.regexp_extract(text, r"(?s)=\s*(.*)$", 1), r"""(?s)^(["'])(.*)\1$""", "$2")
-        hit = attribute_finding(element, F.regexp_extract(text, r"^\s*([^\s=]+)", 1), _unescape(value))["type"]
+        hit = attribute_finding(element, F.regexp_extract(text, _ATTRIBUTE_NAME, 1), _unescape(_pair_value(text)))["type"]
         return (
             F.when(hit.isNull(), text)
-            .when(hit == "javascript_uri", F.concat(F.regexp_extract(text, r"(?s)^(\s+[^\s=]+\s*=\s*)", 1), F.lit('""')))
+            .when(hit == "javascript_uri", F.concat(F.regexp_extract(text, r"(?s)^([\s/]*[^\s=/]+\s*=\s*)", 1), F.lit('""')))
             .otherwise("")
         )
 
@@ -258,21 +203,20 @@ def _cleaned_tag(token: Column, element: Column) -> Column:
     return F.concat(new_head, F.substring(token, F.length(head) + 1, F.length(token)))
 
 
-def cleaned_token(scanned: DataFrame) -> DataFrame:
-    """Add ``kept``, what stays of the token and of the text before it."""
-    kinds = F.transform("findings", lambda f: f["type"])
-    bad_style = (F.lower("element") == "style") & F.exists(
-        "findings", lambda f: F.startswith(f["location"], F.lit("<style>"))
-    )
-    gap = F.when(F.col("inside"), "").otherwise(F.col("gap"))
-    token = (
-        F.when(F.col("inside") | F.col("dropped") | bad_style | F.col("token").isNull(), "")
-        # a stray end tag of a dropped void element goes with it
-        .when((F.col("kind") == "end") & F.lower("element").isin("embed"), "")
-        .when(F.size(kinds) > 0, _cleaned_tag(F.col("token"), F.col("element")))
-        .otherwise(F.col("token"))
-    )
-    return scanned.withColumn("kept", F.concat(gap, token))
+def _cleaned() -> Column:
+    """The document's bytes without what is cut; untouched where there is nothing to cut."""
+
+    def piece(t: Column) -> Column:
+        gap = F.when(t["gap_cut"], "").otherwise(_text(t["gap"], t["start"] - t["gap"]))
+        found = _token_findings(t)
+        bad_style = F.exists(found, lambda f: F.startswith(f["location"], F.lit("<style>")))
+        token = F.when(t["cut"] | bad_style, "").when(F.size(found) > 0, _cleaned_tag(token_text(t), t["element"])).otherwise(token_text(t))
+        return F.concat(gap, token)
+
+    tail = F.when(F.col("walk.tail_cut"), "").otherwise(_text(F.col("walk.tail"), F.octet_length("content")))
+    joined = F.concat(F.array_join(F.transform("walk.tokens", piece), ""), tail)
+    touched = (F.size("found") > 0) | F.exists("walk.tokens", lambda t: t["cut"])
+    return F.when(touched, latin1_bytes(joined)).when(F.col("walk.tokens").isNotNull(), F.col("content"))
 
 
 # --- operators -----------------------------------------------------------------------------------
@@ -280,8 +224,8 @@ def cleaned_token(scanned: DataFrame) -> DataFrame:
 
 def markup_findings(documents: DataFrame, html: bool = True) -> DataFrame:
     """One row per finding of a table of documents, with its token number."""
-    found = scan(with_skips(markup_tokens(documents), html))
-    return found.select("file_id", "tok_idx", F.explode("findings").alias("f")).select("file_id", "tok_idx", "f.*")
+    found = scanned(documents, html).select("file_id", F.explode("found").alias("x"))
+    return found.select("file_id", "x.tok_idx", F.explode("x.findings").alias("f")).select("file_id", "tok_idx", "f.*")
 
 
 def attribute_rules(attrs: DataFrame) -> DataFrame:
@@ -295,52 +239,38 @@ def attribute_rules(attrs: DataFrame) -> DataFrame:
 
 
 def strip_markup(documents: DataFrame, html: bool = True) -> DataFrame:
-    """Documents without dropped elements, attributes and styles: ``(file_id, content)``."""
-    rows = cleaned_token(scan(with_skips(markup_tokens(documents), html)))
-    return rows.groupBy("file_id").agg(_joined().alias("content"))
+    """``(file_id, content, error_message)``: documents without dropped elements, attributes and styles.
+
+    A document over the size or token limit has null content and the reason.
+    """
+    return scanned(documents, html).select("file_id", _cleaned().alias("content"), _over().alias("error_message"))
 
 
-def _joined() -> Column:
-    pieces = F.array_sort(F.collect_list(F.struct("tok_idx", "kept")))
-    return latin1_bytes(F.array_join(F.transform(pieces, lambda p: p["kept"]), ""))
+def _over() -> Column:
+    return F.when(F.octet_length("content") > rules.MAX_FILE_BYTES, F.concat(
+        F.lit("svg: file exceeds maximum size ("), F.octet_length("content").cast("string"), F.lit(" bytes)"))).when(
+        F.col("walk.n_tokens") > rules.MAX_TOKENS,
+        f"svg: exceeded maximum token count ({rules.MAX_TOKENS}), possible entity expansion attack")
 
 
 def inspect_markup(documents: DataFrame) -> DataFrame:
     """SVG ``(file_id, content)`` → ``file_id, original_size, status, findings, error_message, output``.
 
-    A stray ``<`` or tags that do not balance are a parse error; too many tokens block the file.
+    An end tag closes the nearest open element of its name and all within. A stray ``<``, an unclosed quote, an
+    end tag of nothing and elements open at the end are parse errors; too many tokens block the file.
     """
-    rows = cleaned_token(scan(with_skips(markup_tokens(documents), html=False)))
-    weight = F.when(F.length("gap") > 0, 1).otherwise(0) + F.when(F.col("token").isNotNull(), 1).otherwise(0)
-    per_file = rows.groupBy("file_id").agg(
-        F.sum(F.length("gap") + F.coalesce(F.length("token"), F.lit(0))).cast("bigint").alias("original_size"),
-        F.sum(weight).alias("n_tokens"),
-        F.max(F.contains("gap", F.lit("<"))).alias("stray"),
-        F.min("depth").alias("lowest"),
-        F.max(F.when(F.col("kind") == "tail", F.col("depth"))).alias("final"),
-        F.flatten(
-            F.transform(
-                F.array_sort(
-                    F.collect_list(F.when(F.size("findings") > 0, F.struct("tok_idx", "findings")))
-                ),
-                lambda x: x["findings"],
-            )
-        ).alias("findings"),
-        _joined().alias("output"),
-    )
+    rows = scanned(documents, html=False)
     status = (
-        F.when(F.col("n_tokens") > rules.MAX_TOKENS, "BLOCKED")
-        .when(F.col("stray") | (F.col("lowest") < 0) | (F.col("final") != 0), "ERROR")
-        .when(F.size("findings") > 0, "SANITIZED")
+        F.when(F.octet_length("content") > rules.MAX_FILE_BYTES, "ERROR")
+        .when(F.col("walk.n_tokens") > rules.MAX_TOKENS, "BLOCKED")
+        .when(F.col("walk.fault").isNotNull(), "ERROR")
+        .when(F.size("found") > 0, "SANITIZED")
         .otherwise("CLEAN")
     )
-    message = F.when(
-        F.col("status") == "BLOCKED",
-        f"svg: exceeded maximum token count ({rules.MAX_TOKENS}), possible entity expansion attack",
-    ).when(F.col("status") == "ERROR", "svg: parsing XML: malformed document")
-    return per_file.withColumn("status", status).select(
-        "file_id", "original_size", "status",
-        F.when(F.col("status").isin("BLOCKED", "ERROR"), no_findings()).otherwise(F.col("findings")).alias("findings"),
-        message.alias("error_message"),
-        F.when(F.col("status").isin("SANITIZED", "CLEAN"), F.col("output")).alias("output"),
+    fine = F.col("status").isin("SANITIZED", "CLEAN")
+    return rows.withColumn("status", status).select(
+        "file_id", F.octet_length("content").cast("bigint").alias("original_size"), "status",
+        F.when(fine, F.flatten(F.transform("found", lambda x: x["findings"]))).otherwise(no_findings()).alias("findings"),
+        F.when(~fine, F.coalesce(_over(), F.lit("svg: parsing XML: malformed document"))).alias("error_message"),
+        F.when(fine, _cleaned()).alias("output"),
     )

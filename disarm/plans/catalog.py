@@ -366,11 +366,8 @@ FROM (SELECT file_id, hits, gaps, unnest(range(1, len(hits) + 1)) AS i FROM
 @query("markup_tokens", f"""
 SELECT file_id, tok_idx, element, start, strlen(token) AS length FROM {_TOKENS_SQL} AS t""")
 def _(spark, sf):
-    rows = markup.with_offsets(markup.markup_tokens(_pages(spark, sf))).where("token IS NOT NULL")
-    return rows.select(
-        "file_id", "tok_idx", F.coalesce("element", F.lit("")).alias("element"), "start",
-        F.length("token").cast("bigint").alias("length"),
-    )
+    rows = markup.markup_tokens(_pages(spark, sf))
+    return rows.select("file_id", "tok_idx", F.coalesce("element", F.lit("")).alias("element"), "start", "length")
 
 
 @query("markup_element_rules", f"""
@@ -472,7 +469,7 @@ _PDF_RANK = f"""CASE WHEN regexp_matches(body, '/JavaScript|/JS|/Launch') THEN '
 _INSPECTED = f"""
 SELECT concat('pdf-', file_id) AS file_id, 'pdf' AS original_type, CASE WHEN {_PDF_COUNT} > 0 THEN 'SANITIZED' ELSE 'CLEAN' END AS status,
   CAST({_PDF_COUNT} AS INT) AS n_findings, {_PDF_RANK} AS max_severity, CAST(strlen(body) AS BIGINT) AS original_size FROM {{pdf_files}}
-UNION ALL SELECT concat('svg-', file_id), 'svg', CASE file_id % 8 WHEN 6 THEN 'ERROR' WHEN 7 THEN 'CLEAN' ELSE 'SANITIZED' END,
+UNION ALL SELECT concat('svg-', file_id), 'svg', CASE file_id % 8 WHEN 6 THEN 'CLEAN' WHEN 7 THEN 'CLEAN' ELSE 'SANITIZED' END,
   CASE file_id % 8 WHEN 4 THEN 2 WHEN 6 THEN 0 WHEN 7 THEN 0 ELSE 1 END,
   CASE file_id % 8 WHEN 0 THEN 'critical' WHEN 2 THEN 'critical' WHEN 5 THEN 'medium' WHEN 6 THEN NULL WHEN 7 THEN NULL ELSE 'high' END, CAST(strlen(body) AS BIGINT) FROM {{svg_files}}
 UNION ALL SELECT concat('any-', file_id), CASE file_id % 14 WHEN 0 THEN 'pdf' WHEN 2 THEN 'png' WHEN 7 THEN 'unknown' WHEN 8 THEN 'docx' WHEN 9 THEN 'zip' ELSE 'xlsx' END,

@@ -111,7 +111,12 @@ CASES = {
     "svg_nested_drop": ("a.svg", svg('<object><object><rect onload="x"/></object><rect/></object><g><rect/></g>'), "svg", "SANITIZED", ["object"]),
     "svg_external": ("a.svg", svg('<image href="https://e.example/i.png"/><rect style="behavior:url(x)"/>'), "svg", "SANITIZED", ["external_ref", "dangerous_css"]),
     "svg_cut": ("a.svg", b'<svg xmlns="x"><circle', "svg", "ERROR", []),
-    "svg_open": ("a.svg", b'<svg xmlns="x"><g></svg>', "svg", "ERROR", []),
+    "svg_lenient": ("a.svg", b'<svg xmlns="x"><g></svg>', "svg", "CLEAN", []),
+    "svg_open": ("a.svg", b'<svg xmlns="x"><g></g>', "svg", "ERROR", []),
+    "svg_end_of_nothing": ("a.svg", b'<svg xmlns="x"></b></svg>', "svg", "ERROR", []),
+    "svg_unspaced": ("a.svg", svg('<circle r="3"onclick="x()"/>'), "svg", "SANITIZED", ["event_handler"]),
+    "svg_long_reference": ("a.svg", svg('<a href="&#00000000106;avascript:x()">t</a>'), "svg", "SANITIZED", ["javascript_uri"]),
+    "svg_implied_end": ("a.svg", svg("<foreignObject><p>x</foreignObject><rect/>"), "svg", "SANITIZED", ["foreign_object"]),
     "svg_text": ("a.svg", b"no markup", "svg", "ERROR", []),
     "zip_clean": ("a.zip", archive([("a.txt", b"text"), ("b/c.txt", b"more")]), "zip", "CLEAN", []),
     "zip_mixed": ("a.zip", archive([("clean.txt", b"x"), ("macro.docm", MACRO)]), "zip", "SANITIZED", ["macro"]),
