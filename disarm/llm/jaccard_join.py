@@ -8,9 +8,10 @@ All orders here put rare tokens first and differ in how they break ties and how
 2. There each token's document count is known. Tokens of a single document go no further; the others return
    to their document. A document that shares too few tokens with any others is done: it has no link.
 3. Equal sets become one. For the rest, the postings of prefix tokens under the first order give candidates.
-   A list of postings is not paired out: each member first meets one leader, what links is contracted to
-   components, then members meet the leaders of other components, and only pairs that are still in different
-   components meet one by one. So a group of copies costs as many checks as it has members.
+   A list of postings is not paired out: each member meets one leader of its list, what links is contracted to
+   components, and where a list still has several of them another leader follows, as long as that finds links.
+   Only pairs that are in different components then meet one by one. So a group of copies costs a few checks a
+   member.
 4. A candidate pair passes the filters of all orders, then its overlap is counted exactly.
 """
 
@@ -209,7 +210,7 @@ def jaccard_components(
     those of rows that repeat an id; each row counts. A null id is larger than any other and stays null.
     Other columns, whatever their names, are ignored; an empty table gives an empty result.
     """
-    num, den = percent, 100
+    spark, num, den = docs.sparkSession, percent, 100
     rows = _sets(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text")), words, num / den)
     sets = rows.where("tokens IS NOT NULL").withColumn(
         "class", F.when(F.length("tokens") == 8 * F.col("n"), F.concat(F.col("n").cast("string"), F.lit("-"), F.md5("tokens"))).otherwise(
@@ -226,21 +227,25 @@ def jaccard_components(
     def verified(pairs: DataFrame) -> DataFrame:
         return stage(pairs.join(b, "b").join(a, "a").mapInPandas(_verified(num, den), "a long, b long"), "links")
 
-    lone = postings.withColumn("root", F.col("row"))
-    leads = lone.groupBy("token").agg(F.min(F.struct("row", "root", "place", "n")).alias("f"), F.count("*").alias("c")).where("c > 1").select("token", "f.*")
-    links = verified(_pairs(lone, stage(leads, "leaders"), num, den))
-    for meets in ("leaders", "members"):
-        placed = _with_root(postings, links)
-        mixed = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-        mixed = stage(mixed, "mixed")
+    # one leader in a list, another one each time, while that finds links; then whatever is still apart, one by one
+    placed = postings.withColumn("root", F.col("row"))
+    links, turn = None, 0
+    while True:
+        mixed = stage(placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token"), "mixed")
         if mixed.isEmpty():  # nothing is left to meet
             break
         placed = stage(placed.join(mixed, "token", "left_semi"), "mixed-postings")
-        other = placed
-        if meets == "leaders":
-            other = stage(placed.groupBy("token", "root").agg(F.min(F.struct("row", "place", "n")).alias("f")).select("token", "root", "f.*"), "leaders")
-        found = verified(_pairs(placed, other, num, den))
-        links = links.unionByName(found)
+        led = F.min_by(F.struct("row", "root", "place", "n"), F.xxhash64("row", F.lit(turn)))
+        found = verified(_pairs(placed, stage(placed.groupBy("token").agg(led.alias("f")).select("token", "f.*"), "leaders"), num, den))
+        apart = found.isEmpty()
+        if apart:
+            found = verified(_pairs(placed, placed, num, den))
+        links = found if links is None else links.unionByName(found)
+        if apart:
+            break
+        placed, turn = _with_root(postings, links), turn + 1
+    if links is None:
+        links = spark.createDataFrame([], "a long, b long")
     copies = member.where("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b"))
     placed = stage(_with_root(rows.select("row", "id", "key", "n"), links.unionByName(copies)), "placed")
     lowest = stage(placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("m")), "lowest")
