@@ -23,44 +23,51 @@ def _jpeg_marker(code: int) -> str:
     return "COM" if code == 0xFE else f"{code:02X}"
 
 
-def _end_of_scans(data: bytes, at: int) -> int:
-    """Position after the end marker, stepping over entropy-coded data and later segments; -1 without one."""
+def _end_of_scan(data: bytes, at: int) -> int:
+    """Position of the marker behind entropy-coded data; the length of the data without one."""
     while (at := data.find(b"\xff", at)) >= 0 and at + 1 < len(data):
         code = data[at + 1]
-        if code == 0xD9:
-            return at + 2
-        if code in (0x00, 0x01) or 0xD0 <= code <= 0xD7:
+        if code == 0x00 or 0xD0 <= code <= 0xD7:
             at += 2
         elif code == 0xFF:
             at += 1
         else:
-            at += 2 + max(2, int.from_bytes(data[at + 2 : at + 4], "big"))
-    return -1
+            return at
+    return len(data)
 
 
 def walk_jpeg(data: bytes):
     """Segments as ``(marker, offset, whole length)``; stops at anything malformed.
 
-    The scans up to the end marker are one ``SOS`` segment, bytes after them one ``TRAILER``.
+    Each scan, header and data, is one ``SOS`` segment (the last with the end marker), so what stands between the scans of a progressive
+    image is seen too. Scans are told only if the image has an end; bytes behind it are one ``TRAILER``.
     """
-    at, size = 2, len(data)
-    while at + 3 < size and data[at] == 0xFF:
+    at, size, scans, behind = 2, len(data), False, []
+    while at + 1 < size and data[at] == 0xFF:
         code = data[at + 1]
+        if code == 0xD9 and scans:
+            if behind[-1][0] == "SOS":  # the end marker goes with the last scan
+                behind[-1] = ("SOS", behind[-1][1], at + 2 - behind[-1][1])
+            yield from behind
+            if at + 2 < size:
+                yield "TRAILER", at + 2, size - at - 2
+            return
         if 0xD0 <= code <= 0xD9:
             at += 2
             continue
-        length = int.from_bytes(data[at + 2 : at + 4], "big")
-        if code == 0xDA:
-            end = _end_of_scans(data, at)
-            if end > 0:
-                yield "SOS", at, end - at
-                if end < size:
-                    yield "TRAILER", end, size - end
+        if at + 3 >= size:
             return
+        length = int.from_bytes(data[at + 2 : at + 4], "big")
         if length < 2 or at + 2 + length > size:
             return
-        yield _jpeg_marker(code), at, length + 2
-        at += length + 2
+        end = _end_of_scan(data, at + 2 + length) if code == 0xDA else at + 2 + length
+        scans = scans or code == 0xDA
+        segment = ("SOS" if code == 0xDA else _jpeg_marker(code), at, end - at)
+        if scans:
+            behind.append(segment)
+        else:
+            yield segment
+        at = end
 
 
 def walk_png(data: bytes):

@@ -6,6 +6,7 @@ the listing array that travels with a file.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -113,6 +114,11 @@ def rels_finding(name: Column, body: Column) -> Column:
 # --- operators on a table of entries -------------------------------------------------------------
 
 
+def _once(name: Column, rule: Callable[[Column], Column]) -> Column:
+    """A rule on a name that is itself an expression: worked out once, not once for each use in the rule."""
+    return F.get(F.transform(F.array(name), rule), F.lit(0))
+
+
 def entry_path_safety(entries: DataFrame, office: bool = False) -> DataFrame:
     """Entries with an unsafe path, one finding each."""
     unsafe = entries.where(is_unsafe_path(F.col("name"), office))
@@ -123,10 +129,8 @@ def entry_path_safety(entries: DataFrame, office: bool = False) -> DataFrame:
 
 def entry_name_rules(entries: DataFrame) -> DataFrame:
     """Entries that are dangerous Office parts, one finding each."""
-    dangerous = entries.where(is_dangerous_part(F.col("name")))
-    return dangerous.select("archive_id", "entry_idx", part_finding(F.col("name")).alias("f")).select(
-        "archive_id", "entry_idx", "f.*"
-    )
+    found = entries.select("archive_id", "entry_idx", _once(F.col("name"), part_finding).alias("f"))
+    return found.where("f IS NOT NULL").select("archive_id", "entry_idx", "f.*")
 
 
 def rels_external_refs(parts: DataFrame) -> DataFrame:
@@ -149,7 +153,7 @@ def counted_size(office: bool = False) -> Column:
     """Bytes an entry adds to the decompressed total: nothing if it is dropped or oversized."""
     dropped = is_unsafe_path(F.col("name"), office)
     if office:
-        dropped = dropped | is_dangerous_part(F.col("name"))
+        dropped = dropped | _once(F.col("name"), is_dangerous_part)
     return F.when(~dropped & (F.col("size") <= rules.MAX_ENTRY_BYTES), F.col("size")).otherwise(0)
 
 

@@ -41,15 +41,25 @@ def token_redemption(
     return rows.select(*columns, outcome.alias("outcome"))
 
 
-def live_tokens(events: DataFrame, as_of_ts: Column, ttl_s: int = rules.TOKEN_TTL_S) -> DataFrame:
-    """Number of tokens that could still be used at a moment: last event is an issue within its TTL."""
+def live_tokens(
+    events: DataFrame, as_of_ts: Column, ttl_s: int = rules.TOKEN_TTL_S, revocations: DataFrame | None = None
+) -> DataFrame:
+    """Number of tokens that could still be used at a moment: last event is an issue within its TTL.
+
+    ``revocations(event_id, ts)`` clear every token issued by then.
+    """
     last = (
         events.where(F.col("ts") <= as_of_ts)
         .groupBy("token")
         .agg(F.max(F.struct("ts", "event_id", "action")).alias("last"))
     )
     age = as_of_ts.cast("double") - F.col("last.ts").cast("double")
-    return last.agg(F.count_if((F.col("last.action") == "issue") & (age <= ttl_s)).alias("live_tokens"))
+    live = (F.col("last.action") == "issue") & (age <= ttl_s)
+    if revocations is not None:
+        cleared = revocations.where(F.col("ts") <= as_of_ts).agg(F.max("ts")).first()[0]
+        if cleared is not None:
+            live = live & (F.col("last.ts") > F.lit(cleared))
+    return last.agg(F.count_if(live).alias("live_tokens"))
 
 
 def pin_states(rotations: DataFrame) -> DataFrame:

@@ -196,9 +196,11 @@ def segment_findings(content: Column, file_type: Column, ruled: Column, hits: Co
 def metadata_spans(ruled: Column) -> Column:
     """Byte spans to cut: flagged segments and whatever follows the end of the image."""
     trailer = F.get(F.filter(ruled, lambda s: s["marker"] == "TRAILER"), F.lit(0))["offset"]
+    # only PNG chunks have such names; a small letter says that the image can be shown without the chunk
+    unknown = lambda s: s["marker"].rlike("^[a-z][A-Za-z]{3}$") & ~s["marker"].isin(*rules.PNG_SHOWN)
     cut = F.filter(
         ruled,
-        lambda s: (s["marker"] == "TRAILER") | (s["rule"].isNotNull() & (trailer.isNull() | (s["offset"] < trailer))),
+        lambda s: (s["marker"] == "TRAILER") | ((s["rule"].isNotNull() | unknown(s)) & (trailer.isNull() | (s["offset"] < trailer))),
     )
     return F.transform(
         cut, lambda s: F.struct(s["offset"].alias("start"), s["length"].alias("len"), binary(b"").alias("replacement"))

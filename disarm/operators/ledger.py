@@ -48,10 +48,13 @@ def revoke_all_counts(events: DataFrame, revocations: DataFrame) -> DataFrame:
     )
 
 
-def ledger_fold(changes: DataFrame, lifetime_days: int | None = None) -> DataFrame:
+def ledger_fold(
+    changes: DataFrame, lifetime_days: int | None = None, revocations: DataFrame | None = None
+) -> DataFrame:
     """The ledger after all events: latest add per fingerprint and the revocation that followed it, if any.
 
-    A later add overwrites the record and clears a revocation.
+    A later add overwrites the record and clears a revocation. ``revocations(event_id, ts)`` revoke every
+    fingerprint added by then; ``changes`` must have been told of them too.
     """
     folded = changes.groupBy("fingerprint").agg(
         F.max(F.when(F.col("action") == "add", F.struct("ts", "event_id"))).alias("added"),
@@ -60,10 +63,17 @@ def ledger_fold(changes: DataFrame, lifetime_days: int | None = None) -> DataFra
     not_after = F.lit(None).cast("timestamp")
     if lifetime_days is not None:
         not_after = F.col("added.ts") + F.make_dt_interval(days=F.lit(lifetime_days))
-    return folded.select(
-        "fingerprint", F.col("added.ts").alias("issued_at"), not_after.alias("not_after"),
-        F.when(F.col("revoked") > F.col("added"), F.col("revoked.ts")).alias("revoked_at"),
-    )
+    own = F.when(F.col("revoked") > F.col("added"), F.col("revoked.ts"))
+    if revocations is None:
+        return folded.select("fingerprint", F.col("added.ts").alias("issued_at"), not_after.alias("not_after"), own.alias("revoked_at"))
+    # seen backwards, the first revocation at or after an add is the latest one before it
+    back = -F.unix_micros("ts")
+    rows = folded.select("fingerprint", F.col("added.ts").alias("ts"), not_after.alias("not_after"), own.alias("own"), (-F.col("added.event_id")).alias("_tie"))
+    matched = as_of(
+        rows.withColumn("_back", back), revocations.select("event_id", "ts").withColumn("_back", back).withColumn("_tie", -F.col("event_id")),
+        [], "_back", "_tie", ["ts"], "cleared")
+    return matched.select(
+        "fingerprint", F.col("ts").alias("issued_at"), "not_after", F.least("own", "cleared.ts").alias("revoked_at"))
 
 
 def ledger_status(as_of_ts: Column) -> Column:

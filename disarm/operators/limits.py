@@ -1,113 +1,50 @@
 """Sliding-window limiter: an event is accepted while fewer than ``max_events`` accepted ones are in the window.
 
-Rejected events are not recorded, so each decision depends on earlier decisions. Keys of ordinary size are
-folded in order, one key at a time. A key with too many rows for one task is decided slice by slice, a slice
-being as long as the window: the events accepted in one slice alone say when places come free in the next,
-so within a slice every row is decided by set operations spread over all tasks.
+Rejected events are not recorded, so each decision depends on earlier decisions of the key: a chain. All keys
+are decided alike, in one pass over rows sorted by key and time. A task holds one batch of rows and the last
+``max_events`` acceptances of the key at hand, however many rows the key has, and it jumps from acceptance to
+acceptance by binary search.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from disarm import rules
-from disarm.staging import stage
 
-HOT_ROWS = 2_000_000
-BROADCAST_KEYS = 100_000
-_OUT = T.StructType().add("event_id", "long").add("accepted", "boolean")
 
-
-def rate_limit_decisions(
-    events: DataFrame, max_events: int, window_s: int = rules.LIMIT_WINDOW_S, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """``events(event_id, ts, key)`` → ``(event_id, accepted)``."""
-    rows = events.select("event_id", "key", F.unix_micros("ts").alias("at"))
-    # at most (all rows / hot_rows) keys are hot
-    hot = stage(rows.groupBy("key").count().where(F.col("count") > hot_rows).select("key"), "hotkeys")
-    n_hot = hot.count()
+def rate_limit_decisions(events: DataFrame, max_events: int, window_s: int = rules.LIMIT_WINDOW_S) -> DataFrame:
+    """``events(event_id, ts, key)`` → ``(event_id, accepted)``. A null key is a key of its own."""
     window = window_s * 1_000_000
-    if n_hot == 0:
-        return _fold(rows, max_events, window)
-    small = n_hot <= BROADCAST_KEYS
-    hot = F.broadcast(hot) if small else hot
-    cold = _fold(rows.join(hot, "key", "left_anti"), max_events, window)
-    return cold.unionByName(_by_slices(rows.join(hot, "key"), max_events, window, small))
-
-
-def _fold(rows: DataFrame, max_events: int, window: int) -> DataFrame:
-    """One key at a time, in order; keys here have at most ``hot_rows`` rows."""
-
-    def decide(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["at", "event_id"])
-        taken: list[int] = []
-        verdict = []
-        for at in group["at"]:
-            # the place taken max_events acceptances ago must have come free
-            free = len(taken) < max_events or taken[-max_events] + window <= at
-            if free:
-                taken.append(at)
-            verdict.append(free)
-        return pd.DataFrame({"event_id": group["event_id"], "accepted": verdict})
-
-    return rows.groupBy("key").applyInPandas(decide, _OUT)
 
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, taken = None, deque(maxlen=max_events)
+        for batch in batches:
+            at, accepted = batch["at"].to_numpy(), np.zeros(len(batch), bool)
+            change = batch["key"].ne(batch["key"].shift()) & ~(batch["key"].isna() & batch["key"].shift().isna())
+            starts = np.flatnonzero(change.to_numpy() | (np.arange(len(batch)) == 0))
+            for lo, hi in zip(starts, [*starts[1:], len(batch)]):
+                here = batch["key"].iat[lo]
+                here = None if pd.isna(here) else here
+                if here != key or not taken:
+                    key = here
+                    taken.clear()
+                row = lo
+                while row < hi:
+                    if len(taken) == max_events:  # the place taken so many acceptances ago must have come free
+                        row = max(row, lo + int(np.searchsorted(at[lo:hi], taken[0] + window)))
+                        if row == hi:
+                            break
+                    accepted[row] = True
+                    taken.append(at[row])
+                    row += 1
+            yield pd.DataFrame({"event_id": batch["event_id"], "accepted": accepted})
 
-def _slices(rows: DataFrame) -> Iterator[int]:
-    first, last = rows.agg(F.min("_slice"), F.max("_slice")).first()
-    return iter(range(first, last + 1))
-
-
-def _by_slices(rows: DataFrame, max_events: int, window: int, small: bool) -> DataFrame:
-    """Hot keys, one window-long slice after another; the number of rounds depends on the time span only."""
-    spark = rows.sparkSession
-    sliced = stage(rows.withColumn("_slice", F.floor(F.col("at") / window)), "slices")
-    state = spark.createDataFrame([], "key STRING, free_at ARRAY<BIGINT>").select(
-        F.col("key").cast(rows.schema["key"].dataType).alias("key"), "free_at"
-    )
-    accepted: list[DataFrame] = []
-    for number in _slices(sliced):
-        # one state row per hot key; broadcast where their number was checked
-        held = F.broadcast(state) if small else state
-        taken = stage(_slice_round(sliced.where(F.col("_slice") == number), held, max_events), "round")
-        accepted.append(taken)
-        state = taken.groupBy("key").agg(F.array_sort(F.collect_list(F.col("at") + window)).alias("free_at"))
-    all_taken = accepted[0]
-    for taken in accepted[1:]:
-        all_taken = all_taken.unionByName(taken)
-    return sliced.join(all_taken.select("event_id", F.lit(True).alias("hit")), "event_id", "left").select(
-        "event_id", F.coalesce("hit", F.lit(False)).alias("accepted")
-    )
-
-
-def _slice_round(rows: DataFrame, state: DataFrame, max_events: int) -> DataFrame:
-    """Accepted rows of one slice, given when the places taken in the slice before come free.
-
-    ``places`` counts the places free at a row, were none taken in this slice. Between two changes of it only
-    the first ``max_events`` rows can be accepted, which is all that leaves a partition.
-    """
-    free = F.coalesce("free_at", F.array().cast("array<bigint>"))
-    placed = rows.join(state, "key", "left").select(
-        "event_id", "key", "at",
-        (max_events - F.size(free) + F.size(F.filter(free, lambda x: x <= F.col("at")))).alias("places"),
-    )
-    within = W.partitionBy("key", "places").orderBy("at", "event_id")
-    first = stage(placed.withColumn("rn", F.row_number().over(within)).where(F.col("rn") <= max_events), "first")
-    runs = first.groupBy("key", "places").agg(F.max("rn").cast("bigint").alias("n"))
-    upto = W.partitionBy("key").orderBy("places").rowsBetween(W.unboundedPreceding, 0)
-    # taken so far = min(places, taken before + rows): a running minimum over the run totals
-    runs = runs.withColumn("sum_n", F.sum("n").over(upto))
-    runs = runs.withColumn(
-        "taken", F.col("sum_n") + F.least(F.lit(0), F.min(F.col("places") - F.col("sum_n")).over(upto))
-    )
-    runs = runs.select(
-        "key", "places",
-        (F.col("taken") - F.coalesce(F.lag("taken").over(W.partitionBy("key").orderBy("places")), F.lit(0))).alias("quota"),
-    )
-    return first.join(runs, ["key", "places"]).where(F.col("rn") <= F.col("quota")).select("event_id", "key", "at")
+    rows = events.select("event_id", "key", F.unix_micros("ts").alias("at"))
+    return rows.repartition("key").sortWithinPartitions("key", "at", "event_id").mapInPandas(decide, "event_id long, accepted boolean")

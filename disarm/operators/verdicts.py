@@ -62,12 +62,12 @@ def unseen_digests(groups: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def audit_log(requests: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """One JSON line per file, joined on ``file_id``; fields without a value are left out."""
+    """One JSON line per request, joined on ``file_id``; fields without a value are left out, as for a request that was rejected."""
     fields = ("request_id", "trace_parent", "profile", "mode", "policy_version")
     present = [c for c in fields if c in requests.columns]
     rows = requests.select("file_id", *present).join(
         outcomes.select("file_id", F.col("original_type").alias("type"), "status", F.col("n_findings").alias("threats")),
-        "file_id",
+        "file_id", "left",
     )
     line = F.to_json(
         F.struct(F.lit("file sanitized").alias("msg"), *present, "type", "status", "threats")

@@ -430,9 +430,9 @@ def _(spark, sf):
 
 @query("apply_spans", """
 SELECT doc_id AS file_id, concat(substr(h, 1, 20), '5B5D', substr(h, 41, 40), CASE WHEN doc_id % 2 = 0 THEN '2A2A' ELSE '' END, substr(h, 121)) AS clean_hex
-FROM (SELECT doc_id, hex(text) AS h FROM documents WHERE strlen(text) >= 60) AS d""")
+FROM (SELECT doc_id, hex(text) AS h FROM documents) AS d""")
 def _(spark, sf):
-    docs = table(spark, sf, "documents").where(F.octet_length("text") >= 60)
+    docs = table(spark, sf, "documents")
 
     def span(start, length, text):
         return F.struct(F.lit(start).alias("start"), F.lit(length).alias("len"), text.cast("binary").alias("replacement"))
@@ -694,15 +694,15 @@ def _(spark, sf):
 @query("error_streaks", """
 SELECT event_id, original_type, CAST(streak AS BIGINT) AS streak FROM
  (SELECT *, row_number() OVER (PARTITION BY original_type, island, status = 'ERROR' ORDER BY ts, event_id) AS streak FROM
-   (SELECT *, count(*) FILTER (WHERE status <> 'ERROR') OVER (PARTITION BY original_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM {verdict_log}) AS a) AS b
+   (SELECT *, count(*) FILTER (WHERE status <> 'ERROR') OVER (PARTITION BY original_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM {error_log}) AS a) AS b
 WHERE status = 'ERROR' AND streak = 5""")
 def _(spark, sf):
-    return events.error_streaks(_log(spark, sf))
+    return events.error_streaks(table(spark, sf, "error_log"))
 
 
 @query("error_streaks_of_three", ORACLES["error_streaks"].replace("streak = 5", "streak = 3"))
 def _(spark, sf):
-    return events.error_streaks(_log(spark, sf), threshold=3)
+    return events.error_streaks(table(spark, sf, "error_log"), threshold=3)
 
 
 def _limited(spark, sf):
@@ -718,6 +718,26 @@ def _(spark, sf):
     return limits.rate_limit_decisions(_limited(spark, sf), max_events=1, window_s=6 * 3600)
 
 
+def _limit_sql(places: int, hours: int) -> str:
+    """Accepted events one after the other, with the times of the last ones."""
+    return f"""
+WITH RECURSIVE ev AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+run AS (SELECT user_id, rn, [ts] AS held, event_id FROM ev WHERE rn = 1
+  UNION ALL SELECT e.user_id, e.rn, CASE WHEN len(r.held) < {places} THEN list_append(r.held, e.ts) ELSE list_append(list_slice(r.held, 2, {places}), e.ts) END, e.event_id
+  FROM run AS r, LATERAL (SELECT * FROM ev WHERE ev.user_id = r.user_id AND ev.rn > r.rn AND (len(r.held) < {places} OR ev.ts >= r.held[1] + INTERVAL {hours} HOUR) ORDER BY ev.rn LIMIT 1) AS e)
+SELECT e.event_id, r.event_id IS NOT NULL AS accepted FROM events AS e LEFT JOIN run AS r ON r.event_id = e.event_id"""
+
+
+@query("rate_limit_three", _limit_sql(3, 72))
+def _(spark, sf):
+    return limits.rate_limit_decisions(_limited(spark, sf), max_events=3, window_s=72 * 3600)
+
+
+@query("rate_limit_ten", _limit_sql(10, 480))
+def _(spark, sf):
+    return limits.rate_limit_decisions(_limited(spark, sf), max_events=10, window_s=480 * 3600)
+
+
 _LAST_CLICK = "(SELECT max(created_at) AS now FROM {downloads})"
 
 
@@ -751,6 +771,14 @@ def _(spark, sf):
     return events.live_tokens(table(spark, sf, "token_events"), _as_of())
 
 
+@query("live_tokens_revoke_all", f"""
+SELECT count(*) FILTER (WHERE action = 'issue' AND epoch_us({AS_OF}) - epoch_us(ts) <= 864000000000
+  AND ts > (SELECT max(ts) FROM {{revocations}} WHERE ts <= {AS_OF})) AS live_tokens
+FROM (SELECT token, max_by(action, ts) AS action, max(ts) AS ts FROM {{token_events}} WHERE ts <= {AS_OF} GROUP BY token) AS t""")
+def _(spark, sf):
+    return events.live_tokens(table(spark, sf, "token_events"), _as_of(), ttl_s=864_000, revocations=table(spark, sf, "revocations"))
+
+
 _CHANGES = """(SELECT e.*, coalesce(action = 'revoke' AND p_action = 'add', false) AS changed FROM
   (SELECT *, lag(action) OVER (PARTITION BY fingerprint ORDER BY ts, event_id) AS p_action FROM {ledger_events}) AS e)"""
 _LEDGER = f"""(SELECT fingerprint, issued_at, issued_at + INTERVAL 10 DAY AS not_after, CASE WHEN revoked_at > issued_at THEN revoked_at END AS revoked_at FROM
@@ -790,6 +818,30 @@ def _(spark, sf):
     )
 
 
+_LEDGER_ALL = """(SELECT fingerprint, issued_at, least(CASE WHEN own > issued_at THEN own END, (SELECT min(ts) FROM {revocations} AS r WHERE r.ts >= issued_at)) AS revoked_at FROM
+  (SELECT fingerprint, max(ts) FILTER (WHERE action = 'add') AS issued_at, max(ts) FILTER (WHERE action = 'revoke' AND p_action = 'add'
+     AND NOT EXISTS (SELECT 1 FROM {revocations} AS r WHERE r.ts >= p_ts AND r.ts <= e.ts)) AS own
+   FROM (SELECT *, lag(action) OVER w AS p_action, lag(ts) OVER w AS p_ts FROM {ledger_events} WINDOW w AS (PARTITION BY fingerprint ORDER BY ts, event_id)) AS e
+   GROUP BY fingerprint) AS l WHERE issued_at IS NOT NULL)"""
+
+
+def _ledger_all(spark, sf):
+    everything = table(spark, sf, "revocations")
+    return ledger.ledger_fold(ledger.ledger_changes(table(spark, sf, "ledger_events"), everything), revocations=everything)
+
+
+@query("ledger_fold_revoke_all", f"SELECT fingerprint, epoch_us(issued_at) AS issued_us, epoch_us(revoked_at) AS revoked_us FROM {_LEDGER_ALL} AS l")
+def _(spark, sf):
+    return _ledger_all(spark, sf).select(
+        "fingerprint", F.unix_micros("issued_at").alias("issued_us"), F.unix_micros("revoked_at").alias("revoked_us"))
+
+
+@query("revocation_gate_revoke_all", f"""
+SELECT a.event_id, a.fingerprint, l.revoked_at IS NULL AS allowed FROM {{client_attempts}} AS a LEFT JOIN {_LEDGER_ALL} AS l ON l.fingerprint = a.fingerprint""")
+def _(spark, sf):
+    return ledger.revocation_gate(table(spark, sf, "client_attempts"), _ledger_all(spark, sf))
+
+
 _STATUS = f"CASE WHEN revoked_at IS NOT NULL THEN 'revoked' WHEN not_after <= {AS_OF} THEN 'expired' ELSE 'active' END"
 
 
@@ -844,9 +896,9 @@ def _(spark, sf):
     return ledger.cert_expiry(certs, F.expr("TIMESTAMP '1998-06-01 12:00:00+00:00'")).drop("not_after")
 
 
-@query("pem_fingerprint", "SELECT doc_id AS file_id, concat('sha256:', sha256(text)) AS fingerprint FROM documents WHERE text <> ''")
+@query("pem_fingerprint", "SELECT doc_id AS file_id, concat('sha256:', sha256(text)) AS fingerprint FROM documents")
 def _(spark, sf):
-    docs = table(spark, sf, "documents").where("text <> ''")
+    docs = table(spark, sf, "documents")
     pem = F.concat(
         F.lit("-----BEGIN CERTIFICATE-----\n"), F.base64(F.col("text").cast("binary")), F.lit("\n-----END CERTIFICATE-----\n")
     )
@@ -920,7 +972,8 @@ def _(spark, sf):
 
 @query("stream_error_streaks", ORACLES["error_streaks"])
 def _(spark, sf):
-    return _appended(error_streak_stream(_streamed(spark, sf, "verdict_log")), "streaks")
+    return _appended(error_streak_stream(view_over(spark, "error_log", view_over(
+        spark, "verdict_log", instants(stream_table(spark, sf, "events.parquet"))))), "streaks")
 
 
 @query("stream_token_redemption", f"""

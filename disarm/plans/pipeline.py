@@ -146,7 +146,7 @@ def inspect_files(
     through. Types in ``registry`` go to its inspectors instead of the built-in ones.
     Oversized archive entries are dropped; ``report_oversized=False`` does so without a finding.
     """
-    rows = files.select("file_id", "filename", "content")
+    rows = files.where("content IS NOT NULL").select("file_id", "filename", "content")
     content, name = F.col("content"), F.col("filename")
     container = may_be_container(content, name)
     plain = rows.where(~container).withColumn("original_type", F.coalesce(magic_type(content), extension_type(name)))
@@ -154,7 +154,18 @@ def inspect_files(
     listed = with_listing(rows.where(container)).withColumn("original_type", type_of(content, name, F.col("listing")))
     packed = stage(listed, "containers")
     run = _Run(registry or Registry(), set(types), report_oversized)
-    return _inspect(plain, packed, {*rules.FILE_TYPES, "unknown"}, 0, run)
+    outcome = _inspect(plain, packed, {*rules.FILE_TYPES, "unknown"}, 0, run)
+    return outcome.unionByName(_unread(files))
+
+
+def _unread(files: DataFrame) -> DataFrame:
+    """Files without content, as those over the size cap are: an error each, with the reason if there is one."""
+    given = set(files.columns)
+    size = F.col("content_length") if "content_length" in given else F.lit(None)
+    reason = F.col("reject_reason") if "reject_reason" in given else F.lit(None).cast("string")
+    return files.where("content IS NULL").select(
+        "file_id", F.lit("unknown").alias("original_type"), F.lit("ERROR").alias("status"), size.cast("bigint").alias("original_size"),
+        no_findings().alias("findings"), F.coalesce(reason, F.lit("no content")).alias("error_message"), F.lit(None).cast("binary").alias("output"))
 
 
 def _occurring(typed: DataFrame) -> dict[str, bool]:
@@ -210,9 +221,13 @@ def _inspect(plain: DataFrame, packed: DataFrame, occurring: set[str], depth: in
     for inspector, names in run.registry.items():
         theirs = typed.where(kind.isin(*names))
         done = inspector(theirs).select("file_id", "status", "findings", "error_message", "output")
-        parts.append(
-            theirs.select("file_id", "original_type", _size().alias("original_size")).join(done, "file_id").select(*OUTCOME)
-        )
+        # a file that the inspector says nothing about is an error, not a loss
+        told = theirs.select("file_id", "original_type", _size().alias("original_size")).join(done.withColumn("told", F.lit(True)), "file_id", "left")
+        silent = F.col("told").isNull()
+        parts.append(told.withColumns({
+            "status": F.when(silent, "ERROR").otherwise(F.col("status")), "findings": F.coalesce("findings", no_findings()),
+            "error_message": F.when(silent, "inspector gave no result").otherwise(F.col("error_message")),
+        }).select(*OUTCOME))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -83,6 +83,9 @@ OFFICE_PART_RULES = (
 RELS_EXTERNAL_MARK = 'targetmode="external"'
 RELS_REMOTE_TARGETS = ('target="http://', 'target="https://', 'target="ftp://')
 
+# --- PNG chunks that change how the pixels look (fixed values) -----------------
+PNG_SHOWN = ("tRNS", "gAMA", "cHRM", "sRGB", "sBIT", "bKGD", "hIST", "pHYs", "sPLT")
+
 # --- PNG chunks (fixed values): name, type, severity, description -------------
 PNG_CHUNKS = (
     ("tEXt", "text_metadata", "low", "tEXt text metadata chunk stripped"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from disarm import rules
@@ -10,37 +10,37 @@ from disarm import rules
 BINARY_FILE = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
 
-def _as_files(raw: DataFrame) -> DataFrame:
-    return raw.select(
-        F.col("path").alias("file_id"), F.substring_index("path", "/", -1).alias("filename"), "content",
-        F.col("length").alias("content_length"), F.col("modificationTime").alias("received_at"),
-    )
+def _as_files(raw: DataFrame, max_size: int) -> DataFrame:
+    """A row per file. Of one over the size cap only the metadata are read: no content, but a reason."""
+
+    def rows(which: DataFrame, content: Column, reason: Column) -> DataFrame:
+        return which.select(
+            F.col("path").alias("file_id"), F.substring_index("path", "/", -1).alias("filename"), content.alias("content"),
+            F.col("length").alias("content_length"), F.col("modificationTime").alias("received_at"), reason.alias("reject_reason"),
+        )
+
+    within = rows(raw.where(F.col("length") <= max_size), F.col("content"), F.lit(None).cast("string"))
+    return within.unionByName(rows(raw.where(F.col("length") > max_size), F.lit(None).cast("binary"), F.lit("file_too_large")))
 
 
 def read_files(
     spark: SparkSession, path: str, max_size: int = rules.MAX_FILE_BYTES, glob: str | None = None
 ) -> DataFrame:
-    """Files below a folder that are within the size cap; the cap is checked before any byte is read."""
+    """Files below a folder. The size cap is checked before any byte is read; a file over it has null content and a ``reject_reason``."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return _as_files(reader.load(path).where(F.col("length") <= max_size))
+    return _as_files(reader.load(path), max_size)
 
 
-def oversized_files(spark: SparkSession, path: str, max_size: int = rules.MAX_FILE_BYTES) -> DataFrame:
-    """The files ``read_files`` leaves out, from their metadata alone."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return raw.where(F.col("length") > max_size).select(
-        F.col("path").alias("file_id"), F.col("length").alias("content_length"), F.lit("file_too_large").alias("reject_reason")
-    )
-
-
-def stream_files(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """Files as they arrive in a folder."""
+def stream_files(
+    spark: SparkSession, path: str, max_files: int | None = None, max_size: int = rules.MAX_FILE_BYTES
+) -> DataFrame:
+    """Files as they arrive in a folder, with the same cap and rows as :func:`read_files`."""
     reader = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("recursiveFileLookup", "true")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return _as_files(reader.load(path))
+    return _as_files(reader.load(path), max_size)
 
 
 def write_clean(inspected: DataFrame, files: DataFrame, path: str) -> None:

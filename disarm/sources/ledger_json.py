@@ -36,13 +36,11 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-RECORDS_PER_DOCUMENT = 100_000
+def write_ledger(ledger: DataFrame, path: str, documents: int = 1) -> None:
+    """Write the ledger to a new folder, spread over so many documents by fingerprint.
 
-
-def write_ledger(ledger: DataFrame, path: str) -> None:
-    """Write the ledger to a new folder: one document, or several once it outgrows one.
-
-    Records are spread over the documents by fingerprint, so each one is put together in a bounded group.
+    A document is put together in one group, so a ledger of millions of records wants as many documents as
+    keep each one small; :func:`read_ledger` reads them all.
     """
 
     def unix(name: str):
@@ -55,7 +53,6 @@ def write_ledger(ledger: DataFrame, path: str) -> None:
         "fingerprint", text("name"), F.coalesce(text("common_name"), F.lit("")).alias("common_name"),
         unix("issued_at"), unix("not_after"), unix("revoked_at"), text("revoke_reason"),
     )
-    documents = -(-ledger.count() // RECORDS_PER_DOCUMENT) or 1
     numbered = ledger.select(F.pmod(F.xxhash64("fingerprint"), F.lit(documents)).alias("document"), record.alias("record"))
     packed = numbered.groupBy("document").agg(F.array_sort(F.collect_list("record")).alias("clients"))
     body = F.to_json(F.struct(F.lit(rules.LEDGER_VERSION).alias("version"), "clients"))

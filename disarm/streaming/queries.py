@@ -9,13 +9,19 @@ from pyspark.sql.streaming import StreamingQuery
 from disarm.functions.digests import sha256_hex
 from disarm.operators.verdicts import status_label
 from disarm.plans.pipeline import inspect_files
+from disarm.staging import clear_staged, mark
 
 
 def inspect_stream(files: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Inspect files as they arrive: each micro-batch goes through the batch plan and is appended to ``path``."""
+    """Inspect files as they arrive: each micro-batch goes through the batch plan into a folder of its own in ``path``.
 
-    def inspect(batch: DataFrame, _: int) -> None:
-        inspect_files(batch).write.mode("append").parquet(path)
+    A batch that is run again replaces its folder. What it staged is deleted once it is written.
+    """
+
+    def inspect(batch: DataFrame, number: int) -> None:
+        since = mark()
+        inspect_files(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        clear_staged(batch.sparkSession, since)
 
     return (
         files.writeStream.foreachBatch(inspect)
@@ -74,18 +80,18 @@ def run_complete(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-MAX_BATCH_BYTES = 1 << 30
-
-
-def stream_table(spark: SparkSession, path: str, name: str = "*.parquet", max_files: int | None = None) -> DataFrame:
+def stream_table(
+    spark: SparkSession, path: str, name: str = "*.parquet", max_files: int | None = None, max_bytes: int = 1 << 30
+) -> DataFrame:
     """The Parquet files of a folder as a stream, oldest first; ``name`` picks files by pattern.
 
-    A micro-batch is bounded in bytes, so what stateful operators order within one is bounded too.
+    A micro-batch holds at most ``max_files`` files or, if that is not given, about ``max_bytes`` bytes, so what
+    stateful operators order within one is bounded too.
     """
     schema = spark.read.option("pathGlobFilter", name).parquet(path).schema
     reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     else:
-        reader = reader.option("maxBytesPerTrigger", MAX_BATCH_BYTES)
+        reader = reader.option("maxBytesPerTrigger", max_bytes)
     return reader.parquet(path)

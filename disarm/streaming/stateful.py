@@ -130,7 +130,7 @@ class ChunkAssembly(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.chunks = handle.getListState("chunks", T.StructType().add("seq", "integer").add("chunk", "binary"))
+        self.chunks = handle.getMapState("chunks", T.StructType().add("seq", "integer"), T.StructType().add("chunk", "binary"))
         # bytes so far and the number of the last chunk (-1 until it is known); a size of -1 marks a rejected upload
         self.progress = handle.getValueState("progress", T.StructType().add("size", "long").add("last", "integer").add("n", "integer"))
 
@@ -152,9 +152,11 @@ class ChunkAssembly(StatefulProcessor):
             if size < 0:
                 continue
             for row in batch.itertuples():
+                latest = max(latest, int(row.at_ms))
+                if self.chunks.containsKey((int(row.seq),)):  # delivered again
+                    continue
                 size, n = size + len(row.chunk), n + 1
                 last = int(row.seq) if row.is_last else last
-                latest = max(latest, int(row.at_ms))
                 if size > self.max_size:
                     self.chunks.clear()
                     self.progress.update((-1, last, n))
@@ -162,11 +164,11 @@ class ChunkAssembly(StatefulProcessor):
                     yield self._result(key, None, size, "file_too_large")
                     size = -1
                     break
-                self.chunks.appendValue((int(row.seq), bytes(row.chunk)))
+                self.chunks.updateValue((int(row.seq),), (bytes(row.chunk),))
         if size < 0:
             return
         if last >= 0 and n == last + 1:
-            parts = sorted(self.chunks.get())
+            parts = sorted((k[0], v[0]) for k, v in self.chunks.iterator())
             self.chunks.clear()
             self.progress.clear()
             self._stop_timers()

@@ -5,6 +5,7 @@ import decimal
 import pytest
 
 import __spark_entry__ as contract
+from disarm.plans.catalog import QUERIES
 from disarm.plans.derived import GIVEN
 from tests.conftest import SF
 
@@ -25,7 +26,7 @@ def plain(value):
     return round(value, 6) if isinstance(value, float) else value
 
 
-@pytest.mark.parametrize("name", contract.queries())
+@pytest.mark.parametrize("name", QUERIES)
 def test_query(spark, twin, name):
     df = contract.queries()[name](spark, SF)
     columns = sorted(df.columns)

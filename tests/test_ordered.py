@@ -72,9 +72,10 @@ def test_limiter_hot_keys_equal_the_loop(spark, places):
         held = [t for t in taken.get(k, []) if t > s - 600]
         want[i] = len(held) < places
         taken[k] = held + [s] if want[i] else held
-    for hot in (10_000, 100):
-        got = limits.rate_limit_decisions(df, places, 600, hot_rows=hot).collect()
-        assert {r.event_id: r.accepted for r in got} == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)  # a key runs over many batches
+    got = limits.rate_limit_decisions(df, places, 600).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r.event_id: r.accepted for r in got} == want
 
 
 def moments(spark, rows, schema):
@@ -95,6 +96,11 @@ def test_ledger_rules(spark):
     assert ledger.ledger_active_count(book, F.timestamp_seconds(F.lit(100))).first()[0] == 2
     nuke = moments(spark, [(50, 25)], "event_id LONG, s LONG")
     assert ledger.revoke_all_counts(early, nuke).first().newly_revoked == 2
+    after = {r.fingerprint: r.revoked_at and r.revoked_at.second for r in ledger.ledger_fold(ledger.ledger_changes(events_, nuke), revocations=nuke).collect()}
+    assert after == {"a": 25, "b": None, "c": 25}
+    issued = events_.select("event_id", "ts", F.col("fingerprint").alias("token"), F.lit("issue").alias("action"))
+    for given, live in ((None, 4), (nuke, 1)):
+        assert events.live_tokens(issued, F.timestamp_seconds(F.lit(100)), revocations=given).first().live_tokens == live
 
 
 def test_tokens(spark):

@@ -16,6 +16,7 @@ from disarm.plans.pipeline import inspect_files
 from disarm.sources import files, ledger_json
 from disarm.streaming import queries as sq
 from disarm.streaming import stateful as ss
+from disarm.staging import mark
 from tests.fixtures import MACRO, archive as zip_of, pdf, svg
 
 
@@ -92,15 +93,19 @@ def test_read_and_stream_files(spark):
         with open(os.path.join(folder, name), "wb") as out:
             out.write(body)
     table = files.read_files(spark, folder, max_size=4000)
-    assert {r.filename for r in table.collect()} == {"a.pdf", "b.svg", "c.docm"}
-    assert "PushedFilters: [IsNotNull(length), LessThanOrEqual(length,4000)]" in table._jdf.queryExecution().executedPlan().toString()
-    assert files.oversized_files(spark, folder, max_size=4000).count() == 1
+    reasons = {r.filename: (r.content is None, r.reject_reason, r.content_length) for r in table.collect()}
+    assert reasons.pop("big.bin") == (True, "file_too_large", 5000) and {v[:2] for v in reasons.values()} == {(False, None)}
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(length), LessThanOrEqual(length,4000)]" in plan and "ReadSchema: struct<path:string,modificationTime:timestamp,length:bigint>" in plan
     batch = {r.file_id.rsplit("/", 1)[1]: r.status for r in inspect_files(table).collect()}
-    assert batch == {"a.pdf": "SANITIZED", "b.svg": "SANITIZED", "c.docm": "SANITIZED"}
-    out = fresh()
-    sq.inspect_stream(files.stream_files(spark, folder, max_files=2), out, fresh()).awaitTermination()
+    assert batch == {"a.pdf": "SANITIZED", "b.svg": "SANITIZED", "c.docm": "SANITIZED", "big.bin": "ERROR"}
+    out, before = fresh(), mark()
+    sq.inspect_stream(files.stream_files(spark, folder, max_files=2, max_size=4000), out, fresh()).awaitTermination()
+    assert mark() == before  # what the batches staged is gone
     streamed = {r.file_id.rsplit("/", 1)[1]: r.status for r in spark.read.parquet(out).collect()}
-    assert streamed == batch | {"big.bin": "UNSUPPORTED"}
+    assert streamed == batch
+    sq.inspect_stream(files.stream_files(spark, folder, max_files=2, max_size=4000), out, fresh()).awaitTermination()
+    assert spark.read.parquet(out).count() == 4  # the same batches again replace their folders
     clean = fresh()
     files.write_clean(inspect_files(table), table, clean)
     assert {r.filename for r in spark.read.parquet(clean).collect()} == {"sanitized_a.pdf", "sanitized_b.svg", "sanitized_c.docm"}
@@ -154,11 +159,11 @@ def test_streams_over_several_batches_equal_one_pass(spark):
 
 
 def test_uploads_across_batches(spark):
-    rows = [("a", 1, b"B", True, 1), ("b", 0, b"x" * 60, False, 1), ("c", 0, b"half", False, 1), ("a", 0, b"A", False, 2), ("b", 1, b"x" * 60, True, 2), ("d", 0, b"later", True, 5000)]
+    rows = [("a", 1, b"B", True, 1), ("b", 0, b"x" * 60, False, 1), ("c", 0, b"half", False, 1), ("a", 1, b"B", True, 1), ("e", 0, b"again", False, 1), ("e", 0, b"again", False, 2), ("e", 2, b"!", True, 2), ("a", 0, b"A", False, 2), ("b", 1, b"x" * 60, True, 2), ("d", 0, b"later", True, 5000)]
     df = spark.createDataFrame(rows, "request_id STRING, seq INT, chunk BINARY, is_last BOOLEAN, s LONG").withColumn("ts", F.timestamp_seconds("s")).drop("s")
     out = sq.run_append(ss.assemble_stream(in_batches(spark, df, "ts"), max_size=100), fresh(), fresh()).collect()
     got = {r.request_id: (bytes(r.content) if r.content is not None else None, r.reject_reason) for r in out}
-    assert got == {"a": (b"AB", None), "b": (None, "file_too_large"), "c": (None, "upload_timeout"), "d": (b"later", None)}
+    assert got == {"a": (b"AB", None), "b": (None, "file_too_large"), "c": (None, "upload_timeout"), "e": (None, "upload_timeout"), "d": (b"later", None)}
 
 
 def test_sql_functions(spark):
@@ -177,3 +182,37 @@ def test_types_left_out_pass_through(spark):
     df = spark.createDataFrame([("a", "a.pdf", pdf(b"/JS 1")), ("b", "b.docm", MACRO)], "file_id STRING, filename STRING, content BINARY")
     got = {r.file_id: (r.original_type, r.status) for r in inspect_files(df, types=["pdf"]).collect()}
     assert got == {"a": ("pdf", "SANITIZED"), "b": ("docx", "UNSUPPORTED")}
+
+
+def test_a_silent_inspector_loses_no_file(spark):
+    from disarm.operators.findings import no_findings
+    from disarm.plans.pipeline import Registry
+
+    def half(df):
+        return df.where("file_id = 'a'").select("file_id", F.lit("CLEAN").alias("status"), no_findings().alias("findings"), F.lit(None).cast("string").alias("error_message"), F.col("content").alias("output"))
+
+    registry = Registry()
+    registry.register(["pdf"], half)
+    df = spark.createDataFrame([("a", "a.pdf", pdf(b"/JS 1")), ("b", "b.pdf", pdf(b"/JS 1"))], "file_id STRING, filename STRING, content BINARY")
+    assert {r.file_id: r.status for r in inspect_files(df, registry).collect()} == {"a": "CLEAN", "b": "ERROR"}
+
+
+def test_jpeg_metadata_between_scans(spark):
+    from disarm.functions.segments import walk_jpeg
+
+    scan = b"\xff\xda\x00\x04\x01\x00" + b"\x12\xff\x00\x34\xff\xd0\x56"
+    data = b"\xff\xd8\xff\xc2\x00\x0b\x08\x00\x01\x00\x01\x01\x01\x11\x00" + scan + b"\xff\xfe\x00\x06geo!" + scan + b"\xff\xd9tail"
+    assert [m for m, _, _ in walk_jpeg(data)] == ["C2", "SOS", "COM", "SOS", "TRAILER"]
+    assert [m for m, _, _ in walk_jpeg(data[:-6])] == ["C2"]
+    df = spark.createDataFrame([("a", "a.jpg", data)], "file_id STRING, filename STRING, content BINARY")
+    row = inspect_files(df).first()
+    assert row.status == "SANITIZED" and b"geo!" not in bytes(row.output) and bytes(row.output).endswith(b"\xff\xd9")
+
+
+def test_unknown_png_chunks_go(spark):
+    from tests.fixtures import chunk, png
+
+    body = png(chunk(b"tEXt", b"a\0b") + chunk(b"prIv", b"secret") + chunk(b"gAMA", b"\0\0\0\1"))
+    df = spark.createDataFrame([("a", "a.png", body)], "file_id STRING, filename STRING, content BINARY")
+    out = bytes(inspect_files(df).first().output)
+    assert b"secret" not in out and b"tEXt" not in out and b"gAMA" in out
