@@ -31,7 +31,7 @@ from disarm.staging import stage
 
 _U = np.uint64
 _TOKEN = _U((1 << 48) - 1)  # low 48 bits: token; high 16: its document count, as far as that goes
-_FLUSH = 2_000_000  # tokens gathered in a task before they are dealt out
+_FLUSH = 1_000_000  # tokens gathered in a task before they are dealt out
 #: What the bucket that answers for a row is told of it.
 _ROW = np.dtype([("row", "<i8"), ("id", "<i8"), ("null", "?"), ("key", "<i8"), ("n", "<u4")])
 _SALTS = (_U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93))
@@ -260,7 +260,8 @@ def _with_root(rows: DataFrame, links: DataFrame) -> DataFrame:
 
 def _sets(rows: DataFrame, words: int, need: float) -> DataFrame:
     """row, id, n and the tokens that may link, from one pass over the texts, staged."""
-    buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a bucket is worked on as a whole; two in a partition halve what a task holds
+    buckets = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.mapInArrow(_dealt(buckets, words), "bucket int, tokens binary, rows binary, counts binary, told binary")
     counted = dealt.groupBy("bucket").applyInPandas(_counted(buckets), "home int, tokens binary, rows binary, told binary")
     return stage(counted.groupBy("home").applyInPandas(_regrouped(need), "row long, id long, key long, n long, tokens binary"), "sets")

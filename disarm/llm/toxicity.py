@@ -37,6 +37,7 @@ _CLAUSE = re.compile(r"[.!?;:\n]+")
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 _QUOTES = re.compile("[\"“”„«»]")
 _REACH = 4  # words over which a negation, a person or a harm is felt
+KNOWN_WORDS, HELD_FEATURES = 150_000, 100_000  # kept in a task before it starts anew; bounds its memory
 _EVENTS = ("plain", "negated", "reported", "aimed", "threat")
 _PREFIXES = range(3, 9)
 
@@ -81,7 +82,7 @@ class Reader:
         self._model, self._known = model, {}
 
     def _look(self, word: str) -> tuple[str, float]:
-        if len(self._known) > 500_000:
+        if len(self._known) > KNOWN_WORDS:
             self._known.clear()
         weight = self._model.word_weight(word)
         kind = "insult" if weight > 0 else next(
@@ -144,7 +145,7 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text, toxic, half in zip(batch["text"], batch["toxic"], batch["half"]):
             for feature in {f for w in set(_WORD.findall((text or "").lower())) for f in _features_of(w)}:
                 counts.setdefault(feature, [0, 0, 0, 0])[2 * half + toxic] += 1
-        if len(counts) > 300_000:
+        if len(counts) > HELD_FEATURES:
             yield made()
             counts = {}
     yield made()
