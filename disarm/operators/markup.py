@@ -178,9 +178,10 @@ def _token_findings(token: Column) -> Column:
 
 
 def scanned(documents: DataFrame, html: bool = True) -> DataFrame:
-    """:func:`walked` with ``found``: an array of (tok_idx, findings) of the tokens that have any."""
-    each = F.transform("walk.tokens", lambda t, i: F.struct(i.alias("tok_idx"), _token_findings(t).alias("findings")))
-    return walked(documents, html).withColumn("found", F.filter(each, lambda x: F.size(x["findings"]) > 0))
+    """:func:`walked` with ``each``, the findings of every token, and ``found``: (tok_idx, findings) of those that have any."""
+    rows = walked(documents, html).withColumn("each", F.transform("walk.tokens", _token_findings))
+    numbered = F.transform("each", lambda f, i: F.struct(i.alias("tok_idx"), f.alias("findings")))
+    return rows.withColumn("found", F.filter(numbered, lambda x: F.size(x["findings"]) > 0))
 
 
 def _cleaned_tag(token: Column, element: Column) -> Column:
@@ -206,9 +207,9 @@ def _cleaned_tag(token: Column, element: Column) -> Column:
 def _cleaned() -> Column:
     """The document's bytes without what is cut; untouched where there is nothing to cut."""
 
-    def piece(t: Column) -> Column:
+    def piece(t: Column, i: Column) -> Column:
         gap = F.when(t["gap_cut"], "").otherwise(_text(t["gap"], t["start"] - t["gap"]))
-        found = _token_findings(t)
+        found = F.get(F.col("each"), i)
         bad_style = F.exists(found, lambda f: F.startswith(f["location"], F.lit("<style>")))
         token = F.when(t["cut"] | bad_style, "").when(F.size(found) > 0, _cleaned_tag(token_text(t), t["element"])).otherwise(token_text(t))
         return F.concat(gap, token)
