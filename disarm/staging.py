@@ -51,9 +51,9 @@ def mark() -> int:
     return len(_written)
 
 
-def clear_staged(spark: SparkSession, since: int = 0) -> int:
-    """Delete the folders staged after ``since``; call it once the results that read them are written."""
-    gone, _written[since:] = _written[since:], []
+def clear_staged(spark: SparkSession, since: int = 0, until: int | None = None) -> int:
+    """Delete the folders staged after ``since``, and before ``until`` if given; call it once nothing reads them any more."""
+    gone, _written[since:until] = _written[since:until], []
     jvm = spark._jvm
     for path in gone:
         target = jvm.org.apache.hadoop.fs.Path(path)
