@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from disarm.staging import stage
+from disarm.staging import clear_staged, mark, stage
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -86,6 +86,7 @@ def contamination(
     kept = [c for c in docs.columns if c not in made]
     # the row itself is one value, so that no column of it can clash
     docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("doc"), "doc_id", "text")
+    spark, since = docs.sparkSession, mark()
     windows = stage(windows_of(items, size, shingle), "windows")
     shingles = stage(_shingles_of(windows, shingle), "window-shingles")
     sizes = sorted(r[0] for r in windows.select("g").distinct().collect())  # at most `shingle` numbers
@@ -100,7 +101,9 @@ def contamination(
     bounds = (F.col("n") <= F.col("n_words")) & (start >= 1) & (start + F.col("n") - 1 <= F.col("n_words"))
     near = places.join(prefix, "token").where(bounds).groupBy("key").agg(
         F.collect_set(F.struct(start.alias("start"), "n", "words", "items")).alias("near"))
+    until = mark()
     near = stage(near.withColumnRenamed("key", "_key"), "candidates")
+    clear_staged(spark, since, until)  # the result reads the candidates only
 
     judged = docs.select("doc", _key().alias("_key"), words_of(F.col("text")).alias("w")).join(near, "_key", "left")
     holds = F.filter("near", lambda c: F.slice("w", c["start"], c["n"]) == c["words"])

@@ -9,7 +9,7 @@ All orders here put rare tokens first and differ in how they break ties and how
    to their document. A document that shares too few tokens with any others is done: it has no link.
 3. Equal sets become one. For the rest, the postings of prefix tokens under the first order give candidates.
    A list of postings is not paired out: each member meets one leader of its list, what links is contracted to
-   components, and where a list still has several of them another leader follows, as long as that finds links.
+   components, and where a list still has several of them another leader follows, up to LEADERS rounds.
    Only pairs that are in different components then meet one by one. So a group of copies costs a few checks a
    member.
 4. A candidate pair passes the filters of all orders, then its overlap is counted exactly.
@@ -27,10 +27,11 @@ from pyspark.sql import functions as F
 
 from disarm.llm.components import components
 from disarm.llm.shingles import shingle_sets
-from disarm.staging import stage
+from disarm.staging import clear_staged, mark, stage
 
 _U = np.uint64
 _TOKEN = _U((1 << 48) - 1)  # low 48 bits: token; high 16: its document count, as far as that goes
+LEADERS = 3  # rounds in which the members of a list meet one of them, before those still apart meet one by one
 _FLUSH = 1_000_000  # tokens gathered in a task before they are dealt out
 #: What the bucket that answers for a row is told of it.
 _ROW = np.dtype([("row", "<i8"), ("id", "<i8"), ("null", "?"), ("key", "<i8"), ("n", "<u4")])
@@ -210,7 +211,7 @@ def jaccard_components(
     those of rows that repeat an id; each row counts. A null id is larger than any other and stays null.
     Other columns, whatever their names, are ignored; an empty table gives an empty result.
     """
-    spark, num, den = docs.sparkSession, percent, 100
+    spark, num, den, since = docs.sparkSession, percent, 100, mark()
     rows = _sets(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text")), words, num / den)
     sets = rows.where("tokens IS NOT NULL").withColumn(
         "class", F.when(F.length("tokens") == 8 * F.col("n"), F.concat(F.col("n").cast("string"), F.lit("-"), F.md5("tokens"))).otherwise(
@@ -229,25 +230,29 @@ def jaccard_components(
 
     # one leader in a list, another one each time, while that finds links; then whatever is still apart, one by one
     placed = postings.withColumn("root", F.col("row"))
-    links, turn = None, 0
-    while True:
+    links = None
+    for turn in range(LEADERS + 1):
         mixed = stage(placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token"), "mixed")
         if mixed.isEmpty():  # nothing is left to meet
             break
         placed = stage(placed.join(mixed, "token", "left_semi"), "mixed-postings")
         led = F.min_by(F.struct("row", "root", "place", "n"), F.xxhash64("row", F.lit(turn)))
-        found = verified(_pairs(placed, stage(placed.groupBy("token").agg(led.alias("f")).select("token", "f.*"), "leaders"), num, den))
-        apart = found.isEmpty()
-        if apart:
+        leaders = placed.groupBy("token").agg(led.alias("f")).select("token", "f.*")
+        found = verified(_pairs(placed, stage(leaders, "leaders"), num, den)) if turn < LEADERS else None
+        last = found is None or found.isEmpty()
+        if last:
             found = verified(_pairs(placed, placed, num, den))
         links = found if links is None else links.unionByName(found)
-        if apart:
+        if last:
             break
-        placed, turn = _with_root(postings, links), turn + 1
+        placed = _with_root(postings, links)
     if links is None:
         links = spark.createDataFrame([], "a long, b long")
     copies = member.where("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b"))
-    placed = stage(_with_root(rows.select("row", "id", "key", "n"), links.unionByName(copies)), "placed")
+    placed = _with_root(rows.select("row", "id", "key", "n"), links.unionByName(copies))
+    until = mark()
+    placed = stage(placed, "placed")
+    clear_staged(spark, since, until)  # the result reads no more than is staged from here on
     lowest = stage(placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("m")), "lowest")
     return placed.join(lowest, "root").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("m.id").alias("component_id"), (F.col("m.row") == F.col("row")).alias("kept"), "key")
