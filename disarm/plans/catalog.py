@@ -32,6 +32,8 @@ from disarm.streaming.stateful import (
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+#: Queries over whole tables that have no SQL twin; tests hold them against plain versions.
+PLAIN: dict[str, Query] = {}
 
 
 def query(name: str, sql: str | None = None):
@@ -44,6 +46,14 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def plain_query(name: str):
+    def register(fn: Query) -> Query:
+        PLAIN[name] = fn
+        return fn
+
+    return register
+
+
 def _as_of():
     return F.expr(AS_OF.replace("00'", "00+00:00'"))
 
@@ -448,17 +458,19 @@ def _(spark, sf):
 # --- the pipeline ----------------------------------------------------------------------------------
 
 
-def corpus(spark, sf):
-    """A stored table of PDF, SVG, archive, Office and plain files built on the documents and parts."""
+def corpus(spark, sf, whole: bool = False):
+    """A stored table of PDF, SVG, archive, Office and plain files built on the documents and parts.
+
+    ``whole`` takes every variant of the typed files; without it, those of the SQL twins.
+    """
     pdfs = table(spark, sf, "pdf_files").select(
         F.concat(F.lit("pdf-"), "file_id").alias("file_id"), "filename", _bytes().alias("content")
     )
     svgs = table(spark, sf, "svg_files").select(
         F.concat(F.lit("svg-"), "file_id").alias("file_id"), F.lit("drawing").alias("filename"), _bytes().alias("content")
     )
-    other = _typed(spark, sf).where("file_id % 14 IN (0, 2, 7, 8, 9, 10)").select(
-        F.concat(F.lit("any-"), "file_id").alias("file_id"), "filename", "content"
-    )
+    typed = _typed(spark, sf) if whole else _typed(spark, sf).where("file_id % 14 IN (0, 2, 7, 8, 9, 10)")
+    other = typed.select(F.concat(F.lit("any-"), "file_id").alias("file_id"), "filename", "content")
     return stage(pdfs.unionByName(svgs).unionByName(other), "corpus")
 
 
@@ -498,6 +510,18 @@ def _(spark, sf):
     return findings_table(inspect_files(svgs)).select("file_id", "seq", "type", "location")
 
 
+@plain_query("inspect_verdicts_whole")
+def inspect_verdicts_whole(spark, sf):
+    return verdicts(inspect_files(corpus(spark, sf, whole=True))).select(
+        "file_id", "original_type", "status", "n_findings", "max_severity", "original_size"
+    )
+
+
+@plain_query("inspect_findings_whole")
+def _(spark, sf):
+    return findings_table(inspect_files(corpus(spark, sf, whole=True))).select("file_id", "seq", "type", "location")
+
+
 @query("verdict_json", f"""
 SELECT CAST(file_id AS VARCHAR) AS file_id, concat('{{"status":"', CASE WHEN n > 0 THEN 'sanitized' ELSE 'clean' END, '","original_type":"pdf","original_size":', size, ',"sanitized_size":', size, '}}') AS head
 FROM (SELECT file_id, {_PDF_COUNT} AS n, strlen(body) AS size FROM {{pdf_files}}) AS p""")
@@ -944,16 +968,25 @@ def _appended(stream: DataFrame, label: str) -> DataFrame:
     return run_append(stream, f"{base}/out", f"{base}/progress")
 
 
-@query("stream_inspect", ORACLES["inspect_verdicts"])
-def _(spark, sf):
+def _streamed(spark, files):
     path = f"{staging_dir(spark)}/disarm-stream-{uuid.uuid4().hex}"
-    corpus(spark, sf).write.parquet(f"{path}/in")
+    files.write.parquet(f"{path}/in")
     inspect_stream(stream_table(spark, f"{path}/in"), f"{path}/out", f"{path}/progress").awaitTermination()
     return verdicts(spark.read.parquet(f"{path}/out")).select(
         "file_id", "original_type", "status", "n_findings", "max_severity", "original_size"
     )
 
 
+@query("stream_inspect", ORACLES["inspect_verdicts"])
+def _(spark, sf):
+    return _streamed(spark, corpus(spark, sf))
+
+
+@plain_query("stream_inspect_whole")
+def _(spark, sf):
+    return _streamed(spark, corpus(spark, sf, whole=True))
+
+
 @query("stream_running_counters", ORACLES["files_processed"])
 def _(spark, sf):
     base = f"{staging_dir(spark)}/disarm-counters-{uuid.uuid4().hex}"
