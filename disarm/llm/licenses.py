@@ -1,15 +1,18 @@
 """License scans by conditional compression.
 
-A license template is given to the compressor as a raw dictionary. A block of text that has the template's
-wording then shrinks more than by itself, so the bytes saved rank the templates for a block, whatever stands
-around the wording. The best few are confirmed, or not, by the exact differences in wording.
+A license template is given to the compressor as a raw dictionary. A text that has the template's wording then
+shrinks more than by itself, so the bytes saved rank the templates that may stand at a place. They are confirmed,
+or not, by the exact differences in wording; what is confirmed is taken out and the rest is looked at again.
 
-Documents without any cue word are passed over by byte searches before their text leaves the JVM.
+Places are counted in words, so line wrapping and comment marks do not matter. Documents without any cue word are
+passed over by byte searches before their text leaves the JVM.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import reduce
@@ -59,11 +62,10 @@ If a copy of the MPL was not distributed with this file, You can obtain one at h
     ("CC0-1.0", "sentence"): "This work is dedicated to the public domain under CC0 1.0 Universal.",
     ("proprietary", "statement"): "All rights reserved.",
 }
-#: Every template has one of these, lower-cased, in each of its lines.
-CUES = ("licen", "permi", "redistribut", "rights reserved", "public domain", "copyright", "warrant", "conditions", "software", "mozilla")
+#: Every template has one of these, lower-cased, within a word, so that no line break can part it.
+CUES = ("licen", "permi", "redistribut", "reserved", "domain", "copyright", "warrant", "conditions", "software", "mozilla")
 
 _WORD = re.compile(r"\w+(?:[-.]\w+)*")
-_UNIT = re.compile(r"[^\n.!?]*(?:[.!?](?!\s|$)[^\n.!?]*)*[.!?\n]?\s*")
 #: What is told of a notice.
 FINDING = {
     "license": "string", "form": "string", "start": "long", "length": "long", "saved_bytes": "int", "plain_bytes": "int", "share": "double",
@@ -73,89 +75,159 @@ FINDING = {
 class Scanner:
     """Templates with their compressors; made once in a task."""
 
-    def __init__(self, templates: dict[tuple[str, str], str], share: float, ranked: int, longest: int) -> None:
-        self._share, self._ranked, self._longest = share, ranked, longest
+    def __init__(self, templates: dict[tuple[str, str], str], share: float, longest: int) -> None:
+        self._share, self._longest = share, longest
         self._cue = re.compile("|".join(map(re.escape, CUES)))
         self._plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
         self._templates = []
         for (name, form), text in templates.items():
             raw = zstandard.ZstdCompressionDict(" ".join(text.lower().split()).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             given = zstandard.ZstdCompressor(level=3, dict_data=raw, write_content_size=False, write_dict_id=False)
-            self._templates.append((name, form, _WORD.findall(text.lower()), given))
+            words = _WORD.findall(text.lower())
+            self._templates.append((name, form, words, Counter(words), given))
+        #: a notice, with the words that may stand in between, is no longer than this
+        self._reach = max(len(words) + len(words) // 4 for _, _, words, _, _ in self._templates)
+
+    def blocks(self, lower: str) -> Iterator[tuple[list[re.Match], int]]:
+        """Words that a notice with a cue may reach, and how many of them are the block's own.
+
+        A block's last words are also the next one's first: a notice that starts among the own words, and any
+        other that overlaps it, are in the block as a whole.
+        """
+        cues = self._cue.finditer(lower)
+        cue = next(cues, None)
+        held: list[re.Match] = []
+        left = 0  # words that a notice starting within the last cue's reach may have
+        for word in _WORD.finditer(lower):
+            while cue and cue.end() <= word.start():
+                cue = next(cues, None)
+            if cue and cue.start() < word.end():
+                left = 2 * self._reach + 1
+            held.append(word)
+            if left:
+                left -= 1
+                if len(held) >= self._longest + 2 * self._reach:
+                    yield held, self._longest
+                    held = held[self._longest:]
+                if not left:
+                    yield held, len(held) - self._reach
+                    held = held[-self._reach:]
+            elif len(held) > self._reach:
+                del held[0]
+        if left:
+            yield held, len(held)
+
+    def _confirmed(self, words: list[str], template: list[str], need: int) -> tuple[int, int, list[str], list[str]] | None:
+        """Where the template's words stand in order, and the wording that differs; a stray word at an end is not part of it."""
+        same = [m for m in SequenceMatcher(None, template, words, autojunk=False).get_matching_blocks() if m.size]
+        best = None
+        for i in range(len(same)):
+            have = 0
+            for j in range(i, len(same)):
+                have += same[j].size
+                more = same[j].b + same[j].size - same[i].b - have
+                if have >= need and more <= len(template) // 4 and (best is None or have - more > best[0]):
+                    best = have - more, same[i:j + 1]
+        if best is None:
+            return None
+        run = best[1]
+        kept = {k for m in run for k in range(m.a, m.a + m.size)}
+        extra = [w for m, n in zip(run, run[1:]) for w in words[m.b + m.size:n.b]]
+        return run[0].b, run[-1].b + run[-1].size, [w for k, w in enumerate(template) if k not in kept], extra
+
+    def _places(self, words: list[str], template: list[str], counts: Counter) -> Iterator[tuple[int, int, list[str], list[str]]]:
+        """Confirmed places of one template that do not overlap. Only windows with enough of its words are compared."""
+        size, need = len(template), max(1, math.ceil(self._share * len(template) - 1e-9))
+        present = set(words)
+        if sum(n for w, n in counts.items() if w in present) < need:
+            return
+        width = size + size // 4
+        seen: Counter = Counter()
+        have, starts = 0, []
+        for k in range(len(words) + width - 1):  # the window ends at k
+            if k < len(words) and (w := words[k]) in counts:
+                seen[w] += 1
+                have += seen[w] <= counts[w]
+            if (gone := k - width) >= 0 and (w := words[gone]) in counts:
+                have -= seen[w] <= counts[w]
+                seen[w] -= 1
+            if have >= need and (first := k - width + 1) >= 0:
+                starts.append((first, have))
+            elif have >= need and k == len(words) - 1:
+                starts.append((0, have))
+        tried: set[int] = set()
+        at = free = 0
+        while at < len(starts):
+            first = starts[at][0]
+            if first in tried:
+                at += 1
+                continue
+            last = at
+            while last < len(starts) and starts[last][0] < first + width:
+                last += 1
+            start = max((s for s in starts[at:last] if s[0] not in tried), key=lambda s: s[1])[0]
+            tried.add(start)
+            found = self._confirmed(words[max(start, free):start + width], template, need)
+            if found:
+                begin = max(start, free)
+                a, z, missing, extra = found
+                yield begin + a, begin + z, missing, extra
+                free = begin + z
+                while at < len(starts) and starts[at][0] < free:
+                    at += 1
+
+    def _notices(self, text: str, block: list[re.Match], words: list[str]) -> list[tuple]:
+        """All notices of a block, the longest wording first where some overlap; ``words`` loses what they hold."""
+        found = []
+        while True:
+            ranked = []
+            for k, (_, _, template, counts, given) in enumerate(self._templates):
+                for a, z, missing, extra in self._places(words, template, counts):
+                    data = " ".join(text[block[a].start():block[z - 1].end()].lower().split()).encode()
+                    plain = len(self._plain.compress(data))
+                    gain = plain - len(given.compress(data))
+                    # a longer form that is there in full says more than a short one
+                    ranked.append((len(template) - len(extra) - len(missing), gain, -k, a, z, plain, missing, extra))
+            if not ranked:
+                return found
+            ranked.sort(key=lambda r: r[:5], reverse=True)
+            for _, gain, k, a, z, plain, missing, extra in ranked:
+                if all(words[a:z]):
+                    name, form, template, *_ = self._templates[-k]
+                    start, end = block[a].start(), block[z - 1].end()
+                    found.append((a, (name, form, start, end - start, gain, plain, 1 - len(missing) / len(template), missing, extra, not missing and not extra)))
+                    words[a:z] = [""] * (z - a)
 
-    def blocks(self, text: str) -> Iterator[tuple[int, int]]:
-        """Runs of sentences or lines that have a cue, of bounded length; one without a cue may stand between two."""
+    def scan(self, text: str) -> list[tuple]:
         lower = text.lower()
         if len(lower) != len(text):  # some letters grow when lower-cased; places must not move
             lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        start = end = None
-        gap = 0
-        for unit in _UNIT.finditer(lower):
-            a, z = unit.span()
-            if a == z:
-                continue
-            if self._cue.search(lower, a, z):
-                if start is not None and (z - start > self._longest or gap > 1):
-                    yield start, end
-                    start = None
-                start = a if start is None else start
-                end, gap = z, 0
-            elif start is not None:
-                gap += 1
-        if start is not None:
-            yield start, end
-
-    def _confirmed(self, words: list[str], template: list[str]) -> tuple[float, list[str], list[str]]:
-        """Share of the template's words that the block has in order, and the wording that differs in between."""
-        found = SequenceMatcher(None, template, words, autojunk=False)
-        same = [m for m in found.get_matching_blocks() if m.size]
-        if not same:
-            return 0.0, template, []
-        first, last = same[0].b, same[-1].b + same[-1].size
-        missing = [w for tag, a, b, _, _ in found.get_opcodes() if tag in ("delete", "replace") for w in template[a:b]]
-        extra = [w for tag, _, _, c, d in found.get_opcodes() if tag in ("insert", "replace") for w in words[max(c, first):min(d, last)]]
-        return 1 - len(missing) / len(template), missing, extra
-
-    def scan(self, text: str) -> list[tuple]:
-        found = []
-        for start, end in self.blocks(text):
-            for a in range(start, end, self._longest):  # a single long line is cut, with an overlap
-                z = min(end, a + self._longest + self._longest // 4)
-                block = text[a:z]
-                data = " ".join(block.lower().split()).encode()
-                plain = len(self._plain.compress(data))
-                saved = sorted(((plain - len(given.compress(data)), -k) for k, (*_, given) in enumerate(self._templates)), reverse=True)
-                words = _WORD.findall(block.lower())
-                best = None
-                for gain, k in saved[:self._ranked]:
-                    name, form, template, _ = self._templates[-k]
-                    if gain <= 0:
-                        continue
-                    share, missing, extra = self._confirmed(words, template)
-                    # a longer form that is there in full says more than a short one
-                    rank = (share >= self._share, -len(extra) - len(missing) + len(template), gain)
-                    if share >= self._share and len(extra) <= len(template) // 4 and (best is None or rank > best[0]):
-                        best = rank, (name, form, a, z - a, gain, plain, share, missing, extra, not missing and not extra)
-                if best:
-                    found.append(best[1])
-        return found
+        made, done = [], 0
+        for block, own in self.blocks(lower):
+            words = ["" if w.start() < done else w[0] for w in block]
+            for a, notice in sorted(self._notices(text, block, words), key=lambda n: n[0]):
+                if a < own:  # the next block has the others
+                    made.append(notice)
+                    done = max(done, notice[2] + notice[3])
+        return made
 
 
 def scan_licenses(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[tuple[str, str], str] | None = None,
-    share: float = 0.85, ranked: int = 4, longest: int = 4096,
+    share: float = 0.85, longest: int = 4096,
 ) -> DataFrame:
     """One row per confirmed notice: id and FINDING.
 
-    ``share`` of a template's words must be there, in order, and at most a quarter as many others between them;
-    ``ranked`` templates, by bytes saved, are tried on each block. ``missing`` and ``extra`` are the exact
-    differences. Null and empty texts have no notice. Each row is scanned, repeated ones alike; other columns are
-    ignored. Texts are read whole; a block of more than ``longest`` characters is cut with an overlap.
+    ``share`` of a template's words must be there, in order, and at most a quarter as many others between them.
+    ``missing`` and ``extra`` are the exact differences. Notices of one text do not overlap; ``start`` and ``length``
+    are the notice's own, and the bytes are of its text alone. Null and empty texts have no notice. Each row is
+    scanned, repeated ones alike; other columns are ignored. Texts are read whole, ``longest`` words at a time and as
+    many more as two notices can have.
     """
     templates = templates or TEMPLATES
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scanner = Scanner(templates, share, ranked, longest)
+        scanner = Scanner(templates, share, longest)
         for batch in batches:
             made = [(i, *f) for i, t in zip(batch["id"], batch["text"]) for f in scanner.scan(t)]
             yield pd.DataFrame(made, columns=[id_col, *FINDING])
