@@ -24,3 +24,21 @@ def test_wrapping_does_not_matter(key):
             (notice,) = SCANNER.scan(text)
             assert notice[:2] == key and notice[9], (width, mark)
             assert " ".join(text[notice[2]:notice[2] + notice[3]].split()).replace(mark.strip() or "\0", "").split()[:2] == flat.split()[:2]
+
+
+def test_neighbours_are_all_told():
+    assert found("Released under the MIT License. Licensed under CC BY 4.0.") == [("MIT", "statement"), ("CC-BY-4.0", "statement")]
+    every = list(TEMPLATES)
+    assert found("\n\n".join(TEMPLATES[k] for k in every)) == every
+    assert found("All rights reserved.\n" * 2000) == [("proprietary", "statement")] * 2000
+    legal = "The license permits redistribution of the software in source and binary forms subject to conditions and warranty terms. " * 12
+    assert found(legal + "Licensed under CC BY 4.0. " + legal) == [("CC-BY-4.0", "statement")]
+
+
+def test_block_borders_cut_nothing():
+    small = Scanner(TEMPLATES, 0.85, 50)
+    for lead in range(0, 120, 7):
+        text = "software " * lead + TEMPLATES["MIT", "text"] + " " + "license " * lead + TEMPLATES["GPL-3.0", "header"] + "\n" + PROSE
+        assert found(text, small) == found(text) == [("MIT", "text"), ("GPL-3.0", "header")]
+    for gap in range(0, 700, 9):
+        assert found("license " + "stone " * gap + TEMPLATES["CC0-1.0", "sentence"]) == [("CC0-1.0", "sentence")]
