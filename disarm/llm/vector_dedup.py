@@ -5,7 +5,8 @@ projections: vectors that follow each other in an order are compared. Then neigh
 and compared until a round finds no new link. Only neighbours within twice the threshold's angle take part, as
 two links over a common neighbour cannot be further apart. A vector whose list is full of links is saturated:
 its list is enlarged to its whole component, compared in blocks of bounded size, from which only counts leave.
-A sample of vectors is compared with all others to audit the recall; while it is too low, more orders follow.
+A sample of vectors outside such components is compared with all others to audit the recall, drawn until enough of
+them have links; while the mean share of their links that was found is too low, more orders follow.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ REACH = 10  # vectors that a vector is compared with in each order
 NEIGHBOURS = 24  # length of a list before it is enlarged
 ROUNDS = 8  # of neighbours' neighbours, and of further orders, at most
 BLOCK = 512  # vectors of a saturated component compared at a time
-AUDIT = 200  # vectors compared with all others
+AUDIT = 200  # vectors compared with all others at a time, for the audit
+LINKED = 100  # of the audited vectors that must have links, unless there are fewer
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -150,7 +152,7 @@ def near_copies(
     Links are pairs with a cosine of at least ``threshold`` in double precision; each one kept was computed.
     Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing; nor do
     vectors of different lengths. component_id is the smallest id reachable by links, ``kept`` is true for the
-    one row that has it. Equal vectors count as links of each other, also under a repeated id. Null ids sort
+    one row that has it. audited_recall is at least ``recall``, or an error is raised. Equal vectors count as links of each other, also under a repeated id. Null ids sort
     last and stay null. Other columns are ignored; an empty table gives an empty result.
     """
     kind = "<f4" if "float" in vectors.schema[vector_col].dataType.simpleString() else "<f8"
@@ -162,15 +164,27 @@ def near_copies(
     classes = stage(fine.groupBy("vector").agg(F.min("row").alias("row"), F.count("*").alias("copies")), "vector-classes")
     a, b = [classes.select(F.col("row").alias(x), F.col("vector").alias(f"v{x}")) for x in "ab"]
 
+    def audited(open_classes: DataFrame, links: DataFrame) -> float:
+        """Mean share of found links, over vectors that have some, drawn by hash; 1.0 if none of all has one."""
+        drawn = stage(open_classes.select("row", "vector").withColumn("turn", F.xxhash64("row")), "audit-order")
+        after, size, linked, shares = None, AUDIT, 0, 0.0
+        while linked < LINKED:
+            left = drawn if after is None else drawn.where((F.col("turn") > after[0]) | ((F.col("turn") == after[0]) & (F.col("row") > after[1])))
+            sample = left.orderBy("turn", "row").limit(size).collect()
+            if not sample:
+                break
+            after = sample[-1]["turn"], sample[-1]["row"]
+            found = classes.mapInPandas(_audited(kind, threshold, [(r["row"], bytes(r["vector"])) for r in sample]), "row long, other long")
+            known = _both(links.withColumn("cosine", F.lit(1.0))).select(F.col("v").alias("row"), F.col("u").alias("other"), F.lit(1).alias("known"))
+            each = found.join(known, ["row", "other"], "left").groupBy("row").agg(F.avg(F.coalesce("known", F.lit(0))).alias("share"))
+            n, total = each.agg(F.count("*"), F.sum("share")).first()
+            linked, shares, size = linked + n, shares + (total or 0.0), min(2 * size, 4 * AUDIT)
+        return shares / linked if linked else 1.0
+
     def compared(pairs: DataFrame) -> DataFrame:
         return pairs.join(a, "a").join(b, "b").mapInPandas(_compared(kind, floor), "a long, b long, cosine double")
 
     width = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # the audit's vectors: a bounded number, by hash
-    sample = [(r[0], bytes(r[1])) for r in classes.select("row", "vector").orderBy(F.xxhash64("row"), "row").limit(AUDIT).collect()]
-    truth = stage(classes.mapInPandas(_audited(kind, threshold, sample), "row long, other long").select(
-        F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b")).distinct(), "audit")
-    true_links = truth.count()
     edges, found_share = None, 1.0
     for again in range(ROUNDS):
         coded = classes.select("row", "vector").mapInPandas(_codes(kind, ORDERS * again), "size int, order int, code long, row long, vector binary")
@@ -189,15 +203,14 @@ def near_copies(
             edges = stage(edges.unionByName(more), "edges")
         links = edges.where(F.col("cosine") >= threshold).select("a", "b")
         roots = stage(components(links), "roots")
-        # inside a saturated component all pairs are compared, so there the audit asks for the component only
+        # inside a saturated component all pairs are compared, so the audit is of the vectors outside
         large = stage(roots.join(full.withColumnRenamed("v", "node"), "node").select("root").distinct(), "saturated-roots")
         inside = roots.join(large, "root", "left_semi")
-        met = truth.join(inside.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(
-            inside.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left").join(
-            links.withColumn("linked", F.lit(True)), ["a", "b"], "left").where("linked OR ra = rb").count()
-        found_share = met / true_links if true_links else 1.0
+        found_share = audited(classes.join(inside.select(F.col("node").alias("row")), "row", "left_anti"), links)
         if found_share >= recall:
             break
+    else:
+        raise RuntimeError(f"after {ROUNDS * ORDERS} orders the audited recall is {found_share:.4f}, below {recall}")
 
     weight = classes.select(F.col("row").alias("u"), "copies")
     listed = _both(links.withColumn("cosine", F.lit(1.0))).join(inside.select(F.col("node").alias("v")), "v", "left_anti").join(weight, "u")
