@@ -531,6 +531,12 @@ def _(spark, sf):
     return done.select("file_id", F.concat(F.regexp_extract("line", r'^(.*?),"threats"', 1), F.lit("}")).alias("head"))
 
 
+@plain_query("verdict_json_whole")
+def _(spark, sf):
+    files = _pdf(spark, sf).withColumn("file_id", F.col("file_id").cast("string"))
+    return verdict_json(inspect_files(files, types=["pdf"]))
+
+
 @query("mode_output", f"""
 SELECT r.file_id, mode, CASE WHEN mode = 'ENFORCE' THEN sha256({_MASKED}) ELSE sha256(body) END AS output_sha256, CAST(strlen(body) AS BIGINT) AS sanitized_size
 FROM {{requests}} AS r JOIN {{pdf_files}} AS p ON p.file_id = r.file_id""")
