@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from disarm.staging import stage
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+LABELS = 127  # in a host name, at most
 _END = "\x01"  # closes each label of a key
 
 
@@ -52,7 +53,10 @@ def _sweep(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     spark = hosts.sparkSession
     opened = _rule_hosts(rules)
     # at most 127 labels fit in a host name, so the stack has few slots whatever the number of rules
-    depths = sorted(r[0] for r in opened.select("depth").distinct().limit(128).collect())
+    deepest = opened.agg(F.max("depth")).first()[0] or 0
+    if deepest > LABELS:
+        raise ValueError(f"a rule host has {deepest} labels, at most {LABELS} fit in a host name")
+    depths = sorted(r[0] for r in opened.select("depth").distinct().collect())
     if not depths:
         return hosts.select("host", F.lit(None).cast("array<struct<size:int,host_size:int,rule:string,verdict:string,rule_host:string,rule_path:string>>").alias("fitting")).where("false")
     events = opened.select("key", F.lit(0).alias("kind"), "depth", "rules", F.lit(None).cast("string").alias("host")).unionByName(
@@ -90,7 +94,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     is ``default``. Null urls have an empty host and path. Repeated rules count once; conflicting ones of
     equal text are settled towards the verdict that sorts last. Columns of ``pages`` named like the four
     new ones are replaced; an empty table of either kind is fine. The rules of one host travel as one
-    value and should number in the thousands at most.
+    value and should number in the thousands at most. A rule host of more than 127 labels is an error.
     """
     made = ("host", "path", "rule", "verdict")
     page = F.struct(*[F.col(f"`{c}`") for c in pages.columns if c not in made])
