@@ -974,7 +974,7 @@ def _appended(stream: DataFrame, label: str) -> DataFrame:
     return run_append(stream, f"{base}/out", f"{base}/progress")
 
 
-def _streamed(spark, files):
+def _inspected_stream(spark, files):
     path = f"{staging_dir(spark)}/disarm-stream-{uuid.uuid4().hex}"
     files.write.parquet(f"{path}/in")
     inspect_stream(stream_table(spark, f"{path}/in"), f"{path}/out", f"{path}/progress").awaitTermination()
@@ -985,12 +985,12 @@ def _streamed(spark, files):
 
 @query("stream_inspect", ORACLES["inspect_verdicts"])
 def _(spark, sf):
-    return _streamed(spark, corpus(spark, sf))
+    return _inspected_stream(spark, corpus(spark, sf))
 
 
 @plain_query("stream_inspect_whole")
 def _(spark, sf):
-    return _streamed(spark, corpus(spark, sf, whole=True))
+    return _inspected_stream(spark, corpus(spark, sf, whole=True))
 
 
 @query("stream_running_counters", ORACLES["files_processed"])
