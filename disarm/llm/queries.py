@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from disarm.llm import chat, decontaminate, fill_middle, jaccard_join, licenses, packing, token_counts, toxicity, url_filter, vector_dedup, warc
+from disarm.llm import chat, decontaminate, fill_middle, jaccard_join, licenses, packing, token_counts, toxicity, turn_repair, url_filter, vector_dedup, warc
 
 OP2_SQL = r"""
 WITH RECURSIVE split AS (
@@ -176,6 +176,81 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_copies(table(spark, sf_dir, "embeddings"))
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Turns with faults put in by a checksum of their key; dropped ones stay as rows that are not ``present``."""
+    space = F.lit(" ")
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))
+    drawn = F.crc32(key.cast("binary")) % 20
+    role, text = F.coalesce("role", space), F.coalesce("text", space)
+    rows = turns.select(
+        "conv_id", "turn", F.when(drawn == 4, "user").otherwise(role).alias("role"),
+        F.when(drawn == 1, "").when(drawn == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        (drawn != 0).alias("present"), F.array_repeat(F.lit(0), F.when(drawn == 3, 2).otherwise(1)).alias("_times"))
+    return rows.withColumn("_times", F.explode("_times")).drop("_times")
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = damaged(table(spark, sf_dir, "conversations"))
+    return turn_repair.conversation_report(turn_repair.repair_turns(turns, present="present"))
+
+
+def _op12_sql() -> str:
+    poly = 3988292384  # the reversed polynomial of crc32
+    bit = f"list_reduce(list_concat([xor(c, b)], [1, 2, 3, 4, 5, 6, 7, 8]), lambda x, i: xor(x // 2, {poly} * (x % 2)))"
+    crc = f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(k, ''), lambda h: ascii(h)::BIGINT)), lambda c, b: {bit}), 4294967295)"
+    put = lambda s, cost, letters, line: (
+        f"{{'c': {s}.c + {cost}, 'a': {s}.a || {letters}, 't': {s}.t || CASE WHEN {s}.t = '' THEN '' ELSE chr(10) END || {line}}}")
+    here = lambda initial, role: (f"CASE WHEN i0 = '{initial}' THEN 0 ELSE 1 END + tr", f"CASE WHEN i0 = '{initial}' THEN 'K' ELSE 'R' END", f"CASE WHEN i0 = '{initial}' THEN role ELSE '{role}' END || ':' || text")
+
+    def stay(s: str, initial: str, role: str, before: str = "") -> str:
+        cost, letter, line = here(initial, role)
+        if before:
+            return put(s, f"5 + {cost}", f"'I' || {letter}", f"'{before}:' || chr(10) || {line}")
+        return put(s, cost, letter, line)
+
+    gone = lambda s: f"{{'c': {s}.c + 2, 'a': {s}.a || 'D', 't': {s}.t}}"
+    never = "{'c': 1000000000000::BIGINT, 'a': '', 't': ''}"
+    pick = lambda drop, *kept: f"list_min(CASE WHEN must THEN [{drop}] ELSE [{', '.join([drop, *kept])}] END)"
+    system = "{'c': e.c + tr, 'a': e.a || 'K', 't': role || ':' || text}"
+    return f"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+drawn AS (SELECT *, {crc} % 20 AS f FROM keyed),
+rows_after AS (
+  SELECT conv_id, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM drawn, LATERAL (SELECT unnest(range(CASE f WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END))) WHERE f <> 0),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS i0,
+    regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS said,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS copy FROM rows_after),
+judged AS (
+  SELECT *, said = '' OR copy > 1 AS must, said = '' AS blank, said <> '' AND copy > 1 AS again, said <> '' AND copy = 1 AND right(said, 1) NOT IN ('.', '!', '?') AS cut,
+    CASE WHEN said <> '' AND copy = 1 AND right(said, 1) NOT IN ('.', '!', '?') THEN 5 ELSE 0 END AS tr,
+    lag(i0) OVER (PARTITION BY conv_id ORDER BY i) || i0 AS pair FROM numbered),
+walk AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS n, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS e, {never} AS s, {never} AS u, {never} AS a FROM conversations
+  UNION ALL
+  SELECT conv_id, n + 1, {gone('e')},
+    CASE WHEN i0 = 's' AND NOT must THEN {pick(gone('s'), system)} ELSE {gone('s')} END,
+    {pick(gone('u'), stay('e', 'u', 'user'), stay('s', 'u', 'user'), stay('a', 'u', 'user'), stay('u', 'u', 'user', 'assistant'))},
+    {pick(gone('a'), stay('u', 'a', 'assistant'), stay('e', 'a', 'assistant', 'user'), stay('s', 'a', 'assistant', 'user'), stay('a', 'a', 'assistant', 'user'))}
+  FROM walk JOIN judged USING (conv_id) WHERE i = n + 1),
+ends AS (
+  SELECT conv_id, list_min([e, a, {put('u', 5, "'I'", "'assistant:'")}, {put('s', 10, "'II'", "'user:' || chr(10) || 'assistant:'")}]) AS best
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC) AS last FROM walk) WHERE last = 1),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again) AS duplicate,
+    count(*) FILTER (cut) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, best.c AS cost, best.a AS audit, sha256(best.t) AS repaired_sha256
+FROM ends LEFT JOIN counts USING (conv_id)
+"""
+
+
+OP12_SQL = _op12_sql()
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
     back = fill_middle.restore(F.col("output"), F.col("form"))
@@ -211,7 +286,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_chat_format": op9_chat_format,
     "op10_vector_dedup": op10_vector_dedup,
+    "op12_turn_repair": op12_turn_repair,
     "op13_fill_middle": op13_fill_middle,
 }
 ORACLES: dict[str, str] = {"op2_jaccard_join": OP2_SQL, "op3_warc": OP3_SQL, "op5_decontaminate": OP5_SQL, "op8_url_filter": OP8_SQL, "op9_chat_format": OP9_SQL,
-    "op13_fill_middle": OP13_SQL}
+    "op12_turn_repair": OP12_SQL, "op13_fill_middle": OP13_SQL}
