@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from disarm.llm import chat, decontaminate, fill_middle, jaccard_join, licenses, packing, token_counts, toxicity, turn_repair, url_filter, vector_dedup, warc
+from disarm.llm import chat, decontaminate, fill_middle, jaccard_join, licenses, packing, page_text, token_counts, toxicity, turn_repair, url_filter, vector_dedup, warc
 
 OP2_SQL = r"""
 WITH RECURSIVE split AS (
@@ -176,6 +176,10 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_copies(table(spark, sf_dir, "embeddings"))
 
 
+def op11_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def damaged(turns: DataFrame) -> DataFrame:
     """Turns with faults put in by a checksum of their key; dropped ones stay as rows that are not ``present``."""
     space = F.lit(" ")
@@ -286,6 +290,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_chat_format": op9_chat_format,
     "op10_vector_dedup": op10_vector_dedup,
+    "op11_page_text": op11_page_text,
     "op12_turn_repair": op12_turn_repair,
     "op13_fill_middle": op13_fill_middle,
 }

@@ -18,7 +18,7 @@ TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversati
 
 
 def test_all_are_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in QUERIES}
     assert {*QUERIES, "pipeline"} <= contract.queries().keys() and ORACLES.keys() <= contract.oracle_sql().keys()
 
 
