@@ -20,13 +20,13 @@ def error_streaks(log: DataFrame, threshold: int = rules.STREAK_ALERT) -> DataFr
 
 
 def token_redemption(
-    events: DataFrame, ttl_s: int = rules.TOKEN_TTL_S, revocations: DataFrame | None = None
+    events: DataFrame, ttl_s: int = rules.TOKEN_TTL_S, revocations: DataFrame | None = None, forget_s: int | None = None
 ) -> DataFrame:
     """Outcome of each attempt to use a single-use token: ``ok``, ``expired`` or ``invalid``.
 
     ``events(event_id, ts, token, action)`` with actions ``issue`` and ``attempt``. The first attempt after
     an issue decides (an expired one uses the token up too), so only the event just before matters.
-    ``revocations(event_id, ts)`` clear every outstanding token.
+    ``revocations(event_id, ts)`` clear every outstanding token. With ``forget_s``, a token is unknown that long after it expired.
     """
     rows = previous_row(
         events.select("event_id", "ts", "token", "action"), ["token"], ["ts", "event_id"], ["ts", "action"]
@@ -37,6 +37,8 @@ def token_redemption(
         rows = as_of(rows, revocations.select("event_id", "ts"), [], "ts", "event_id", ["ts"], "cleared")
         known = known & (F.col("cleared").isNull() | (F.col("cleared.ts") < F.col("previous.ts")))
     age = F.col("ts").cast("double") - F.col("previous.ts").cast("double")
+    if forget_s is not None:
+        known = known & (age <= ttl_s + forget_s)
     outcome = F.when(F.coalesce(known, F.lit(False)), F.when(age <= ttl_s, "ok").otherwise("expired")).otherwise("invalid")
     return rows.select(*columns, outcome.alias("outcome"))
 

@@ -974,6 +974,25 @@ def _appended(stream: DataFrame, label: str) -> DataFrame:
     return run_append(stream, f"{base}/out", f"{base}/progress")
 
 
+_LATENESS_S = 6 * 3600
+
+
+def _shuffled(spark, rows: DataFrame, arrivals: int = 3) -> DataFrame:
+    """A table with ``ts`` as a stream of several files in which rows are up to six hours late, so their order is mixed within
+    and across micro-batches. The last file has one row long after all others, which takes the watermark past them."""
+    path = f"{staging_dir(spark)}/disarm-arrivals-{uuid.uuid4().hex}"
+    late = F.make_interval(secs=F.pmod(F.xxhash64("event_id"), F.lit(_LATENESS_S)).cast("decimal(18,6)"))
+    arriving = stage(rows.withColumn("_arrival", F.unix_micros(F.col("ts") + late)), "arrivals")
+    low, high = arriving.agg(F.min("_arrival"), F.max("_arrival")).first()
+    step = (high - low) // arrivals + 1
+    files = 4  # of each arrival, dealt round robin so that none is empty; a micro-batch takes one arrival
+    for i in range(arrivals):
+        arriving.where(F.floor((F.col("_arrival") - low) / step) == i).drop("_arrival").repartition(files).write.mode("append").parquet(path)
+    ends = rows.agg((F.max("ts") + F.make_interval(secs=F.lit(4 * _LATENESS_S).cast("decimal(18,6)"))).alias("ts"))
+    ends.select(*[F.col("ts") if c == "ts" else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns]).write.mode("append").parquet(path)
+    return stream_table(spark, path, max_files=files)
+
+
 def _inspected_stream(spark, files):
     path = f"{staging_dir(spark)}/disarm-stream-{uuid.uuid4().hex}"
     files.write.parquet(f"{path}/in")
@@ -1011,21 +1030,24 @@ def _(spark, sf):
 
 @query("stream_error_streaks", ORACLES["error_streaks"])
 def _(spark, sf):
-    return _appended(error_streak_stream(view_over(spark, "error_log", view_over(
-        spark, "verdict_log", instants(stream_table(spark, sf, "events.parquet"))))), "streaks")
+    rows = table(spark, sf, "error_log").select("event_id", "ts", "original_type", "status")
+    return _appended(error_streak_stream(_shuffled(spark, rows), lateness=f"{_LATENESS_S} seconds"), "streaks")
 
 
 @query("stream_token_redemption", f"""
-SELECT event_id, token, CASE WHEN p_action = 'issue' THEN CASE WHEN epoch_us(t.ts) - epoch_us(p_ts) <= 86400000000 THEN 'ok' ELSE 'expired' END ELSE 'invalid' END AS outcome
+SELECT event_id, token, CASE WHEN p_action = 'issue' AND epoch_us(t.ts) - epoch_us(p_ts) <= 950400000000 AND NOT EXISTS (SELECT 1 FROM {{revocations}} AS r WHERE r.ts >= p_ts AND r.ts <= t.ts)
+  THEN CASE WHEN epoch_us(t.ts) - epoch_us(p_ts) <= 86400000000 THEN 'ok' ELSE 'expired' END ELSE 'invalid' END AS outcome
 FROM {_TOKEN_PREV} AS t WHERE action = 'attempt'""")
 def _(spark, sf):
-    return _appended(token_stream(_streamed(spark, sf, "token_events")), "tokens")
+    everything = table(spark, sf, "revocations").select("event_id", "ts", F.lit(None).cast("string").alias("token"), F.lit("revoke_all").alias("action"))
+    rows = table(spark, sf, "token_events").select("event_id", "ts", "token", "action").unionByName(everything)
+    return _appended(token_stream(_shuffled(spark, rows), forget_s=10 * 86400, lateness=f"{_LATENESS_S} seconds"), "tokens")
 
 
 @query("stream_rate_limit", ORACLES["rate_limit_decisions"])
 def _(spark, sf):
-    rows = instants(stream_table(spark, sf, "events.parquet")).withColumnRenamed("user_id", "key")
-    return _appended(rate_limit_stream(rows, max_events=1, window_s=6 * 3600), "limits")
+    rows = _shuffled(spark, _limited(spark, sf))
+    return _appended(rate_limit_stream(rows, max_events=1, window_s=6 * 3600, lateness=f"{_LATENESS_S} seconds"), "limits")
 
 
 @query("stream_digest_dedupe", "SELECT DISTINCT sha256(props) AS sha256 FROM events")

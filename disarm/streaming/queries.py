@@ -10,6 +10,7 @@ from disarm.functions.digests import sha256_hex
 from disarm.operators.verdicts import status_label
 from disarm.plans.pipeline import inspect_files
 from disarm.staging import clear_staged, mark
+from disarm.streaming.stateful import state_store
 
 
 def inspect_stream(files: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -58,10 +59,11 @@ def dedupe_stream(files: DataFrame, lateness: str, content: str = "content") ->
 
 def run_append(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Process everything that is there, append the result to ``path`` and read it back."""
-    query = (
-        stream.writeStream.format("parquet").outputMode("append").option("path", path)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+    with state_store(stream.sparkSession):
+        query = (
+            stream.writeStream.format("parquet").outputMode("append").option("path", path)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 

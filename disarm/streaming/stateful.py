@@ -1,15 +1,19 @@
 """Keyed state: chunk assembly, single-use tokens, the sliding limiter, error streaks, download expiry.
 
-State per key is small and bounded by the rule itself. Rows of one key are put in event order within a
-micro-batch; a micro-batch is bounded by the source's trigger options.
+Rules that depend on order decide a row only once the watermark has passed it: until then it waits in the key's state,
+so rows may arrive in any order, over any number of micro-batches, as long as they are no later than ``lateness``.
+(Spark drops later ones and counts them in the query's progress.) What a key keeps is forgotten by timers.
 """
 
 from __future__ import annotations
 
+import math
+from collections import deque
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -17,109 +21,252 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from disarm import rules
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _LONG = T.StructType().add("v", "long")
 
 
-def _in_order(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(by, ignore_index=True)
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """The store that keyed state needs, for queries started inside; a query copies the session's settings when it starts."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
 
 
-def _run(stream: DataFrame, key: str, processor: StatefulProcessor, out: T.StructType, time_mode: str = "None") -> DataFrame:
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+def _run(stream: DataFrame, key: str, processor: StatefulProcessor, out: T.StructType) -> DataFrame:
     return stream.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=out, outputMode="Append", timeMode=time_mode
+        statefulProcessor=processor, outputStructType=out, outputMode="Append", timeMode="EventTime"
     )
 
 
-class ErrorStreaks(StatefulProcessor):
-    """Counts errors in a row per type."""
+class InOrder(StatefulProcessor):
+    """Holds the rows of a key back until the watermark has passed them and then decides them in order.
 
-    def __init__(self, threshold: int) -> None:
-        self.threshold = threshold
+    ``columns`` are the names and types of the columns that rows wait with, first those that order them; the first of
+    all is ``at``, in microseconds. Rows that arrive are only appended; the waiting ones are read when the first
+    of them is due.
+    """
+
+    columns = "at long, event_id long"
+    output: tuple[str, ...] = ()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.count = handle.getValueState("count", _LONG)
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.columns)
+        # time of the first waiting row, and the timer set
+        self.clock = handle.getValueState("clock", "due long, timer long")
+        self.names = [c.split()[0] for c in self.columns.split(", ")]
+        self.open(handle)
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        raise NotImplementedError
+
+    def decide(self, key, rows: list[tuple]) -> list[tuple]:
+        """Output of rows that are next in order."""
+        raise NotImplementedError
+
+    def forget(self, watermark: int) -> int | None:
+        """Clear what no later row needs; say when, in microseconds, there will be more to clear, or None if nothing is left."""
+        raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        length = self.count.get()[0] if self.count.exists() else 0
-        alerts = []
-        for row in _in_order(rows, ["ts", "event_id"]).itertuples():
-            length = length + 1 if row.status == "ERROR" else 0
-            if length == self.threshold:
-                alerts.append((row.event_id, key[0], length))
-        self.count.update((length,))
-        yield pd.DataFrame(alerts, columns=["event_id", "original_type", "streak"])
+        new = [row for batch in rows for row in batch[self.names].itertuples(index=False, name=None)]
+        self.waiting.appendList(new)
+        yield from self._due(key, timerValues, min(row[0] for row in new))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._due(key, timerValues, None)
+
+    def _due(self, key, timer_values, first: int | None) -> Iterator[pd.DataFrame]:
+        watermark = timer_values.getCurrentWatermarkInMs() * 1000
+        due, timer = self.clock.get() if self.clock.exists() else (None, None)
+        due = min((t for t in (due, first) if t is not None), default=None)
+        if due is not None and due <= watermark:
+            waiting = [tuple(row) for row in self.waiting.get()]
+            later = [row for row in waiting if row[0] > watermark]
+            self.waiting.put(later) if later else self.waiting.clear()
+            due = min((row[0] for row in later), default=None)
+            ready = sorted((row for row in waiting if row[0] <= watermark), key=lambda r: r[:self.ordered])
+            made = self.decide(key, ready)
+            if made:
+                yield pd.DataFrame(made, columns=list(self.output))
+        again = [t for t in (due, self.forget(watermark)) if t is not None]
+        wake = max(math.ceil(min(again) / 1000), watermark // 1000 + 1) if again else None
+        if wake != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if wake is not None:
+                self.handle.registerTimer(wake)
+        self.clock.update((due, wake)) if again else self.clock.clear()
+
+    #: how many of the first columns order rows
+    ordered = 2
 
     def close(self) -> None:
         pass
 
 
-def error_streak_stream(log: DataFrame, threshold: int = rules.STREAK_ALERT) -> DataFrame:
-    out = T.StructType().add("event_id", "long").add("original_type", "string").add("streak", "long")
-    return _run(log.select("event_id", "ts", "original_type", "status"), "original_type", ErrorStreaks(threshold), out)
+def _schema(columns: str) -> T.StructType:
+    return T.StructType.fromDDL(columns)
 
 
-class SingleUse(StatefulProcessor):
-    """Holds the issue time of an outstanding token."""
+class ErrorStreaks(InOrder):
+    """Counts errors in a row per type."""
 
-    def __init__(self, ttl_s: int) -> None:
-        self.ttl = ttl_s * 1_000_000
+    columns = "at long, event_id long, error boolean"
+    output = ("event_id", "original_type", "streak")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.issued = handle.getValueState("issued", _LONG)
+    def __init__(self, threshold: int) -> None:
+        self.threshold = threshold
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        issued = self.issued.get()[0] if self.issued.exists() else None
-        outcomes = []
-        for row in _in_order(rows, ["at", "event_id"]).itertuples():
-            if row.action == "issue":
-                issued = row.at
-                continue
-            fresh = issued is not None and row.at - issued <= self.ttl
-            outcomes.append((row.event_id, key[0], "ok" if fresh else "invalid" if issued is None else "expired"))
-            issued = None
-        self.issued.update((issued,)) if issued is not None else self.issued.clear()
-        yield pd.DataFrame(outcomes, columns=["event_id", "token", "outcome"])
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.count = handle.getValueState("count", _LONG)
 
-    def close(self) -> None:
-        pass
+    def decide(self, key, rows: list[tuple]) -> list[tuple]:
+        length = self.count.get()[0] if self.count.exists() else 0
+        alerts = []
+        for _, event_id, error in rows:
+            length = length + 1 if error else 0
+            if length == self.threshold:
+                alerts.append((event_id, key[0], length))
+        self.count.update((length,)) if length else self.count.clear()
+        return alerts
+
+    def forget(self, watermark: int) -> None:
+        return None  # a streak may go on at any time; it is one number for each type
+
+
+def error_streak_stream(log: DataFrame, threshold: int = rules.STREAK_ALERT, lateness: str = "1 minute") -> DataFrame:
+    """One alert per streak of errors of a type, in event order: ``events.error_streaks`` as a stream."""
+    rows = log.withWatermark("ts", lateness).select(
+        "ts", "original_type", F.unix_micros("ts").alias("at"), "event_id", F.coalesce(F.col("status") == "ERROR", F.lit(False)).alias("error"))
+    return _run(rows, "original_type", ErrorStreaks(threshold), _schema("event_id long, original_type string, streak long"))
+
+
+class SingleUse(InOrder):
+    """Outstanding tokens of one shard, and the time of the latest revocation of all of them."""
 
+    columns = "at long, kind int, event_id long, token string"
+    ordered = 3
+    output = ("event_id", "token", "outcome")
+    OTHER, REVOKE, ISSUE, ATTEMPT = range(4)
 
-def token_stream(events: DataFrame, ttl_s: int = rules.TOKEN_TTL_S) -> DataFrame:
-    out = T.StructType().add("event_id", "long").add("token", "string").add("outcome", "string")
-    rows = events.select("event_id", "token", "action", F.unix_micros("ts").alias("at"))
-    return _run(rows, "token", SingleUse(ttl_s), out)
+    def __init__(self, ttl_s: int, forget_s: int) -> None:
+        self.ttl, self.keep = ttl_s * 1_000_000, (ttl_s + forget_s) * 1_000_000
 
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.issued = handle.getMapState("issued", "token string", "at long")
+        self.revoked = handle.getValueState("revoked", _LONG)
+        self.sweep = handle.getValueState("sweep", _LONG)
 
-class SlidingLimit(StatefulProcessor):
+    def decide(self, key, rows: list[tuple]) -> list[tuple]:
+        revoked = before = self.revoked.get()[0] if self.revoked.exists() else None
+        held: dict[str, int | None] = {}  # tokens of these rows, read once
+        known: dict[str, int | None] = {}
+        outcomes = []
+        for at, kind, event_id, token in rows:
+            if kind in (self.OTHER, self.REVOKE):
+                revoked = at if kind == self.REVOKE else revoked
+                continue
+            name = "-" if token is None else "+" + token
+            if name not in held:
+                found = self.issued.getValue((name,)) if self.issued.containsKey((name,)) else None
+                held[name] = known[name] = found[0] if found else None
+            if kind == self.ISSUE:
+                held[name] = at
+                continue
+            since, held[name] = held[name], None
+            lost = since is None or at - since > self.keep or (revoked is not None and revoked >= since)
+            outcomes.append((event_id, token, "invalid" if lost else "ok" if at - since <= self.ttl else "expired"))
+        for name, since in held.items():
+            if since is not None and since != known[name]:
+                self.issued.updateValue((name,), (since,))
+            elif since is None and known[name] is not None:
+                self.issued.removeKey((name,))
+        if revoked != before:
+            self.revoked.update((revoked,))
+        return outcomes
+
+    def forget(self, watermark: int) -> int | None:
+        """Tokens are looked through when the oldest one is over; the next look is at least a quarter of their time later."""
+        if self.sweep.exists() and self.sweep.get()[0] > watermark:
+            return self.sweep.get()[0]
+        revoked = self.revoked.get()[0] if self.revoked.exists() else None
+        oldest = None
+        for name, since in [(k[0], v[0]) for k, v in self.issued.iterator()]:
+            if watermark - since > self.keep or revoked is not None and revoked >= since:
+                self.issued.removeKey((name,))
+            else:
+                oldest = since if oldest is None else min(oldest, since)
+        if oldest is None:
+            self.sweep.clear()
+            # a revocation of the past only matters to tokens issued before it
+            self.revoked.clear()
+            return None
+        again = max(oldest + self.keep + 1, watermark + self.keep // 4)
+        self.sweep.update((again,))
+        return again
+
+
+def token_stream(
+    events: DataFrame, ttl_s: int = rules.TOKEN_TTL_S, forget_s: int = rules.TOKEN_TTL_S, lateness: str = "1 minute", shards: int = 64
+) -> DataFrame:
+    """``events.token_redemption`` as a stream: the outcome of each attempt to use a token.
+
+    ``events(event_id, ts, token, action)`` with actions ``issue``, ``attempt`` and ``revoke_all``; others only move the
+    watermark. Tokens are dealt to shards, and a ``revoke_all`` goes to each of them, so it meets all tokens at its place in
+    event order. A token that is not used is forgotten ``forget_s`` after it expired; until then it is ``expired``.
+    """
+    kind = F.when(F.col("action") == "revoke_all", SingleUse.REVOKE).when(F.col("action") == "issue", SingleUse.ISSUE).when(F.col("action") == "attempt", SingleUse.ATTEMPT)
+    kind = kind.otherwise(SingleUse.OTHER)  # not filtered: a filter would go below the watermark
+    dealt = F.array(F.pmod(F.xxhash64("token"), F.lit(shards)).cast("int"))
+    rows = events.withWatermark("ts", lateness).select(
+        "ts", F.unix_micros("ts").alias("at"), kind.alias("kind"), "event_id", "token",
+        F.explode(F.when(F.col("action") == "revoke_all", F.sequence(F.lit(0), F.lit(shards - 1))).otherwise(dealt)).alias("shard"))
+    return _run(rows, "shard", SingleUse(ttl_s, forget_s), _schema("event_id long, token string, outcome string"))
+
+
+class SlidingLimit(InOrder):
     """Keeps the times of accepted events that are still in the window: at most ``max_events``."""
 
+    output = ("event_id", "accepted")
+
     def __init__(self, max_events: int, window_s: int) -> None:
         self.max_events, self.window = max_events, window_s * 1_000_000
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def open(self, handle: StatefulProcessorHandle) -> None:
         self.accepted = handle.getListState("accepted", _LONG)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = [v[0] for v in self.accepted.get()] if self.accepted.exists() else []
+    def _held(self) -> list[int]:
+        return [v[0] for v in self.accepted.get()] if self.accepted.exists() else []
+
+    def decide(self, key, rows: list[tuple]) -> list[tuple]:
+        held = deque(self._held())
         verdicts = []
-        for row in _in_order(rows, ["at", "event_id"]).itertuples():
-            held = [t for t in held if t > row.at - self.window]
-            allowed = len(held) < self.max_events
-            if allowed:
-                held.append(row.at)
-            verdicts.append((row.event_id, allowed))
+        for at, event_id in rows:
+            while held and held[0] <= at - self.window:
+                held.popleft()
+            verdicts.append((event_id, len(held) < self.max_events))
+            if verdicts[-1][1]:
+                held.append(at)
         self.accepted.put([(t,) for t in held]) if held else self.accepted.clear()
-        yield pd.DataFrame(verdicts, columns=["event_id", "accepted"])
+        return verdicts
 
-    def close(self) -> None:
-        pass
+    def forget(self, watermark: int) -> int | None:
+        held = self._held()
+        if held and held[-1] + self.window <= watermark:
+            self.accepted.clear()
+            return None
+        return held[-1] + self.window if held else None
 
 
-def rate_limit_stream(events: DataFrame, max_events: int, window_s: int = rules.LIMIT_WINDOW_S) -> DataFrame:
-    out = T.StructType().add("event_id", "long").add("accepted", "boolean")
-    rows = events.select("event_id", "key", F.unix_micros("ts").alias("at"))
-    return _run(rows, "key", SlidingLimit(max_events, window_s), out)
+def rate_limit_stream(events: DataFrame, max_events: int, window_s: int = rules.LIMIT_WINDOW_S, lateness: str = "1 minute") -> DataFrame:
+    """``limits.rate_limit_decisions`` as a stream; a null key is a key of its own."""
+    rows = events.withWatermark("ts", lateness).select("ts", "key", F.unix_micros("ts").alias("at"), "event_id")
+    return _run(rows, "key", SlidingLimit(max_events, window_s), _schema("event_id long, accepted boolean"))
 
 
 class ChunkAssembly(StatefulProcessor):
@@ -197,7 +344,7 @@ def assemble_stream(
         T.StructType().add("request_id", "string").add("content", "binary").add("size", "long").add("reject_reason", "string")
     )
     rows = chunks.withWatermark("ts", lateness).withColumn("at_ms", F.unix_millis("ts"))
-    return _run(rows, "request_id", ChunkAssembly(max_size, timeout_s * 1000), out, "EventTime")
+    return _run(rows, "request_id", ChunkAssembly(max_size, timeout_s * 1000), out)
 
 
 class Expiry(StatefulProcessor):
@@ -232,4 +379,4 @@ def download_expiry_stream(
     """``(id, created_at, size)`` → ``stored`` rows, and ``expired`` rows once the watermark passes their age."""
     out = T.StructType().add("id", "long").add("size", "long").add("event", "string")
     rows = downloads.withWatermark("created_at", lateness).withColumn("at_ms", F.unix_millis("created_at"))
-    return _run(rows, "id", Expiry(max_age_s), out, "EventTime")
+    return _run(rows, "id", Expiry(max_age_s), out)

@@ -139,25 +139,6 @@ def in_batches(spark, df, time, n=3):
     return sq.stream_table(spark, path, max_files=1)
 
 
-def test_streams_over_several_batches_equal_one_pass(spark):
-    from disarm.operators import events, limits
-    from disarm.plans.derived import table
-
-    sf = "/root/testdata/sf0.001"
-    log = table(spark, sf, "verdict_log")
-    batch = {r.event_id for r in events.error_streaks(log, 3).collect()}
-    out = sq.run_append(ss.error_streak_stream(in_batches(spark, log, "ts"), 3), fresh(), fresh())
-    assert {r.event_id for r in out.collect()} == batch and batch
-    clicks = table(spark, sf, "events").select("event_id", "ts", F.col("user_id").alias("key"))
-    batch = {tuple(r) for r in limits.rate_limit_decisions(clicks, 2, 6 * 3600).collect()}
-    out = sq.run_append(ss.rate_limit_stream(in_batches(spark, clicks, "ts"), 2, 6 * 3600), fresh(), fresh())
-    assert {tuple(r) for r in out.collect()} == batch
-    tokens = table(spark, sf, "token_events")
-    batch = {tuple(r) for r in events.token_redemption(tokens).collect()}
-    out = sq.run_append(ss.token_stream(in_batches(spark, tokens, "ts")), fresh(), fresh())
-    assert {tuple(r) for r in out.collect()} == batch
-
-
 def test_uploads_across_batches(spark):
     rows = [("a", 1, b"B", True, 1), ("b", 0, b"x" * 60, False, 1), ("c", 0, b"half", False, 1), ("a", 1, b"B", True, 1), ("e", 0, b"again", False, 1), ("e", 0, b"again", False, 2), ("e", 2, b"!", True, 2), ("a", 0, b"A", False, 2), ("b", 1, b"x" * 60, True, 2), ("d", 0, b"later", True, 5000)]
     df = spark.createDataFrame(rows, "request_id STRING, seq INT, chunk BINARY, is_last BOOLEAN, s LONG").withColumn("ts", F.timestamp_seconds("s")).drop("s")
