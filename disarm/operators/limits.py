@@ -1,9 +1,16 @@
 """Sliding-window limiter: an event is accepted while fewer than ``max_events`` accepted ones are in the window.
 
-Rejected events are not recorded, so each decision depends on earlier decisions of the key: a chain. All keys
-are decided alike, in one pass over rows sorted by key and time. A task holds one batch of rows and the last
-``max_events`` acceptances of the key at hand, however many rows the key has, and it jumps from acceptance to
-acceptance by binary search.
+Rejected events are not recorded, so each decision depends on earlier decisions of the key: a chain. Keys of up to
+``hot_rows`` rows are decided whole, in one pass over rows sorted by key and time that jumps from acceptance to acceptance by
+binary search. If any key has more, the rows are cut into ranges of (key, time), so that such a key is spread over many:
+
+* For one event the state between ranges is a moment, the earliest one that is accepted again, and a range is a step
+  function of it. Functions of neighbours are put together, then those of twice as many ranges, and so on: after log2(ranges)
+  rounds each range knows its entry.
+* For more events the state is the list of the last acceptances. All ranges run at once from what they know of
+  the range before, and run again while that has changed. Two runs that come to the same state are the same from there on,
+  so a change rarely gets past a range; where acceptances never meet (a window that has most rows of a range), it goes on
+  range by range.
 """
 
 from __future__ import annotations
@@ -17,34 +24,223 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from disarm import rules
+from disarm.staging import range_width, stage
 
+HOT_ROWS = 2_000_000
+_NEVER, _ALWAYS = np.iinfo(np.int64).max, np.iinfo(np.int64).min
+
+
+def _same(a, b) -> bool:
+    return a == b or (a is None and b is None)
+
+
+def _accept(at: np.ndarray, taken: deque, window: int) -> np.ndarray:
+    """Decisions on the next rows of a key; ``taken`` holds its last acceptances and is brought up to date."""
+    accepted, row = np.zeros(len(at), bool), 0
+    while row < len(at):
+        if len(taken) == taken.maxlen:  # the place taken so many acceptances ago must have come free
+            row = max(row, int(np.searchsorted(at, taken[0] + window)))
+            if row == len(at):
+                break
+        accepted[row] = True
+        taken.append(int(at[row]))
+        row += 1
+    return accepted
 
-def rate_limit_decisions(events: DataFrame, max_events: int, window_s: int = rules.LIMIT_WINDOW_S) -> DataFrame:
-    """``events(event_id, ts, key)`` → ``(event_id, accepted)``. A null key is a key of its own."""
-    window = window_s * 1_000_000
 
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, taken = None, deque(maxlen=max_events)
+def _runs(batch: pd.DataFrame, by: list[str]) -> Iterator[tuple[tuple, int, int]]:
+    """(values, from, to) of the rows that follow each other with the same values; nulls are equal."""
+    change = np.zeros(len(batch), bool)
+    for c in by:
+        before = batch[c].shift()
+        change |= (batch[c].ne(before) & ~(batch[c].isna() & before.isna())).to_numpy()
+    change[:1] = True
+    starts = np.flatnonzero(change)
+    for lo, hi in zip(starts, [*starts[1:], len(batch)]):
+        yield tuple(None if pd.isna(batch[c].iat[lo]) else batch[c].iat[lo] for c in by), lo, hi
+
+
+def _decide(max_events: int, window: int, by: list[str], entries: dict[int, list[int]] | None = None):
+    """Decisions over sorted rows. The first key of a range goes on from ``entries`` of that range."""
+    entries = entries or {}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, part, taken = None, None, deque(maxlen=max_events)
         for batch in batches:
             at, accepted = batch["at"].to_numpy(), np.zeros(len(batch), bool)
-            change = batch["key"].ne(batch["key"].shift()) & ~(batch["key"].isna() & batch["key"].shift().isna())
-            starts = np.flatnonzero(change.to_numpy() | (np.arange(len(batch)) == 0))
-            for lo, hi in zip(starts, [*starts[1:], len(batch)]):
-                here = batch["key"].iat[lo]
-                here = None if pd.isna(here) else here
-                if here != key or not taken:
-                    key = here
-                    taken.clear()
-                row = lo
-                while row < hi:
-                    if len(taken) == max_events:  # the place taken so many acceptances ago must have come free
-                        row = max(row, lo + int(np.searchsorted(at[lo:hi], taken[0] + window)))
-                        if row == hi:
-                            break
-                    accepted[row] = True
-                    taken.append(at[row])
-                    row += 1
+            for here, lo, hi in _runs(batch, by):
+                if group is None or not all(_same(a, b) for a, b in zip(here, group)):
+                    first = len(by) > 1 and here[0] != part
+                    taken = deque(entries.get(here[0], []) if first else [], maxlen=max_events)
+                    group, part = here, here[0]
+                accepted[lo:hi] = _accept(at[lo:hi], taken, window)
             yield pd.DataFrame({"event_id": batch["event_id"], "accepted": accepted})
 
+    return run
+
+
+def rate_limit_decisions(events: DataFrame, max_events: int, window_s: int = rules.LIMIT_WINDOW_S, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``events(event_id, ts, key)`` → ``(event_id, accepted)``. A null key is a key of its own."""
+    window = window_s * 1_000_000
     rows = events.select("event_id", "key", F.unix_micros("ts").alias("at"))
-    return rows.repartition("key").sortWithinPartitions("key", "at", "event_id").mapInPandas(decide, "event_id long, accepted boolean")
+    out = "event_id long, accepted boolean"
+    most = rows.groupBy("key").count().agg(F.max("count")).first()[0] or 0
+    if most <= hot_rows:
+        by_key = rows.repartition("key").sortWithinPartitions("key", "at", "event_id")
+        return by_key.mapInPandas(_decide(max_events, window, ["key"]), out)
+    kept = stage(rows, "limited")
+    width = max(range_width(kept, kept.count()), 2 * -(-most // hot_rows))
+    ranges = stage(kept.repartitionByRange(width, "key", "at", "event_id").withColumn("part", F.spark_partition_id()), "limit-ranges", "part")
+    entries = (_entries_of_one if max_events == 1 else _entries_of_many)(ranges, max_events, window)
+    return _sorted(ranges).mapInPandas(_decide(max_events, window, ["part", "key"], entries), out)
+
+
+def _sorted(ranges: DataFrame) -> DataFrame:
+    return ranges.repartition("part").sortWithinPartitions("part", "key", "at", "event_id")
+
+
+def _links(ranges: DataFrame) -> dict[int, tuple[bool, bool]]:
+    """Of each range whether its first key goes on from the range before, and whether it has no other key.
+
+    One row for each range, that is for about two million rows, comes to the driver.
+    """
+    ends = ranges.groupBy("part").agg(
+        F.min(F.struct("key", "at", "event_id")).alias("first"), F.max(F.struct("key", "at", "event_id")).alias("last")).orderBy("part").collect()
+    before = [None, *ends]
+    return {e.part: (b is not None and _same(b.last.key, e.first.key), _same(e.first.key, e.last.key)) for b, e in zip(before, ends)}
+
+
+# --- one event: ranges as step functions of the moment from which an event is accepted ---
+
+
+def _squeezed(times: np.ndarray, exits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Steps with the same exit as one."""
+    last = np.append(exits[1:] != exits[:-1], True) if len(exits) else np.zeros(0, bool)
+    return times[last], exits[last]
+
+
+def _steps(at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(times, exits): entered with a moment t, a range is left with the exit at the first time >= t, or t where there is none."""
+    n = len(at)
+    jump = np.searchsorted(at, at + window)
+    jump = np.where(jump < n, jump, np.arange(n))  # from acceptance to acceptance; the last one leads to itself
+    while True:
+        further = jump[jump]
+        if np.array_equal(further, jump):
+            break
+        jump = further
+    # no earlier acceptance reaches further than a window past the range's first row
+    upto = min(n, int(np.searchsorted(at, at[0] + window)) + 1)
+    return _squeezed(at[:upto], at[jump[:upto]] + window)
+
+
+def _apply(times: np.ndarray, exits: np.ndarray, moments: np.ndarray) -> np.ndarray:
+    if not len(times):
+        return moments
+    at = np.searchsorted(times, moments)
+    return np.where(at < len(times), exits[np.minimum(at, len(times) - 1)], moments)
+
+
+def _compose(first: tuple, then: tuple) -> tuple[np.ndarray, np.ndarray]:
+    (t1, e1), (t2, e2) = first, then
+    rest = t2 > (t1[-1] if len(t1) else _ALWAYS)
+    return _squeezed(np.concatenate([t1, t2[rest]]), np.concatenate([_apply(t2, e2, e1), e2[rest]]))
+
+
+_TABLE = "part int, times binary, exits binary"
+
+
+def _read(times: bytes, exits: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(times, np.int64), np.frombuffer(exits, np.int64)
+
+
+def _entries_of_one(ranges: DataFrame, _: int, window: int) -> dict[int, list[int]]:
+    links = _links(ranges)
+    order = sorted(links)
+    place = {part: i for i, part in enumerate(order)}
+    goes_on = {p: i + 1 < len(order) and links[order[i + 1]][0] for p, i in place.items()}
+    single = {p: links[p][1] for p in order}
+
+    def tables(key, rows: pd.DataFrame) -> pd.DataFrame:
+        part = int(key[0])
+        if not goes_on[part]:
+            made = np.array([_NEVER]), np.array([_ALWAYS])
+        else:
+            last = rows["key"].iat[-1]
+            same = rows["key"].isna() if pd.isna(last) else rows["key"] == last
+            at = rows.loc[same, "at"].to_numpy()
+            made = _steps(at, window)
+            if not single[part]:  # the last key begins here, whatever comes before
+                made = np.array([_NEVER]), _apply(*made, np.array([_ALWAYS]))
+        return pd.DataFrame({"part": [place[part]], "times": [made[0].tobytes()], "exits": [made[1].tobytes()]})
+
+    # a range is about two million rows of three numbers
+    now = stage(ranges.groupBy("part").applyInPandas(lambda key, rows: tables(key, rows.sort_values(["key", "at", "event_id"], na_position="first")), _TABLE), "limit-steps")
+    spark, entry, width = ranges.sparkSession, {0: int(_ALWAYS)}, 1
+
+    def moved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            after = [int(_apply(*_read(t, e), np.array([m]))[0]) for t, e, m in zip(batch["times"], batch["exits"], batch["moment"])]
+            yield pd.DataFrame({"part": batch["part"] + width, "moment": after})
+
+    def doubled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [_compose(_read(t1, e1), _read(t2, e2)) for t1, e1, t2, e2 in zip(batch["times"], batch["exits"], batch["times2"], batch["exits2"])]
+            yield pd.DataFrame({"part": batch["part"], "times": [t.tobytes() for t, _ in made], "exits": [e.tobytes() for _, e in made]})
+
+    while len(entry) < len(order):
+        known = spark.createDataFrame(list(entry.items()), "part int, moment long")
+        found = now.join(F.broadcast(known), "part").mapInPandas(moved, "part int, moment long")
+        entry |= {r.part: r.moment for r in found.collect() if r.part < len(order)}
+        if len(entry) < len(order):
+            ahead = now.select((F.col("part") - width).alias("part"), F.col("times").alias("times2"), F.col("exits").alias("exits2"))
+            now = stage(now.join(ahead, "part").mapInPandas(doubled, _TABLE), "limit-steps")
+        width *= 2
+    # a moment stands for the acceptance a window before it
+    return {p: [entry[i] - window] for p, i in place.items() if links[p][0] and entry[i] != _ALWAYS}
+
+
+# --- more events: runs of all ranges at once, again where the entry has changed ---
+
+
+def _entries_of_many(ranges: DataFrame, max_events: int, window: int) -> dict[int, list[int]]:
+    links = _links(ranges)
+    order = sorted(links)
+
+    def exits(wanted: list[int], entries: dict[int, list[int]]) -> dict[int, list[int]]:
+        """What ranges leave for the next one: the last acceptances of their last key that count then."""
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            part, key, taken, end = None, None, None, None
+            for batch in batches:
+                at = batch["at"].to_numpy()
+                for (p, k), lo, hi in _runs(batch, ["part", "key"]):
+                    if p != part:
+                        if part is not None:
+                            yield left(part, taken, end)
+                        taken = deque(entries.get(p, []), maxlen=max_events)
+                    elif not _same(k, key):
+                        taken = deque(maxlen=max_events)
+                    part, key = p, k
+                    _accept(at[lo:hi], taken, window)
+                    end = int(at[hi - 1])
+            if part is not None:
+                yield left(part, taken, end)
+
+        def left(part, taken, end) -> pd.DataFrame:
+            return pd.DataFrame({"part": [part], "taken": [[t for t in taken if t > end - window]]})
+
+        found = _sorted(ranges.where(F.col("part").isin(wanted))).mapInPandas(run, "part int, taken array<long>")
+        return {r.part: list(r.taken) for r in found.collect()}
+
+    entries: dict[int, list[int]] = {}
+    left, todo = {}, order
+    while todo:
+        left |= exits(todo, entries)
+        todo = []
+        for before, part in zip(order, order[1:]):
+            entry = left[before] if links[part][0] else []
+            if entry != entries.get(part, []):
+                entries[part] = entry
+                if links[part][1]:  # with another key after it, the range's end doesn't depend on its entry
+                    todo.append(part)
+    return {p: e for p, e in entries.items() if e}

@@ -768,6 +768,26 @@ def _(spark, sf):
     return limits.rate_limit_decisions(_limited(spark, sf), max_events=10, window_s=480 * 3600)
 
 
+def _one_key(sql: str) -> str:
+    """A limiter's twin with all events under one key."""
+    return sql.replace("FROM events)", "FROM (SELECT event_id, ts, 0 AS user_id FROM events) AS one)")
+
+
+def _all_under_one(spark, sf):
+    """One key that has all rows; ranges are cut from a thousand rows on, so that it is spread at every scale."""
+    return table(spark, sf, "events").select("event_id", "ts", F.lit("all").alias("key"))
+
+
+@query("rate_limit_one_key", _one_key(_limit_sql(1, 6)))
+def _(spark, sf):
+    return limits.rate_limit_decisions(_all_under_one(spark, sf), max_events=1, window_s=6 * 3600, hot_rows=1000)
+
+
+@query("rate_limit_one_key_ten", _one_key(_limit_sql(10, 12)))
+def _(spark, sf):
+    return limits.rate_limit_decisions(_all_under_one(spark, sf), max_events=10, window_s=12 * 3600, hot_rows=1000)
+
+
 _LAST_CLICK = "(SELECT max(created_at) AS now FROM {downloads})"
 
 

@@ -62,20 +62,58 @@ def test_as_of(data, spark):
     assert got == want
 
 
-@pytest.mark.parametrize("places", [1, 3])
-def test_limiter_hot_keys_equal_the_loop(spark, places):
-    rng = random.Random(11)
-    rows = [(i, rng.randrange(4000), "hot" if rng.random() < 0.5 else f"k{rng.randrange(5)}") for i in range(500)]
-    df = spark.createDataFrame(rows, "event_id LONG, s LONG, key STRING").withColumn("ts", F.timestamp_seconds("s"))
+def limited(rows, places, window):
     want, taken = {}, {}
     for i, s, k in sorted(rows, key=lambda r: (r[1], r[0])):
-        held = [t for t in taken.get(k, []) if t > s - 600]
+        held = [t for t in taken.get(k, []) if t > s - window]
         want[i] = len(held) < places
         taken[k] = held + [s] if want[i] else held
+    return want
+
+
+@pytest.mark.parametrize("places", [1, 3])
+def test_limiter_equals_the_loop(spark, places):
+    rng = random.Random(11)
+    rows = [(i, rng.randrange(4000), "hot" if rng.random() < 0.5 else f"k{rng.randrange(5)}") for i in range(500)]
+    df = spark.createDataFrame(rows, "event_id LONG, s LONG, key STRING").withColumn("ts", F.timestamp_seconds("s"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)  # a key runs over many batches
     got = limits.rate_limit_decisions(df, places, 600).collect()
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert {r.event_id: r.accepted for r in got} == want
+    assert {r.event_id: r.accepted for r in got} == limited(rows, places, 600)
+
+
+@pytest.mark.parametrize("places, window, span, keys", [
+    (1, 600, 40_000, ["hot"]), (3, 600, 40_000, ["hot"]), (10, 3000, 40_000, ["hot"]),
+    (1, 20_000, 40_000, ["hot"]), (3, 20_000, 40_000, ["hot"]),  # a window longer than many ranges
+    (1, 5, 300, ["hot", "hot", None, "b"]), (3, 50, 2000, ["hot", "hot", None, "b"]),
+])
+def test_limiter_spreads_hot_keys(spark, monkeypatch, places, window, span, keys):
+    rng = random.Random(places * window)
+    rows = [(i, rng.choice([rng.randrange(span), 7]) if rng.random() < 0.2 else rng.randrange(span), rng.choice(keys)) for i in range(900)]
+    df = spark.createDataFrame(rows, "event_id LONG, s LONG, key STRING").withColumn("ts", F.timestamp_seconds("s"))
+    parts = []
+    entries = {name: getattr(limits, name) for name in ("_entries_of_one", "_entries_of_many")}
+    for name, made in entries.items():
+        def counted(ranges, *rest, made=made):
+            parts.append(ranges.where("key = 'hot'").select("part").distinct().count())
+            return made(ranges, *rest)
+        monkeypatch.setattr(limits, name, counted)
+    got = limits.rate_limit_decisions(df, places, window, hot_rows=60).collect()
+    assert {r.event_id: r.accepted for r in got} == limited(rows, places, window)
+    assert parts[0] >= 4
+
+
+def test_steps_and_their_composition():
+    rng = random.Random(6)
+    for _ in range(200):
+        at = sorted(rng.randrange(60) for _ in range(rng.randint(2, 25)))
+        window, cut = rng.randint(1, 30), rng.randrange(1, len(at))
+        first, then = (limits._steps(limits.np.array(a), window) for a in (at[:cut], at[cut:]))
+        for t in range(at[0] - 3, at[0] + window + 1):
+            now = t
+            for x in at:
+                now = x + window if x >= now else now
+            assert limits._apply(*limits._compose(first, then), limits.np.array([t]))[0] == now
 
 
 def moments(spark, rows, schema):
