@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from disarm import rules
-from disarm.operators.ordered import as_of, previous_row, streaks
+from disarm.operators.ordered import as_of, previous_row, running, streaks
+from disarm.staging import stage
 
 
 def error_streaks(log: DataFrame, threshold: int = rules.STREAK_ALERT) -> DataFrame:
@@ -125,3 +126,43 @@ def download_retention(
         W.orderBy(F.desc("created_at"), F.desc("id")).rowsBetween(W.unboundedPreceding, 0)
     )
     return newest.withColumn("kept_bytes", total).where(F.col("kept_bytes") <= max_bytes).select("id", "size", "kept_bytes")
+
+
+def download_evictions(
+    downloads: DataFrame,
+    as_of_ts: Column,
+    max_age_s: int = rules.DOWNLOAD_MAX_AGE_S,
+    max_items: int = rules.DOWNLOAD_MAX_ITEMS,
+    max_bytes: int = rules.DOWNLOAD_MAX_BYTES,
+) -> DataFrame:
+    """When and why each download went: ``downloads(id, created_at, size)`` → id, evicted_at, evicted_by, cause.
+
+    Downloads go oldest first: when a newer one makes them too many (``count``) or too large together (``bytes``; one that
+    is too large on its own goes at once), or when they are too old (``age``). ``evicted_by`` is the newer one. Those that
+    are there at ``as_of_ts`` have nulls; later downloads don't count yet. Downloads of one moment come in the order of their ids.
+
+    What is kept is a run that ends with the newest, so each download's end can be looked up in running totals: the
+    download ``max_items`` further on, and the first one at which the bytes since it exceed the cap.
+    """
+    there = downloads.where(F.col("created_at") <= as_of_ts).select("id", "created_at", F.coalesce("size", F.lit(0)).cast("bigint").alias("size"))
+    rows = stage(running(there, [], ["created_at", "id"], "size"), "downloads")
+    newer = F.struct(F.col("created_at").alias("at"), F.col("rank"), F.col("id").alias("by"))
+    by_count = rows.select((F.col("rank") - max_items).alias("rank"), newer.alias("by_count"))
+    # going down the totals, the latest one at or before "bytes before me, plus the cap, plus one" is the first that exceeds it
+    over = rows.select((-F.col("total")).alias("_down"), (-F.col("rank")).alias("_tie"), newer.alias("newer"))
+    probes = rows.select("id", "created_at", "rank", (F.col("size") - F.col("total") - max_bytes - 1).alias("_down"), (-F.col("rank")).alias("_tie"))
+    found = as_of(probes, over, [], "_down", "_tie", ["newer"], "hit").join(by_count, "rank", "left")
+    aged = F.col("created_at") + F.make_dt_interval(secs=F.lit(max_age_s))
+    nobody = F.lit(None).cast(rows.schema["id"].dataType)
+
+    def end(known: Column, at: Column, rank: Column, kind: int, by: Column) -> Column:
+        # at its age a download still stands, so anything at that moment comes first; of one download's causes, count does
+        return F.when(known, F.struct(at.alias("at"), F.lit(kind == 2).alias("old"), rank.alias("rank"), F.lit(kind).alias("kind"), by.alias("by")))
+
+    first = F.least(
+        end(F.col("by_count").isNotNull(), F.col("by_count.at"), F.col("by_count.rank"), 0, F.col("by_count.by")),
+        end(F.col("hit").isNotNull(), F.col("hit.newer.at"), F.col("hit.newer.rank"), 1, F.col("hit.newer.by")),
+        end(aged < as_of_ts, aged, F.lit(0).cast("bigint"), 2, nobody))
+    causes = F.array(*map(F.lit, ("count", "bytes", "age")))
+    return found.withColumn("_end", first).select(
+        "id", F.col("_end.at").alias("evicted_at"), F.col("_end.by").alias("evicted_by"), F.get(causes, F.col("_end.kind")).alias("cause"))

@@ -126,3 +126,17 @@ def streaks(df: DataFrame, keys: Sequence[str], order: Sequence[str], hit: Colum
     return attach(rows, carried, keys).withColumn(into, length.cast("bigint")).drop(
         "_part", "_hit", "_rn", "_reset", "_carry"
     )
+
+
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, rank: str = "rank", total: str = "total") -> DataFrame:
+    """Add the number of rows and the sum of ``value`` up to and including each row; null values count as zero."""
+    amount = F.coalesce(F.col(value), F.lit(0))
+    rows = cut_ranges(
+        df, keys, order,
+        lambda d, w: d.withColumn(rank, F.row_number().over(w).cast("bigint")).withColumn(total, F.sum(amount).over(w.rowsBetween(W.unboundedPreceding, 0))),
+    )
+    summary = rows.groupBy("_part", *keys).agg(F.max(rank).alias("_n"), F.sum(amount).alias("_sum"))
+    before = _across(keys).rowsBetween(W.unboundedPreceding, -1)
+    carried = summary.select(
+        "_part", *keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_sum"))
+    return attach(rows, carried, keys).withColumns({rank: F.col(rank) + F.col("_n"), total: F.col(total) + F.col("_sum")}).drop("_part", "_n", "_sum")

@@ -803,6 +803,24 @@ def _(spark, sf):
     return events.download_retention(downloads, F.lit(latest), max_age_s=240 * 3600)
 
 
+_KEPT = """(SELECT id, created_at, row_number() OVER w AS rank, sum(size) OVER w AS total, sum(size) OVER w - size AS before FROM {downloads} WHERE created_at <= %s
+  WINDOW w AS (ORDER BY created_at, id ROWS UNBOUNDED PRECEDING))""" % AS_OF
+
+
+@query("download_evictions", f"""
+WITH kept AS {_KEPT},
+ends AS (
+  SELECT k.id, c.created_at AS moment, 0 AS old, c.rank AS rank, 0 AS kind, c.id AS newer FROM kept AS k JOIN kept AS c ON c.rank = k.rank + 40
+  UNION ALL SELECT k.id, b.created_at, 0, b.rank, 1, b.id FROM kept AS k ASOF JOIN (SELECT total, min(created_at) AS created_at, min(rank) AS rank, min(id) AS id FROM kept GROUP BY total) AS b ON k.before + {rules.DOWNLOAD_MAX_BYTES} + 1 <= b.total
+  UNION ALL SELECT id, created_at + INTERVAL 30 HOUR, 1, 0, 2, NULL FROM kept WHERE created_at + INTERVAL 30 HOUR < {AS_OF})
+SELECT k.id, epoch_us(e.moment) AS evicted_us, e.newer AS evicted_by, CASE e.kind WHEN 0 THEN 'count' WHEN 1 THEN 'bytes' WHEN 2 THEN 'age' END AS cause
+FROM kept AS k LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY id ORDER BY moment, old, rank, kind) AS rn FROM ends) AS e ON e.id = k.id AND e.rn = 1""")
+def _(spark, sf):
+    # smaller limits than the rules' own, so that each cause occurs
+    gone = events.download_evictions(table(spark, sf, "downloads"), _as_of(), max_age_s=30 * 3600, max_items=40)
+    return gone.select("id", F.unix_micros("evicted_at").alias("evicted_us"), "evicted_by", "cause")
+
+
 _TOKEN_PREV = """(SELECT *, lag(ts) OVER w AS p_ts, lag(action) OVER w AS p_action FROM {token_events} WINDOW w AS (PARTITION BY token ORDER BY ts, event_id))"""
 
 

@@ -226,7 +226,10 @@ def with_views(sql: str) -> str:
         visit(name)
     fill = lambda text: _NAME.sub(lambda m: m[1] if m[1] in GIVEN or m[1] in VIEWS else m[0], text)
     ctes = ",\n".join(f"{name} AS ({fill(VIEWS[name])})" for name in ordered)
-    return (f"WITH {ctes}\n" if ctes else "") + fill(sql)
+    text = fill(sql).strip()
+    if ctes and text.startswith("WITH "):
+        return f"WITH {ctes},\n{text.removeprefix('WITH ')}"
+    return (f"WITH {ctes}\n" if ctes else "") + text
 
 
 @F.arrow_udf(T.BinaryType())

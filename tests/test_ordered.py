@@ -167,3 +167,27 @@ def test_expiry_days(spark):
     )
     got = {r.id: (r.days_remaining, r.health) for r in ledger.cert_expiry(certs, F.timestamp_seconds(F.lit(1_000_000))).collect()}
     assert got == {1: (0, "warn"), 2: (-1, "expired"), 3: (13, "warn"), 4: (14, "ok")}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_evictions_equal_the_loop(spark, seed):
+    rng = random.Random(seed)
+    rows = [(i, rng.randrange(3000) // 10 * 10, rng.choice([0, 1, 40, 90, None]) if rng.random() < 0.95 else 500) for i in range(200)]
+    df = moments(spark, [(i, s, z) for i, s, z in rows], "id LONG, s LONG, size LONG").withColumnRenamed("ts", "created_at")
+    end, age, items, cap = 2500, 170, 12, 400
+    live, gone = [], {}
+    for now, i, size in sorted((s, i, z or 0) for i, s, z in rows if s <= end):
+        while live and live[0][0] + age < now:
+            old = live.pop(0)
+            gone[old[1]] = (old[0] + age, None, "age")
+        live.append((now, i, size))
+        while len(live) > items:
+            gone[live.pop(0)[1]] = (now, i, "count")
+        while live and sum(x[2] for x in live) > cap:
+            gone[live.pop(0)[1]] = (now, i, "bytes")
+    for at, i, _ in live:
+        gone[i] = (at + age, None, "age") if at + age < end else (None, None, None)
+    got = events.download_evictions(df, F.timestamp_seconds(F.lit(end)), age, items, cap)
+    rows_ = got.select("id", F.unix_seconds("evicted_at"), "evicted_by", "cause").collect()
+    assert {r[0]: tuple(r)[1:] for r in rows_} == gone and len(rows_) == len(gone)
+    assert {"age", "count", "bytes", None} == {r.cause for r in rows_}
