@@ -100,3 +100,37 @@ def exposition_lines(
         ),
     ]
     return reduce(DataFrame.union, parts).toDF("line")
+
+
+def all_metrics(verdicts: DataFrame, findings: DataFrame) -> DataFrame:
+    """All counters and histograms in one aggregation over one read of each table.
+
+    A row per (kind, type, result), kind being ``file`` or ``threat``, and one with null type and result per kind for the
+    totals: ``n``, the number of durations, and how many durations and sizes are within each bound.
+    """
+    tall = verdicts.select(
+        F.lit("file").alias("kind"), F.col("original_type").alias("type"), status_label(F.col("status")).alias("result"),
+        F.col("duration_s").cast("double").alias("duration"), F.col("original_size").cast("double").alias("size"))
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("result", "string"), ("duration", "double"), ("size", "double"))]
+    rows = tall.unionByName(findings.select(F.lit("threat").alias("kind"), "type", *nothing))
+    within = {f"d{i}": F.count_if(F.col("duration") <= b) for i, b in enumerate(rules.DURATION_BOUNDS)}
+    within |= {f"s{i}": F.count_if(F.col("size") <= b) for i, b in enumerate(rules.SIZE_BOUNDS)}
+    counted = rows.groupBy("kind", "type", "result").agg(
+        F.count(F.lit(1)).alias("n"), F.count("duration").alias("durations"), *[c.alias(name) for name, c in within.items()])
+    sums = [F.sum(c).alias(c) for c in ("n", "durations", *within)]
+    each, kind = [F.col("kind"), F.col("type"), F.col("result")], [F.col("kind")]
+    return counted.groupingSets([each, kind], *each).agg(*sums, F.grouping("type").alias("total"))
+
+
+def metric_lines(verdicts: DataFrame, findings: DataFrame, prefix: str = "disarm") -> DataFrame:
+    """:func:`exposition_lines` from :func:`all_metrics`: each row of it becomes its lines, so nothing is read twice."""
+    duration, none = f"{prefix}_sanitize_duration_seconds", F.array().cast("array<string>")
+    files = F.array(_labelled(f"{prefix}_files_processed_total", [("type", F.col("type")), ("result", F.col("result"))], F.col("n")))
+    threats = F.array(_labelled(f"{prefix}_threats_removed_total", [("type", F.col("type"))], F.col("n")))
+    totals = F.array(
+        *[_labelled(f"{duration}_bucket", [("le", F.lit(f"{b:.2f}"))], F.col(f"d{i}")) for i, b in enumerate(rules.DURATION_BOUNDS)],
+        F.concat(F.lit(f"{duration}_count "), F.col("durations").cast("string")),
+        *[_labelled(f"{prefix}_file_size_bytes_bucket", [("le", F.lit(f"{b:.0f}"))], F.col(f"s{i}")) for i, b in enumerate(rules.SIZE_BOUNDS)])
+    file, total = F.col("kind") == "file", F.col("total") == 1
+    lines = F.when(file & total, totals).when(file, files).when(~total, threats).otherwise(none)
+    return all_metrics(verdicts, findings).select(F.explode(lines).alias("line"))

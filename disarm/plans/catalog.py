@@ -18,12 +18,14 @@ from disarm.operators import archive, events, image, ledger, limits, markup, met
 from disarm.operators.chunks import assemble_chunks, split_chunks
 from disarm.operators.detect import detect_type, is_supported
 from disarm.operators.findings import findings_table
+from disarm.operators.seen import SeenDigests
 from disarm.operators.verdicts import audit_log, digest_groups, mode_output, unseen_digests, verdict_json, verdicts
 from disarm.plans.derived import AS_OF, archive_of, instants, table, view_over, with_views
 from disarm.plans.pipeline import inspect_files
-from disarm.staging import stage, staging_dir
+from disarm.sources.ledger_source import load_ledger, save_ledger
+from disarm.staging import new_folder, stage, staging_dir
 from disarm.streaming.queries import (
-    dedupe_stream, inspect_stream, run_append, run_complete, running_counters, stream_table, windowed_counters,
+    Upserts, dedupe_stream, inspect_stream, run_append, run_complete, run_update, running_counters, stream_table, windowed_counters,
 )
 from disarm.streaming.stateful import (
     assemble_stream, download_expiry_stream, error_streak_stream, rate_limit_stream, token_stream,
@@ -615,6 +617,14 @@ def _(spark, sf):
     return unseen_digests(digest_groups(docs, "text"), seen)
 
 
+@query("digest_unseen_bucketed", ORACLES["digest_unseen"])
+def _(spark, sf):
+    docs = table(spark, sf, "documents").withColumnRenamed("doc_id", "file_id")
+    seen = SeenDigests(spark)
+    seen.add(digest_groups(docs.where("lang = 'en'"), "text"))
+    return seen.unseen(digest_groups(docs, "text"))
+
+
 @query("audit_log", f"""
 SELECT r.file_id, concat('{{"msg":"file sanitized","request_id":"', request_id, '","profile":"', {_PROFILE}, '","mode":"', mode, '","policy_version":"', policy_version,
   '","type":"pdf","status":"', CASE WHEN n > 0 THEN 'SANITIZED' ELSE 'CLEAN' END, '","threats":', n, '}}') AS line
@@ -706,7 +716,7 @@ _SIZE_LINES = " UNION ALL ".join(
 )
 
 
-@query("exposition_lines", f"""
+@query("exposition_lines_by_table", f"""
 SELECT concat('disarm_files_processed_total' || chr(123) || 'type="', original_type, '",result="', lower(status), '"' || chr(125) || ' ', count(*)) AS line FROM {{verdict_log}} GROUP BY original_type, status
 UNION ALL SELECT concat('disarm_threats_removed_total' || chr(123) || 'type="', type, '"' || chr(125) || ' ', count(*)) FROM {{finding_log}} GROUP BY type
 UNION ALL {_DURATION_LINES} UNION ALL SELECT concat('disarm_sanitize_duration_seconds_count ', count(duration_s)) FROM {{verdict_log}} UNION ALL {_SIZE_LINES}""")
@@ -718,6 +728,11 @@ def _(spark, sf):
     )
 
 
+@query("exposition_lines", ORACLES["exposition_lines_by_table"])
+def _(spark, sf):
+    return metrics.metric_lines(_log(spark, sf), table(spark, sf, "finding_log"))
+
+
 # --- event rules -----------------------------------------------------------------------------------
 
 
@@ -913,6 +928,15 @@ def _(spark, sf):
 _STATUS = f"CASE WHEN revoked_at IS NOT NULL THEN 'revoked' WHEN not_after <= {AS_OF} THEN 'expired' ELSE 'active' END"
 
 
+@query("ledger_document", f"""
+SELECT fingerprint, CAST(floor(epoch(issued_at)) AS BIGINT) AS issued_s, CAST(floor(epoch(not_after)) AS BIGINT) AS not_after_s, CAST(floor(epoch(revoked_at)) AS BIGINT) AS revoked_s FROM {_LEDGER} AS l""")
+def _(spark, sf):
+    path = new_folder(spark, "ledger")
+    save_ledger(_ledger(spark, sf), path, documents=4)
+    return load_ledger(spark, path).select(
+        "fingerprint", *[F.unix_seconds(c).alias(f"{n}_s") for c, n in (("issued_at", "issued"), ("not_after", "not_after"), ("revoked_at", "revoked"))])
+
+
 @query("ledger_status", f"SELECT fingerprint, {_STATUS} AS status FROM {_LEDGER} AS l")
 def _(spark, sf):
     return _ledger(spark, sf).select("fingerprint", ledger.ledger_status(_as_of()).alias("status"))
@@ -1056,6 +1080,15 @@ def _(spark, sf):
     return run_complete(running_counters(_streamed(spark, sf, "verdict_log")), f"{base}/out", f"{base}/progress")
 
 
+@query("stream_counter_upserts", ORACLES["files_processed"])
+def _(spark, sf):
+    base = f"{staging_dir(spark)}/disarm-upserts-{uuid.uuid4().hex}"
+    rows = stage(table(spark, sf, "verdict_log").select("original_type", "status").repartition(6), "verdicts")
+    arriving = stream_table(spark, rows.inputFiles()[0].rpartition("/")[0], max_files=2)
+    upserts = Upserts(spark, f"{base}/out", "type string, result string, files long", ["type", "result"], fold_every=2)
+    return run_update(running_counters(arriving), upserts, f"{base}/progress")
+
+
 @query("stream_windowed_counters", """
 SELECT CAST(floor(epoch(time_bucket(INTERVAL 1 DAY, ts))) AS BIGINT) AS day_start, original_type AS type, lower(status) AS result, count(*) AS files
 FROM {verdict_log} GROUP BY 1, 2, 3""")

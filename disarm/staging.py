@@ -7,12 +7,20 @@ partition number) that must not differ between two readings of the same rows.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Folders written by this process and not yet cleared, oldest first.
-_written: list[str] = []
+_here = threading.local()
+
+
+def _written() -> list[str]:
+    """Folders written by this thread and not yet cleared, oldest first. Each micro-batch runs in its stream's own thread, so
+    streams and queries that stage at the same time never clear each other's tables."""
+    if not hasattr(_here, "folders"):
+        _here.folders = []
+    return _here.folders
 
 
 def staging_dir(spark: SparkSession) -> str:
@@ -34,7 +42,7 @@ def staging_dir(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, label: str) -> str:
     """The path of a fresh folder below the staging folder; it goes when :func:`clear_staged` is called."""
     path = f"{staging_dir(spark)}/disarm-{label}-{uuid.uuid4().hex}"
-    _written.append(path)
+    _written().append(path)
     return path
 
 
@@ -47,13 +55,14 @@ def stage(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
 
 
 def mark() -> int:
-    """How many folders are staged by now; hand it to :func:`clear_staged` to keep those."""
-    return len(_written)
+    """How many folders this thread has staged by now; hand it to :func:`clear_staged` to keep those."""
+    return len(_written())
 
 
 def clear_staged(spark: SparkSession, since: int = 0, until: int | None = None) -> int:
-    """Delete the folders staged after ``since``, and before ``until`` if given; call it once nothing reads them any more."""
-    gone, _written[since:until] = _written[since:until], []
+    """Delete the folders this thread staged after ``since``, and before ``until`` if given; call it once nothing reads them any more."""
+    folders = _written()
+    gone, folders[since:until] = folders[since:until], []
     jvm = spark._jvm
     for path in gone:
         target = jvm.org.apache.hadoop.fs.Path(path)

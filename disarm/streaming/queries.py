@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -82,6 +84,68 @@ def run_complete(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
+class Upserts:
+    """A table of the latest values by key, fed by a stream in update mode: a micro-batch writes changed groups only.
+
+    Batch N is the folder ``batch=N`` and replaces itself when it is run again. Every ``fold_every`` batches all that is there
+    up to then is folded into ``base=N``; what that covers is neither read nor written any more, and deleted a fold later.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str], fold_every: int = 50) -> None:
+        self.spark, self.path, self.schema, self.keys, self.fold_every = spark, path.rstrip("/"), schema, keys, fold_every
+
+    def _folders(self, kind: str) -> list[int]:
+        """Numbers of complete folders."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        root = hadoop.Path(self.path)
+        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(root):
+            return []
+        names = [s.getPath() for s in files.listStatus(root)]
+        return sorted(int(p.getName().split("=")[1]) for p in names if p.getName().startswith(kind + "=") and files.exists(hadoop.Path(p, "_SUCCESS")))
+
+    def _delete(self, kind: str, number: int) -> None:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}={number}")
+        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+
+    def _read(self, kind: str, number: int) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{kind}={number}").withColumn("_batch", F.lit(number).cast("long"))
+
+    def table(self) -> DataFrame:
+        """The latest values of each key."""
+        base = max(self._folders("base"), default=None)
+        parts = [self._read("base", base)] if base is not None else []
+        parts += [self._read("batch", n) for n in self._folders("batch") if base is None or n > base]
+        rows = self.spark.createDataFrame([], f"{self.schema}, _batch long") if not parts else reduce(DataFrame.unionByName, parts)
+        values = [c for c in rows.columns if c not in (*self.keys, "_batch")]
+        latest = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*values), "_batch").alias("_v"))
+        return latest.select(*self.keys, *[F.col(f"_v.{c}").alias(c) for c in values])
+
+    def write(self, batch: DataFrame, number: int) -> None:
+        """What ``foreachBatch`` calls."""
+        bases = self._folders("base")
+        if bases and number <= bases[-1]:
+            return  # folded in already
+        batch.write.mode("overwrite").parquet(f"{self.path}/batch={number}")
+        if (number + 1) % self.fold_every == 0:
+            self.table().write.mode("overwrite").parquet(f"{self.path}/base={number}")
+            covered = bases[-1] if bases else -1
+            for kind in ("batch", "base"):
+                for n in self._folders(kind):
+                    if n < covered or kind == "batch" and n == covered:
+                        self._delete(kind, n)
+
+
+def run_update(stream: DataFrame, upserts: Upserts, checkpoint: str) -> DataFrame:
+    """Process everything that is there in update mode and return the table of latest values."""
+    query = (
+        stream.writeStream.outputMode("update").foreachBatch(upserts.write)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return upserts.table()
+
+
 def stream_table(
     spark: SparkSession, path: str, name: str = "*.parquet", max_files: int | None = None, max_bytes: int = 1 << 30
 ) -> DataFrame:
