@@ -92,7 +92,7 @@ def parse(formatted: Column, template: Template = Template()) -> Column:
     # an escaped text has no close mark in it, so the mark ends a turn wherever it stands
     pieces = F.filter(F.split(formatted, "\\Q" + template.close + "\\E"), lambda p: p != "")
     before, after = template.other_header
-    other = rf"(?s)^\Q{before}\E((?:[^\\:]|\\.)*)\Q{after}\E"
+    other = rf"(?s)^\Q{before}\E([^\\:]*+(?:\\.[^\\:]*+)*+)\Q{after}\E"  # possessive: no step back, and no recursion
 
     def read(piece: Column) -> Column:
         known = [F.when(piece.startswith(h), F.lit(r)) for r, h in template.headers.items()]

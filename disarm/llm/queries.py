@@ -61,7 +61,10 @@ FROM firsts
 
 
 #: Personal data and keys that are redacted: addresses, numbers of several groups, long runs of hexadecimal digits.
-REDACTED = r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+|\+?\d[\d().-]*(?: [\d().-]+)*\d{3}|[0-9a-f]{24,}"
+#: Matches start where a run of their characters does, so that long runs without one take no longer than they are.
+REDACTED = (
+    r"(?<![\w.+-])[\w.+-]++@[\w-]++(?:\.[\w-]++)++"
+    r"|(?<!\d)(?<!\d[ ().-])(?<!\d[().-] )\+?\d[\d().-]*(?: [\d().-]+)*\d{3}|[0-9a-f]{24,}")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,32 +1,41 @@
 """Edit-aware token counts.
 
 A document's text is cut into leaves at places where a pre-token always starts, whatever stands before: at a space
-before a character that isn't white space. A segment tree over the leaves keeps characters and tokens. An edit
-finds its leaves by descending the tree, re-encodes only those (and the one before, if the edit took away the
-place where its first leaf was cut), and updates the sums above them.
+before a character that isn't white space, and between letters or digits and a sign that can't belong to them. A segment
+tree over the leaves keeps characters and tokens. An edit finds its leaves by descending the tree, re-encodes only those
+(and the one before, if the edit took away the place where its first leaf was cut), and updates the sums above them. The
+text stays in its leaves until all edits are done, so an edit costs its region, not the document.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from disarm.llm.tokens import encoding, tokenizer_path
+from disarm.llm.tokens import added_tokens, encoded, tokenizer_path
 
 LEAF = 512  # characters, about; a leaf ends at the next safe place
-_SAFE = re.compile(r" (?=\S)")
 EDITS = "array<struct<start:int,removed:int,inserted:string>>"
 
 
-def _cut(text: str) -> list[str]:
-    """Leaves of a text; all but the first start with a space before a character that isn't white space."""
+@lru_cache(maxsize=2)
+def _safe(path: str) -> re.Pattern:
+    """Places where a leaf may start. White space before an added token belongs together, and no added token is cut."""
+    added = added_tokens(path)
+    signs = "".join(re.escape(c) for c in "@,;:/.!?()[]#=+*-<>|" if not any(c in t for t in added))
+    ahead = "".join(f"(?!{re.escape(t)})" for t in added)
+    return re.compile(rf"(?= \S)(?= {ahead})|(?<=[^\W_])(?=[{signs}])" if signs else rf"(?= \S)(?= {ahead})")
+
+
+def _cut(text: str, path: str, size: int = LEAF) -> list[str]:
+    """Leaves of a text, each but the first at a safe place."""
     leaves, at = [], 0
     while at < len(text):
-        safe = _SAFE.search(text, at + LEAF)
+        safe = _safe(path).search(text, at + size)
         stop = safe.start() if safe else len(text)
         leaves.append(text[at:stop])
         at = stop
@@ -86,28 +95,41 @@ class Tree:
             self._add(k)
 
 
-def build(text: str, path: str) -> Tree:
-    leaves = _cut(text)
-    return Tree([len(x) for x in leaves] or [0], [len(encoding(path).encode_ordinary(x)) for x in leaves] or [0])
+def build(text: str, path: str) -> tuple[Tree, list[str]]:
+    leaves = _cut(text, path) or [""]
+    tree = Tree([len(x) for x in leaves], [len(encoded(x, path)) for x in leaves])
+    return tree, leaves + [""] * (tree.width - len(leaves))
+
+
+def leaves_of(text: str, tree: Tree) -> list[str]:
+    """The text in the leaves of its tree."""
+    made, at = [], 0
+    for size in tree.chars[tree.width:]:
+        made.append(text[at:at + size])
+        at += size
+    return made
 
 
-def edit(text: str, tree: Tree, start: int, removed: int, inserted: str, path: str) -> tuple[str, int]:
-    """The text after one edit and how many characters were encoded anew; the tree is brought up to date."""
-    start = max(0, min(start, len(text)))
-    removed = max(0, min(removed, len(text) - start))
+def edit(leaves: list[str], tree: Tree, start: int, removed: int, inserted: str, path: str) -> int:
+    """Make one edit in the leaves and bring the tree up to date; how many characters were encoded anew."""
+    start = max(0, min(start, tree.chars[1]))
+    removed = max(0, min(removed, tree.chars[1] - start))
     first, at = tree.leaf_at(start)
-    last, last_at = tree.leaf_at(start + removed)  # the leaf behind the edit is context too
-    end = last_at + tree.chars[tree.width + last]
-    after = text[:start] + inserted + text[start + removed:]
-    end += len(inserted) - removed
-    while at > 0 and not _SAFE.match(after, at):  # the place of the cut must still be safe
-        first = tree.before(first)
-        at -= tree.chars[tree.width + first]
-    region = after[at:end]
-    for leaf in range(first, last + 1):
-        tree.put(leaf, 0, 0)
-    tree.put(first, len(region), len(encoding(path).encode_ordinary(region)))
-    return after, len(region)
+    last, _ = tree.leaf_at(start + removed)  # the leaf behind the edit is context too
+    region = "".join(leaves[first:last + 1])
+    region = region[:start - at] + inserted + region[start - at + removed:]
+    while (before := tree.before(first)) is not None and not _safe(path).match(leaves[before][-1] + region, 1):
+        region = leaves[before] + region  # the place of the cut is no longer safe
+        first = before
+    # the region is dealt to the places it has, so that leaves don't grow together
+    slots = last + 1 - first
+    pieces = _cut(region, path, max(LEAF, len(region) // slots))
+    pieces[slots - 1:] = ["".join(pieces[slots - 1:])]
+    for leaf, piece in enumerate(pieces + [""] * (slots - len(pieces)), first):
+        if piece or leaves[leaf]:
+            leaves[leaf] = piece
+            tree.put(leaf, len(piece), len(encoded(piece, path)))
+    return len(region)
 
 
 def with_trees(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -116,7 +138,7 @@ def with_trees(docs: DataFrame, text_col: str = "text", path: str | None = None)
 
     @F.pandas_udf("chars array<int>, tokens array<int>")
     def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([build(t or "", path).lists() for t in texts], columns=["chars", "tokens"])
+        return pd.DataFrame([build(t or "", path)[0].lists() for t in texts], columns=["chars", "tokens"])
 
     return docs.withColumn("tree", run(F.col(text_col)))
 
@@ -125,8 +147,8 @@ def apply_edits(docs: DataFrame, text_col: str = "text", edits_col: str = "edits
     """``docs`` with text, tree, n_tokens and encoded_chars after the edits of each row.
 
     Edits (EDITS) are applied in order, each to the text that the ones before left; places beyond the text are
-    its end. Null edits or texts change nothing. A leaf that has grown to sixteen times its size has the whole
-    document cut anew. ``n_tokens`` equals a full encoding of the new text.
+    its end. Null edits or texts change nothing. Where leaves of more than
+    sixteen times their size have been encoded for as long as the document is, it is cut anew. ``n_tokens`` equals a full encoding of the new text.
     """
     path = path or tokenizer_path()
 
@@ -134,13 +156,15 @@ def apply_edits(docs: DataFrame, text_col: str = "text", edits_col: str = "edits
     def run(texts: pd.Series, trees: pd.DataFrame, edits: pd.Series) -> pd.DataFrame:
         made = []
         for text, chars, tokens, steps in zip(texts, trees["chars"], trees["tokens"], edits):
-            text, tree, encoded = text or "", Tree.stored(list(map(int, chars)), list(map(int, tokens))), 0
+            text, tree, anew = text or "", Tree.stored(list(map(int, chars)), list(map(int, tokens))), 0
+            leaves, grown = leaves_of(text, tree), 0
             for e in steps if steps is not None else ():
-                text, n = edit(text, tree, e["start"], e["removed"], e["inserted"] or "", path)
-                encoded += n
-                if n > 16 * LEAF and len(text) > 2 * n:
-                    tree, encoded = build(text, path), encoded + len(text)
-            made.append((text, *tree.lists(), tree.tokens[1], encoded))
+                n = edit(leaves, tree, e["start"], e["removed"], e["inserted"] or "", path)
+                anew, grown = anew + n, grown + (n if n > 16 * LEAF else 0)
+                if grown > max(16 * LEAF, 2 * tree.chars[1]):  # leaves have become large, at the cost of cutting anew
+                    text = "".join(leaves)
+                    (tree, leaves), anew, grown = build(text, path), anew + len(text), 0
+            made.append(("".join(leaves), *tree.lists(), tree.tokens[1], anew))
         return pd.DataFrame(made, columns=["text", "chars", "tokens", "n_tokens", "encoded_chars"])
 
     changed = docs.withColumn("_after", run(F.col(text_col), F.col("tree"), F.col(edits_col)))

@@ -227,5 +227,5 @@ def near_copies(
     placed = stage(rows.join(per_class, "vector", "left").select("row", "id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "row").alias("root")), "placed")
     lowest = stage(placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("m")), "lowest")
     return placed.join(lowest, "root").select(
-        F.col("id").alias(id_col), "n_links", F.col("m.id").alias("component_id"), (F.col("m.row") == F.col("row")).alias("kept"),
+        F.col("id").alias(id_col), "n_links", F.col("m.id").alias("component_id"), F.col("id").eqNullSafe(F.col("m.id")).alias("kept"),
         F.lit(found_share).alias("audited_recall"))

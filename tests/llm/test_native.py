@@ -66,6 +66,13 @@ def test_chats_come_back(spark):
     assert chat.format_conversations(turns.where("false")).collect() == []
 
 
+def test_a_very_long_role(spark):
+    role = "r:\\</turn>###" * 80_000  # a megabyte
+    turns = spark.createDataFrame([(1, 0, role, "hi"), (1, 1, "x" * 1_000_000, "")], "conv_id long, turn long, role string, text string")
+    back = chat.format_conversations(turns).select(chat.parse(F.col("formatted")).alias("turns")).first().turns
+    assert [(t.role, t.text) for t in back] == [(role, "hi"), ("x" * 1_000_000, "")]
+
+
 def test_digest_of_the_probe(spark):
     text = "\\### Assistant: </turn> ok"
     turns = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")

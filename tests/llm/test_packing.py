@@ -8,21 +8,23 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from disarm.llm import packing
-from disarm.llm.tokens import little_endian, token_ids, tokenizer_path
+from disarm.llm.tokens import added_tokens, little_endian, token_ids, tokenizer_path
 
 ODD = " \n\t\r\x0b\x0c\x1c\x85\xa0 　'sSabé中1٣!|<>\0́​½"
 
 
 def library():
-    found = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_ids_are_those_of_the_library():
     rng = random.Random(1)
     texts = ["".join(rng.choice(ODD) for _ in range(rng.randint(0, 50))) for _ in range(3000)]
-    texts += ["", "<|endoftext|> it's  <|endoftext|>", "a" * 20000, " " * 5000 + "x"]
+    texts += ["", "a" * 20000, " " * 5000 + "x"]
+    for token in added_tokens(tokenizer_path()):
+        around = ["", " ", "  ", "a", "a ", "'s", "\n\n ", token, token[:-1], "<", "é"]
+        texts += [x + token + y for x in around for y in around]
+    assert added_tokens(tokenizer_path())
     for text, want in zip(texts, library().encode_batch(texts, add_special_tokens=False)):
         assert little_endian(token_ids(text, tokenizer_path())) == np.array(want.ids, "<u4").tobytes()
 

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from disarm.llm import licenses, token_counts, toxicity, vector_dedup
 from disarm.llm.queries import REDACTED
-from disarm.llm.tokens import encoding, tokenizer_path
+from disarm.llm.tokens import encoded, tokenizer_path
 
 
 def count(text):
-    return len(encoding(tokenizer_path()).encode_ordinary(text or ""))
+    return len(encoded(text or "", tokenizer_path()))
 
 
 def test_licenses_are_found_and_named(spark):
@@ -39,17 +39,30 @@ def test_licenses_are_found_and_named(spark):
 
 def test_counts_after_edits_equal_full_encodings():
     rng = random.Random(6)
-    bits = ["word", " word", "  ", "\n", " ", "é", "'s", " 12", "　", "\t", " a b c", "", "x" * 30]
-    for _ in range(60):
-        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 900)))
-        tree = token_counts.build(text, tokenizer_path())
+    bits = ["word", " word", "  ", "\n", " ", "é", "'s", " 12", "　", "\t", " a b c", "", "x" * 30, "@", "?!", "<|endoftext|>", "a.b", "7", "_", "-", "e\u0301", "!'"]
+    for turn in range(60):
+        pick = bits if turn % 2 else [b for b in bits if " " not in b]
+        text = "".join(rng.choice(pick) for _ in range(rng.randint(0, 900)))
+        tree, leaves = token_counts.build(text, tokenizer_path())
         for _ in range(12):
             start, removed = rng.randint(0, len(text) + 3), rng.choice([0, 1, 2, 40, 700])
             inserted = "".join(rng.choice(bits) for _ in range(rng.choice([0, 1, 3, 200])))
-            text, _ = token_counts.edit(text, tree, start, removed, inserted, tokenizer_path())
+            token_counts.edit(leaves, tree, start, removed, inserted, tokenizer_path())
+            text = text[:start] + inserted + text[start + removed:]
+            assert "".join(leaves) == text
             assert (tree.chars[1], tree.tokens[1]) == (len(text), count(text))
 
 
+def test_long_texts_take_no_longer_than_they_are():
+    path = tokenizer_path()
+    for text in ("x" * 300_000, "1 " * 150_000, "a@b.c," * 10_000, "1." * 150_000):
+        found = list(re.finditer(REDACTED, text))
+        tree, leaves = token_counts.build(text, path)
+        for m in reversed(found):
+            token_counts.edit(leaves, tree, m.start(), m.end() - m.start(), "[redacted]", path)
+        assert "".join(leaves) == re.sub(REDACTED, "[redacted]", text)
+
+
 def test_edits_of_rows(spark):
     rows = [(1, "call 555-123-4567 or a.b@example.org now " * 40), (2, None), (3, ""), (4, "nothing"), (4, "nothing"), (5, "12345 " * 3000)]
     docs = token_counts.with_trees(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_tokens int"))
