@@ -6,14 +6,19 @@ replaced is decided by column expressions on the listing.
 
 from __future__ import annotations
 
+import hashlib
 import io
 import zipfile
+from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from disarm.rules import MAX_ARCHIVE_BYTES, MAX_ENTRY_BYTES
+from disarm.rules import MAX_ARCHIVE_BYTES, MAX_ARCHIVE_DEPTH, MAX_ENTRY_BYTES
+
+_FLUSH = 8 << 20  # bytes of members held before they are handed on
 
 LISTING = T.ArrayType(
     T.StructType().add("entry_idx", "integer").add("name", "string").add("declared_size", "long")
@@ -110,6 +115,83 @@ class ArchiveEntries:
         yield from read_entries(content, wanted, None)
 
 
+WALK = "path string, depth int, entry_idx int, size long, sha256 string, content binary, error string"
+
+
+def walk_members(files: DataFrame, id_col: str = "file_id", content_col: str = "content", max_depth: int = MAX_ARCHIVE_DEPTH, with_content: bool = False) -> DataFrame:
+    """All members of containers and of the containers inside them, in one pass: ``id_col`` and WALK.
+
+    ``path`` joins member names by ``/`` from the outermost container on, ``depth`` counts from 0. A member that is a container
+    itself has its own row before those of its members; below ``max_depth`` it isn't opened. Members over the entry cap have a size
+    and no digest; the walk of a container ends at the member that takes its total over the archive cap; what can't be read has an
+    error. A file that is no container gives one row with an error and no path, a null one none. One member, and the
+    containers around it, are in memory at a time.
+    """
+    def walk(body: bytes, prefix: str, depth: int):
+        archive = _open(body)
+        if archive is None:
+            return
+        infos = archive.infolist()
+        for idx, size, content, error in read_entries(body, list(range(len(infos))), None):
+            path = prefix + infos[idx].orig_filename.encode("utf-8", "replace").decode("utf-8")
+            digest = hashlib.sha256(content).hexdigest() if content is not None else None
+            yield path, depth, idx, size, digest, content if with_content else None, error
+            if content is not None and depth < max_depth and content[:2] == b"PK":
+                yield from walk(content, path + "/", depth + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, owners, held = [], [], 0
+            for i in range(batch.num_rows):
+                body = batch.column(1)[i].as_py()
+                if body is None:
+                    continue
+                found = walk(body, "", 0) if _open(body) is not None else iter([(None, None, None, None, None, None, "invalid archive")])
+                for row in found:
+                    rows.append(row)
+                    owners.append(i)
+                    held += 64 + len(row[5] or b"")
+                    if held > _FLUSH:
+                        yield flush(batch, owners, rows)
+                        rows, owners, held = [], [], 0
+            if rows:
+                yield flush(batch, owners, rows)
+
+    def flush(batch: pa.RecordBatch, owners: list[int], rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.string())
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owners)), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names)
+
+    schema = T.StructType([T.StructField(id_col, files.schema[id_col].dataType), *T.StructType.fromDDL(WALK)])
+    names = schema.names
+    return files.select(id_col, content_col).mapInArrow(run, schema)
+
+
+def read_members(opened: DataFrame) -> DataFrame:
+    """``(file_id, body, wanted)`` → one row per wanted entry: file_id, entry_idx, size, content and error, in Arrow batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, owners, held = [], [], 0
+            for i in range(batch.num_rows):
+                body, wanted = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
+                for row in read_entries(body, wanted or [], None) if body is not None else ():
+                    rows.append(row)
+                    owners.append(i)
+                    held += 64 + len(row[2] or b"")
+                    if held > _FLUSH:
+                        yield flush(batch, owners, rows)
+                        rows, owners, held = [], [], 0
+            if rows:
+                yield flush(batch, owners, rows)
+
+    def flush(batch: pa.RecordBatch, owners: list[int], rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.string())
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owners)), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], schema.names)
+
+    schema = T.StructType([T.StructField("file_id", opened.schema["file_id"].dataType), *ENTRY.fields])
+    return opened.select("file_id", "body", "wanted").mapInArrow(run, schema)
+
+
 @F.arrow_udf(T.BinaryType())
 def zip_rebuild(content: pa.Array, dropped: pa.Array, new_idx: pa.Array, new_content: pa.Array) -> pa.Array:
     """Write a container again without the dropped entries and with some entries' bytes replaced."""

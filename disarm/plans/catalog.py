@@ -13,6 +13,7 @@ from disarm import rules
 from disarm.functions.content import apply_spans
 from disarm.functions.digests import pem_fingerprint, sha256_hex
 from disarm.functions.segments import image_segments
+from disarm.functions.zips import walk_members
 from disarm.operators import admission as adm
 from disarm.operators import archive, events, image, ledger, limits, markup, metrics, pdf
 from disarm.operators.chunks import assemble_chunks, split_chunks
@@ -281,6 +282,41 @@ def _(spark, sf):
     return again.select("file_id", F.array_join(F.transform("listing", lambda e: e["name"]), ", ").alias("names"))
 
 
+def _member_sql(variants: dict[int, list[tuple[str, str]]]) -> str:
+    """Members of the archives of some variants; ``text`` and ``m`` stand for what is known of their bytes."""
+    rows = [
+        f"SELECT doc_id, {v} AS variant, '{path}' AS path, CAST({path.count('.zip/') + path.count('.docm/')} AS INT) AS depth, {f'CAST(strlen({body}) AS BIGINT)' if body else 'NULL'} AS size, {f'sha256({body})' if body else 'NULL'} AS sha256 FROM documents WHERE doc_id % 6 = {v}"
+        for v, found in variants.items() for path, body in found]
+    return " UNION ALL ".join(rows)
+
+
+_KEPT_MEMBERS = {
+    1: [("a.txt", "text")], 2: [("a.txt", "text"), ("macro.docm", ""), ("macro.docm/word/document.xml", "text")],
+    3: [("n.zip", ""), ("n.zip/in/macro.docm", ""), ("n.zip/in/macro.docm/word/document.xml", "text"), ("n.zip/a.txt", "text")]}
+_ALL_MEMBERS = {
+    0: [("a.txt", "text")], 1: [("a.txt", "text"), ("../up.txt", "text")],
+    2: [*_KEPT_MEMBERS[2], ("macro.docm/word/vbaProject.bin", "'m'")], 3: [*_KEPT_MEMBERS[3], ("n.zip/in/macro.docm/word/vbaProject.bin", "'m'")],
+    4: [("deep.zip", ""), ("deep.zip/inner.zip", ""), ("deep.zip/inner.zip/inner.zip", ""), ("deep.zip/inner.zip/inner.zip/inner.zip", "")]}
+
+
+def _walked(files: DataFrame) -> DataFrame:
+    """Members by path; of containers, whose bytes depend on the compressor, only that they are there."""
+    plain = ~F.col("path").rlike("[.](zip|docm)$")
+    return walk_members(files).select(
+        F.col("file_id"), "path", "depth", F.when(plain, F.col("size")).alias("size"), F.when(plain, F.col("sha256")).alias("sha256"))
+
+
+@query("archive_walk", f"SELECT CAST(doc_id AS VARCHAR) AS file_id, path, depth, size, sha256 FROM ({_member_sql(_ALL_MEMBERS)}) AS m")
+def _(spark, sf):
+    return _walked(_archives(spark, sf))
+
+
+@query("archive_repack_bytes", f"SELECT CAST(doc_id AS VARCHAR) AS file_id, path, depth, size, sha256 FROM ({_member_sql(_KEPT_MEMBERS)}) AS m")
+def _(spark, sf):
+    done = inspect_files(_archives(spark, sf)).where("status = 'SANITIZED'")
+    return _walked(done.select("file_id", F.col("output").alias("content")))
+
+
 # --- images ----------------------------------------------------------------------------------------
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from disarm import rules
 from disarm.functions.names import base_name
 from disarm.functions.segments import image_segments
-from disarm.functions.zips import ArchiveEntries, zip_rebuild
+from disarm.functions.zips import read_members, zip_rebuild
 from disarm.operators import image, pdf
 from disarm.operators.archive import path_finding
 from disarm.operators.detect import (
@@ -283,11 +283,13 @@ def _inspect_archives(archives: DataFrame, depth: int, run: _Run) -> DataFrame:
 
 
 def _read_members(opened: DataFrame) -> DataFrame:
-    body = opened.select("file_id", "listing", F.col("content").alias("body"), F.col("_wanted").alias("wanted"))
-    return body.lateralJoin(ArchiveEntries(F.col("body").outer(), F.col("wanted").outer())).select(
-        F.concat(F.col("file_id").cast("string"), F.lit("/"), F.col("entry_idx")).alias("file_id"),
-        F.col("file_id").alias("archive_id"), "entry_idx",
-        F.get("listing", F.col("entry_idx"))["name"].alias("filename"), "size", "content", "error",
+    names = F.transform("listing", lambda e: e["name"])
+    owner = F.struct(F.col("file_id").alias("id"), names.alias("names"))
+    body = opened.select(owner.alias("file_id"), F.col("content").alias("body"), F.col("_wanted").alias("wanted"))
+    return read_members(body).select(
+        F.concat(F.col("file_id.id").cast("string"), F.lit("/"), F.col("entry_idx")).alias("file_id"),
+        F.col("file_id.id").alias("archive_id"), "entry_idx",
+        F.get("file_id.names", F.col("entry_idx")).alias("filename"), "size", "content", "error",
         F.col("content").isNotNull().alias("readable"),
     )
 
