@@ -15,13 +15,13 @@ def components(links: DataFrame) -> DataFrame:
     smaller ones. A hub takes part in sums and joins only, never as a gathered list. Links with a null end
     and links of a node with itself are left out.
     """
-    now = stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v AND a IS NOT NULL AND b IS NOT NULL").distinct(), "links")
+    now = stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v AND a IS NOT NULL AND b IS NOT NULL"), "links")
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # written before they meet the links, so that Spark can split the links of a hub
         least = stage(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        kept = stage(large.where("u <> v").distinct(), "large-star")
+        kept = stage(large.where("u <> v"), "large-star")
         least = stage(kept.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = kept.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         now = stage(small.where("u <> v").distinct(), "small-star")

@@ -9,10 +9,12 @@ All orders here put rare tokens first and differ in how they break ties and how
    to their document. A document that shares too few tokens with any others is done: it has no link.
 3. Equal sets become one. For the rest, the postings of prefix tokens under the first order give candidates.
    A list of postings is not paired out: each member meets one leader of its list, what links is contracted to
-   components, and where a list still has several of them another leader follows, up to LEADERS rounds.
+   components, and where a list still has several of them another leader follows, up to LEADERS rounds. The first
+   leader is the member whose tokens the most documents have: the original of a group of near copies, or close to it.
    Only pairs that are in different components then meet one by one. So a group of copies costs a few checks a
    member.
-4. A candidate pair passes the filters of all orders, then its overlap is counted exactly.
+4. Candidates are narrow pairs of rows. They are intersected with the pairs that share prefix tokens, at allowed
+   positions, under each of the other orders; only then sets are fetched, of the rows left, and overlaps counted exactly.
 """
 
 from __future__ import annotations
@@ -31,10 +33,12 @@ from disarm.staging import clear_staged, mark, stage
 
 _U = np.uint64
 _TOKEN = _U((1 << 48) - 1)  # low 48 bits: token; high 16: its document count, as far as that goes
-LEADERS = 3  # rounds in which the members of a list meet one of them, before those still apart meet one by one
+LEADERS = 2  # rounds in which the members of a list meet one of them, before those still apart meet one by one
 _FLUSH = 1_000_000  # tokens gathered in a task before they are dealt out
 #: What the bucket that answers for a row is told of it.
-_ROW = np.dtype([("row", "<i8"), ("id", "<i8"), ("null", "?"), ("key", "<i8"), ("n", "<u4")])
+_ROW = np.dtype([("row", "<i8"), ("id", "<i8"), ("null", "?"), ("key", "<i8"), ("key2", "<i8"), ("n", "<u4")])
+BUCKET_BYTES = 8 << 20  # of input files that a bucket of tokens stands for, at most
+IDS = 4_000_000  # rows whose sets are wanted, up to which their numbers go to all tasks (8 bytes each)
 _SALTS = (_U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93))
 
 
@@ -74,8 +78,8 @@ def _dealt(buckets: int, words: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = shingle_sets(part.column(3), words)
-                held += [(r, i or 0, i is None, k, len(f)) for r, i, k, f in zip(*[part.column(c).to_pylist() for c in range(3)], found)]
+                found = shingle_sets(part.column(4), words)
+                held += [(r, i or 0, i is None, k, k2, len(f)) for r, i, k, k2, f in zip(*[part.column(c).to_pylist() for c in range(4)], found)]
                 sets += found
                 count += sum(map(len, found))
                 if count >= _FLUSH:
@@ -129,7 +133,7 @@ def _regrouped(need: float):
         told = join("told", _ROW)
         first, last = np.searchsorted(rows, told["row"]), np.searchsorted(rows, told["row"], "right")
         return pd.DataFrame({
-            "row": told["row"], "id": pd.array(told["id"], "Int64"), "key": told["key"], "n": told["n"].astype(np.int64),
+            "row": told["row"], "id": pd.array(told["id"], "Int64"), "key": told["key"], "key2": told["key2"], "n": told["n"].astype(np.int64),
             "tokens": [tokens[a:z].tobytes() if n and z - a >= need * n else None for a, z, n in zip(first, last, told["n"].tolist())],
         }).assign(id=lambda d: d["id"].mask(told["null"]))
 
@@ -141,38 +145,45 @@ def _prefix(n: int, num: int, den: int) -> int:
     return n - -(-n * num // den) + 1
 
 
-def _postings(num: int, den: int):
+def _ordered(tokens: np.ndarray, kind: int) -> np.ndarray:
+    """The same tokens under one of three global orders; they come in the first one."""
+    if kind == 0:
+        return tokens
+    df, token = tokens >> _U(48), tokens & _TOKEN
+    if kind == 1:
+        return tokens[np.lexsort((token * _SALTS[0], df))]
+    return tokens[np.lexsort((token * _SALTS[1], np.log2(np.maximum(df, 1).astype(np.float64)).astype(np.int64)))]
+
+
+_POSTING = "kind int, token long, row long, place long, n long, common double"
+
+
+def _postings(num: int, den: int, kinds: tuple[int, ...]):
+    """Prefix tokens of each set under some orders, with the place of the token and how common the set's tokens are."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            token, row, place, size = [], [], [], []
+            made: dict[str, list] = {c: [] for c in ("kind", "token", "row", "place", "n", "common")}
             for r, n, data in zip(batch["row"], batch["n"], batch["tokens"]):
                 tokens = np.frombuffer(data, "<u8")
                 alone = n - len(tokens)  # tokens of this document only come first and meet nothing
                 take = min(len(tokens), max(0, _prefix(n, num, den) - alone))
-                token.append(tokens[:take])
-                place.append(np.arange(alone, alone + take))
-                row.append(np.full(take, r))
-                size.append(np.full(take, n))
-            if token:
-                yield pd.DataFrame({"token": np.concatenate(token).view(np.int64), "row": np.concatenate(row), "place": np.concatenate(place), "n": np.concatenate(size)})
+                common = int((tokens >> _U(48)).sum()) / n
+                for kind in kinds:
+                    made["token"].append(_ordered(tokens, kind)[:take].view(np.int64))
+                    made["place"].append(np.arange(alone, alone + take))
+                    for column, value in (("kind", kind), ("row", r), ("n", n), ("common", common)):
+                        made[column].append(np.full(take, value))
+            if made["token"]:
+                yield pd.DataFrame({c: np.concatenate(v) for c, v in made.items()})
 
     return run
 
 
-def _orders(tokens: np.ndarray) -> list[np.ndarray]:
-    """The same tokens under the other global orders."""
-    df, token = tokens >> _U(48), tokens & _TOKEN
-    coarse = np.log2(np.maximum(df, 1).astype(np.float64)).astype(np.int64)
-    return [tokens[np.lexsort((token * _SALTS[0], df))], tokens[np.lexsort((token * _SALTS[1], coarse))]]
-
-
 def _verified(num: int, den: int):
+    """Pairs whose overlap, counted exactly, is enough."""
+
     def similar(n: int, a: np.ndarray, m: int, b: np.ndarray) -> bool:
-        for x, y in zip(_orders(a), _orders(b)):
-            left = x[:max(0, _prefix(n, num, den) - (n - len(x)))]
-            right = y[:max(0, _prefix(m, num, den) - (m - len(y)))]
-            if not np.isin(left, right, assume_unique=True).any():
-                return False
         both = len(np.intersect1d(a, b, assume_unique=True))
         return den * both >= num * (n + m - both)
 
@@ -184,20 +195,33 @@ def _verified(num: int, den: int):
     return run
 
 
-def _pairs(left: DataFrame, right: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct pairs of postings of a token, in different components, that length and position allow."""
-    l, r = left.alias("l"), right.alias("r")
+def _fits(num: int, den: int) -> Column:
+    """Whether postings ``l`` and ``r`` may be of a similar pair: they have the same token where length and position allow it."""
     rest = F.least(F.col("l.n") - F.col("l.place"), F.col("r.n") - F.col("r.place"))
-    fits = (
-        (F.col("l.token") == F.col("r.token")) & (F.col("l.root") != F.col("r.root"))
+    return (
+        (F.col("l.token") == F.col("r.token"))
         & (den * F.least("l.n", "r.n") >= num * F.greatest("l.n", "r.n"))
         & ((num + den) * rest >= num * (F.col("l.n") + F.col("r.n"))))
-    return l.join(r, fits).select(F.least("l.row", "r.row").alias("a"), F.greatest("l.row", "r.row").alias("b")).distinct()
+
+
+def _paired(met: DataFrame) -> DataFrame:
+    """Distinct pairs of rows of joined postings."""
+    return met.select(F.least("l.row", "r.row").alias("a"), F.greatest("l.row", "r.row").alias("b")).distinct()
+
+
+def _also_under(pairs: DataFrame, postings: DataFrame, num: int, den: int) -> DataFrame:
+    """Those pairs that share prefix tokens under the order of ``postings`` too."""
+    left = pairs.join(postings, F.col("a") == F.col("row")).select("a", "b", F.struct("token", "place", "n").alias("l"))
+    return left.join(postings.alias("r"), (F.col("b") == F.col("r.row")) & _fits(num, den)).select("a", "b").distinct()
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
-    """Tells rows apart by id and text, also where ids repeat or are missing."""
-    return F.xxhash64(doc_id.cast("long"), text)
+    """128 bits that tell rows apart by id and text, also where ids repeat or are missing."""
+    return F.concat(*[F.lpad(F.hex(h), 16, "0") for h in _halves(doc_id, text)])
+
+
+def _halves(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    return F.xxhash64(doc_id.cast("long"), text), F.xxhash64(F.lit("row"), text, doc_id.cast("long"))
 
 
 def jaccard_components(
@@ -212,7 +236,9 @@ def jaccard_components(
     Other columns, whatever their names, are ignored; an empty table gives an empty result.
     """
     spark, num, den, since = docs.sparkSession, percent, 100, mark()
-    rows = _sets(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text")), words, num / den)
+    key, key2 = _halves(F.col(id_col), F.col(text_col))
+    rows = _sets(docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), key.alias("key"), key2.alias("key2"), F.col(text_col).alias("text")), words, num / den)
     sets = rows.where("tokens IS NOT NULL").withColumn(
         "class", F.when(F.length("tokens") == 8 * F.col("n"), F.concat(F.col("n").cast("string"), F.lit("-"), F.md5("tokens"))).otherwise(
             F.concat(F.lit("row "), F.col("row").cast("string"))))
@@ -220,42 +246,52 @@ def jaccard_components(
     classes = stage(sets.groupBy("class").agg(F.min("row").alias("first")), "set-classes")
     member = stage(sets.select("row", "class").join(classes, "class").select("row", "first"), "set-members")
     reps = stage(sets.select("row", "n", "tokens").join(member.where("row = first").select("row"), "row"), "set-reps")
-    postings = stage(reps.mapInPandas(_postings(num, den), "token long, row long, place long, n long"), "postings")
-
-    a = reps.select(F.col("row").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("tokens_a"))
-    b = reps.select(F.col("row").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("tokens_b"))
+    placed = stage(reps.mapInPandas(_postings(num, den, (0,)), _POSTING).drop("kind").withColumn("root", F.col("row")), "postings")
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """The links among candidates: the other orders thin them out, then overlaps are counted."""
+        pairs = stage(pairs, "candidates")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+        few = 2 * pairs.count() <= IDS
+        fetched = stage(reps.join(F.broadcast(wanted) if few else wanted, "row", "left_semi"), "fetched")
+        others = stage(fetched.mapInPandas(_postings(num, den, (1, 2)), _POSTING).drop("common"), "other-postings", "kind")
+        for kind in (1, 2):
+            pairs = _also_under(pairs, others.where(F.col("kind") == kind).drop("kind"), num, den)
+        a, b = (fetched.select(F.col("row").alias(c), F.col("n").alias(f"n_{c}"), F.col("tokens").alias(f"tokens_{c}")) for c in "ab")
         return stage(pairs.join(b, "b").join(a, "a").mapInPandas(_verified(num, den), "a long, b long"), "links")
 
-    # one leader in a list, another one each time, while that finds links; then whatever is still apart, one by one
-    placed = postings.withColumn("root", F.col("row"))
+    # one leader in a list, another one next time, while that finds links; then whatever is still apart, one by one
     links = None
+    fits = _fits(num, den) & (F.col("l.root") != F.col("r.root"))
     for turn in range(LEADERS + 1):
-        mixed = stage(placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token"), "mixed")
-        if mixed.isEmpty():  # nothing is left to meet
+        rank = F.struct("common", "row") if turn == 0 else F.struct(F.xxhash64("row", F.lit(turn)))
+        lists = stage(placed.groupBy("token").agg(
+            F.min("root").alias("lo"), F.max("root").alias("hi"), F.max_by(F.struct("token", "row", "root", "place", "n"), rank).alias("r")).where("lo < hi").select("token", "r"), "lists")
+        if lists.isEmpty():  # nothing is left to meet
             break
-        placed = stage(placed.join(mixed, "token", "left_semi"), "mixed-postings")
-        led = F.min_by(F.struct("row", "root", "place", "n"), F.xxhash64("row", F.lit(turn)))
-        leaders = placed.groupBy("token").agg(led.alias("f")).select("token", "f.*")
-        found = verified(_pairs(placed, stage(leaders, "leaders"), num, den)) if turn < LEADERS else None
+        # a list in one component stays so, and is done with
+        met = stage(placed.join(lists, "token"), "mixed-postings")
+        placed = met.drop("r")
+        led = met.select(F.struct("token", "row", "root", "place", "n").alias("l"), "r")
+        found = verified(_paired(led.where(fits))) if turn < LEADERS else None
         last = found is None or found.isEmpty()
         if last:
-            found = verified(_pairs(placed, placed, num, den))
+            found = verified(_paired(placed.alias("l").join(placed.alias("r"), fits)))
         links = found if links is None else links.unionByName(found)
         if last:
             break
-        placed = _with_root(postings, links)
+        placed = stage(_with_root(placed.drop("root"), links), "placed-postings")
     if links is None:
         links = spark.createDataFrame([], "a long, b long")
     copies = member.where("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b"))
-    placed = _with_root(rows.select("row", "id", "key", "n"), links.unionByName(copies))
+    placed = _with_root(rows.select("row", "id", "key", "key2", "n"), links.unionByName(copies))
     until = mark()
     placed = stage(placed, "placed")
     clear_staged(spark, since, until)  # the result reads no more than is staged from here on
     lowest = stage(placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("m")), "lowest")
     return placed.join(lowest, "root").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("m.id").alias("component_id"), (F.col("m.row") == F.col("row")).alias("kept"), "key")
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("m.id").alias("component_id"), (F.col("m.row") == F.col("row")).alias("kept"),
+        F.concat(F.lpad(F.hex("key"), 16, "0"), F.lpad(F.hex("key2"), 16, "0")).alias("key"))
 
 
 def _with_root(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -265,8 +301,10 @@ def _with_root(rows: DataFrame, links: DataFrame) -> DataFrame:
 
 def _sets(rows: DataFrame, words: int, need: float) -> DataFrame:
     """row, id, n and the tokens that may link, from one pass over the texts, staged."""
-    # a bucket is worked on as a whole; two in a partition halve what a task holds
-    buckets = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a bucket is worked on as a whole, so there are as many as keep one small
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = least if size > 1 << 60 else max(least, -(-size // BUCKET_BYTES))  # Spark's guess where it doesn't know is above that
     dealt = rows.mapInArrow(_dealt(buckets, words), "bucket int, tokens binary, rows binary, counts binary, told binary")
     counted = dealt.groupBy("bucket").applyInPandas(_counted(buckets), "home int, tokens binary, rows binary, told binary")
-    return stage(counted.groupBy("home").applyInPandas(_regrouped(need), "row long, id long, key long, n long, tokens binary"), "sets")
+    return stage(counted.groupBy("home").applyInPandas(_regrouped(need), "row long, id long, key long, key2 long, n long, tokens binary"), "sets")
