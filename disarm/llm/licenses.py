@@ -72,12 +72,29 @@ FINDING = {
     "missing": "array<string>", "extra": "array<string>", "exact": "boolean"}
 
 
+def cues_of(templates: dict[tuple[str, str], str], share: float) -> list[str]:
+    """Parts of words of which every notice has one: the fixed ones, and for templates without any so many of their longest
+    words that not all of them can be missing."""
+    cues = list(CUES)
+    for text in templates.values():
+        words = _WORD.findall(text.lower())
+        may_miss = len(words) - max(1, math.ceil(share * len(words) - 1e-9))
+        if not any(c in w for w in words for c in CUES):
+            counts, taken = Counter(words), 0
+            for word in sorted(counts, key=lambda w: (-len(w), w)):
+                cues.append(word)
+                taken += counts[word]
+                if taken > may_miss:
+                    break
+    return list(dict.fromkeys(cues))
+
+
 class Scanner:
     """Templates with their compressors; made once in a task."""
 
     def __init__(self, templates: dict[tuple[str, str], str], share: float, longest: int) -> None:
         self._share, self._longest = share, longest
-        self._cue = re.compile("|".join(map(re.escape, CUES)))
+        self._cue = re.compile("|".join(map(re.escape, cues_of(templates, share))))
         self._plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
         self._templates = []
         for (name, form), text in templates.items():
@@ -176,27 +193,39 @@ class Scanner:
                 while at < len(starts) and starts[at][0] < free:
                     at += 1
 
+    def _gains(self, words: list[str]) -> list[tuple[int, int]]:
+        """Templates by how many bytes they save, as dictionaries, on what is left of a block: (bytes, template), most first."""
+        data = " ".join(filter(None, words)).encode()
+        plain = len(self._plain.compress(data))
+        gains = [(plain - len(given.compress(data)), k) for k, (*_, given) in enumerate(self._templates)]
+        return sorted(gains, key=lambda g: (-g[0], -len(self._templates[g[1]][2]), g[1]))
+
     def _notices(self, text: str, block: list[re.Match], words: list[str]) -> list[tuple]:
-        """All notices of a block, the longest wording first where some overlap; ``words`` loses what they hold."""
+        """All notices of a block; ``words`` loses what they hold.
+
+        The template that saves most is looked for first. Where it is confirmed, its words are taken out and the templates are
+        ranked again by what is left. None is left untried before a block is done, so the rank decides which of several that fit
+        a place has it, and never whether a notice is found.
+        """
         found = []
         while True:
-            ranked = []
-            for k, (_, _, template, counts, given) in enumerate(self._templates):
-                for a, z, missing, extra in self._places(words, template, counts):
-                    data = " ".join(text[block[a].start():block[z - 1].end()].lower().split()).encode()
+            for _, k in self._gains(words):
+                places = list(self._places(words, *self._templates[k][2:4]))
+                for lo, hi, *differences in places:
+                    # forms that differ in a few words fit each other's places: there the one that saves most on the place's own words has it
+                    best, (a, z, missing, extra) = next(
+                        ((j, p) for _, j in self._gains(words[lo:hi]) for p in self._places(words[lo:hi], *self._templates[j][2:4])),
+                        (k, (0, hi - lo, *differences)))
+                    name, form, template, _, given = self._templates[best]
+                    start, end = block[lo + a].start(), block[lo + z - 1].end()
+                    data = " ".join(text[start:end].lower().split()).encode()
                     plain = len(self._plain.compress(data))
-                    gain = plain - len(given.compress(data))
-                    # a longer form that is there in full says more than a short one
-                    ranked.append((len(template) - len(extra) - len(missing), gain, -k, a, z, plain, missing, extra))
-            if not ranked:
+                    found.append((lo + a, (name, form, start, end - start, plain - len(given.compress(data)), plain, 1 - len(missing) / len(template), missing, extra, not missing and not extra)))
+                    words[lo + a:lo + z] = [""] * (z - a)
+                if places:
+                    break
+            else:
                 return found
-            ranked.sort(key=lambda r: r[:5], reverse=True)
-            for _, gain, k, a, z, plain, missing, extra in ranked:
-                if all(words[a:z]):
-                    name, form, template, *_ = self._templates[-k]
-                    start, end = block[a].start(), block[z - 1].end()
-                    found.append((a, (name, form, start, end - start, gain, plain, 1 - len(missing) / len(template), missing, extra, not missing and not extra)))
-                    words[a:z] = [""] * (z - a)
 
     def scan(self, text: str) -> list[tuple]:
         lower = text.lower()
@@ -233,6 +262,6 @@ def scan_licenses(
             yield pd.DataFrame(made, columns=[id_col, *FINDING])
 
     lower = F.lower(F.col(text_col))
-    cued = reduce(lambda a, b: a | b, [F.contains(lower, F.lit(c)) for c in CUES])
+    cued = reduce(lambda a, b: a | b, [F.contains(lower, F.lit(c)) for c in cues_of(templates, share)])
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{k} {v}" for k, v in FINDING.items())
     return docs.where(cued).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, schema)

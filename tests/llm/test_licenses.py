@@ -4,7 +4,9 @@ import textwrap
 
 import pytest
 
+from disarm.llm import licenses
 from disarm.llm.licenses import CUES, TEMPLATES, Scanner
+from tests.conftest import SF
 
 SCANNER = Scanner(TEMPLATES, 0.85, 4096)
 PROSE = "Stones lie in the river and nobody minds them at all. " * 60
@@ -42,3 +44,32 @@ def test_block_borders_cut_nothing():
         assert found(text, small) == found(text) == [("MIT", "text"), ("GPL-3.0", "header")]
     for gap in range(0, 700, 9):
         assert found("license " + "stone " * gap + TEMPLATES["CC0-1.0", "sentence"]) == [("CC0-1.0", "sentence")]
+
+
+def test_the_gain_chooses(monkeypatch):
+    """Where several templates fit a place, the one that saves most has it; with equal gains another one would."""
+    texts = [t for (name, _), t in licenses.TEMPLATES.items() if len(t.split()) > 20]
+    scanner = lambda: licenses.Scanner(licenses.TEMPLATES, 0.85, 4096)
+    found = [[f[:2] for f in scanner().scan(t)] for t in texts]
+    assert all(len(f) >= 1 for f in found)
+    ranked = licenses.Scanner._gains
+    monkeypatch.setattr(licenses.Scanner, "_gains", lambda self, words: sorted(ranked(self, words)))
+    assert [[f[:2] for f in scanner().scan(t)] for t in texts] != found
+
+
+def test_templates_without_the_usual_words(spark):
+    own = {("house", "rule"): "Nobody may copy this page or show it to anyone outside the building without asking first."}
+    docs = spark.createDataFrame([(1, "x y. " + own["house", "rule"].upper()), (2, "Nobody may copy this page or show it to anyone outside the building without first."), (3, "nothing")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.license, r.exact) for r in licenses.scan_licenses(docs, templates=own).collect()) == [(1, "house", True), (2, "house", False)]
+
+
+def test_whole_table_equals_a_scan_without_blocks(spark):
+    """Every text of the smallest table as one block, whatever words it has, against the operator."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    scanner, want = licenses.Scanner(licenses.TEMPLATES, 0.85, 4096), []
+    for doc_id, text in [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]:
+        lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        block = list(licenses._WORD.finditer(lower))
+        want += [(doc_id, *f[1][:4], f[1][9]) for f in scanner._notices(text, block, [w[0] for w in block])]
+    got = [(r.doc_id, r.license, r.form, r.start, r.length, r.exact) for r in licenses.scan_licenses(docs).collect()]
+    assert sorted(got) == sorted(want) and got
