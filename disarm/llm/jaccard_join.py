@@ -155,7 +155,7 @@ def _ordered(tokens: np.ndarray, kind: int) -> np.ndarray:
     return tokens[np.lexsort((token * _SALTS[1], np.log2(np.maximum(df, 1).astype(np.float64)).astype(np.int64)))]
 
 
-_POSTING = "kind int, token long, row long, place long, n long, common double"
+_POSTING = "kind int, token long, row long, place int, n int, common float"
 
 
 def _postings(num: int, den: int, kinds: tuple[int, ...]):
@@ -197,11 +197,12 @@ def _verified(num: int, den: int):
 
 def _fits(num: int, den: int) -> Column:
     """Whether postings ``l`` and ``r`` may be of a similar pair: they have the same token where length and position allow it."""
-    rest = F.least(F.col("l.n") - F.col("l.place"), F.col("r.n") - F.col("r.place"))
+    n, m = F.col("l.n").cast("long"), F.col("r.n").cast("long")
+    rest = F.least(n - F.col("l.place"), m - F.col("r.place"))
     return (
         (F.col("l.token") == F.col("r.token"))
-        & (den * F.least("l.n", "r.n") >= num * F.greatest("l.n", "r.n"))
-        & ((num + den) * rest >= num * (F.col("l.n") + F.col("r.n"))))
+        & (den * F.least(n, m) >= num * F.greatest(n, m))
+        & ((num + den) * rest >= num * (n + m)))
 
 
 def _paired(met: DataFrame) -> DataFrame:
@@ -239,13 +240,14 @@ def jaccard_components(
     key, key2 = _halves(F.col(id_col), F.col(text_col))
     rows = _sets(docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), key.alias("key"), key2.alias("key2"), F.col(text_col).alias("text")), words, num / den)
-    sets = rows.where("tokens IS NOT NULL").withColumn(
-        "class", F.when(F.length("tokens") == 8 * F.col("n"), F.concat(F.col("n").cast("string"), F.lit("-"), F.md5("tokens"))).otherwise(
-            F.concat(F.lit("row "), F.col("row").cast("string"))))
+    sets = rows.where("tokens IS NOT NULL").select("row", "n", "tokens")
+    # a set that equals another one has all its tokens shared, so the others are told apart without looking at them
+    equal = sets.where(F.length("tokens") == 8 * F.col("n")).select("row", F.concat(F.col("n").cast("string"), F.lit("-"), F.md5("tokens")).alias("class"))
     # what is grouped by a key is written before it meets the rows of that key, so that Spark can split hot keys of the join
-    classes = stage(sets.groupBy("class").agg(F.min("row").alias("first")), "set-classes")
-    member = stage(sets.select("row", "class").join(classes, "class").select("row", "first"), "set-members")
-    reps = stage(sets.select("row", "n", "tokens").join(member.where("row = first").select("row"), "row"), "set-reps")
+    classes = stage(equal.groupBy("class").agg(F.min("row").alias("first"), F.count("*").alias("many")).where("many > 1").select("class", "first"), "set-classes")
+    copies = stage(equal.join(classes, "class").where("row <> first").select("row", "first"), "set-copies")
+    gone = copies.select("row")
+    reps = stage(sets.join(F.broadcast(gone) if copies.count() <= IDS else gone, "row", "left_anti"), "set-reps")
     placed = stage(reps.mapInPandas(_postings(num, den, (0,)), _POSTING).drop("kind").withColumn("root", F.col("row")), "postings")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -283,8 +285,7 @@ def jaccard_components(
         placed = stage(_with_root(placed.drop("root"), links), "placed-postings")
     if links is None:
         links = spark.createDataFrame([], "a long, b long")
-    copies = member.where("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b"))
-    placed = _with_root(rows.select("row", "id", "key", "key2", "n"), links.unionByName(copies))
+    placed = _with_root(rows.select("row", "id", "key", "key2", "n"), links.unionByName(copies.select(F.col("row").alias("a"), F.col("first").alias("b"))))
     until = mark()
     placed = stage(placed, "placed")
     clear_staged(spark, since, until)  # the result reads no more than is staged from here on
