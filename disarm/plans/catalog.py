@@ -95,6 +95,13 @@ def _(spark, sf):
     return typed.groupBy("original_type", "supported").agg(F.count(F.lit(1)).alias("files"))
 
 
+@query("detect_office", """
+SELECT file_id, CASE file_id % 5 WHEN 0 THEN 'docx' WHEN 1 THEN 'xlsx' WHEN 2 THEN 'pptx' ELSE 'zip' END AS original_type, CAST(length(body_hex) / 2 AS BIGINT) AS size FROM {office_files}""")
+def _(spark, sf):
+    files = table(spark, sf, "office_files").select("file_id", "filename", F.unhex("body_hex").alias("content"))
+    return detect_type(files).select("file_id", "original_type", F.octet_length("content").cast("bigint").alias("size"))
+
+
 _PDF_NAMES = "|".join(r[0] for r in rules.PDF_NAMES)
 _PDF_CASE = lambda field: " ".join(f"WHEN '{r[0]}' THEN '{r[field]}'" for r in rules.PDF_NAMES)
 
@@ -598,6 +605,17 @@ def _(spark, sf):
     )
 
 
+_CAPABILITIES = ", ".join(f"('{c}')" for c in rules.CAPABILITIES)
+
+
+@query("capability_requests", f"""
+SELECT {_PROFILE} AS profile, capability, count(*) AS requests FROM {{requests}}, (VALUES {_CAPABILITIES}) AS c(capability) WHERE {_PROFILE} = '{rules.DEFAULT_PROFILE}' GROUP BY 1, 2""")
+def _(spark, sf):
+    # how many requests call for each capability; the matrix has a row for each capability of the few profiles there are
+    admitted = adm.admission(table(spark, sf, "requests")).groupBy("profile").agg(F.count(F.lit(1)).alias("requests"))
+    return admitted.join(adm.capability_matrix(adm.profiles(spark)), "profile").select("profile", "capability", "requests")
+
+
 def _tags(spark, sf):
     """Twenty tags per row: three odd ones and seventeen numbered ones."""
     rows = table(spark, sf, "tag_rows")

@@ -31,6 +31,8 @@ def zip_bytes(entries: list[tuple[str, bytes]]) -> bytes:
 
 _DOCX_HEX = zip_bytes([("[Content_Types].xml", b"<Types/>"), ("word/document.xml", b"<w/>")]).hex().upper()
 _XLSX_HEX = zip_bytes([("Word/a.xml", b"<w/>"), ("xl/workbook.xml", b"<x/>"), ("word/b.xml", b"<w/>")]).hex().upper()
+_PPTX_HEX = zip_bytes([("docProps/app.xml", b"<p/>"), ("ppt/presentation.xml", b"<p/>"), ("word/late.xml", b"<w/>")]).hex().upper()
+_DEEP_HEX = zip_bytes([("backup/ppt/presentation.xml", b"<p/>"), ("a.xlsx", b"x")]).hex().upper()
 _ZIP_HEX = zip_bytes([("a.txt", b"plain text")]).hex().upper()
 
 VIEWS: dict[str, str] = {
@@ -48,6 +50,11 @@ SELECT doc_id AS file_id,
     WHEN 4 THEN '474946383961' WHEN 5 THEN '3C3F786D6C3F3E3C53564720' WHEN 8 THEN '{_DOCX_HEX}' WHEN 9 THEN '{_ZIP_HEX}'
     WHEN 10 THEN '504B0304' WHEN 11 THEN '504B0304' WHEN 13 THEN '{_XLSX_HEX}' ELSE '' END AS head_hex,
   CASE WHEN doc_id % 14 IN (8, 9, 13) THEN '' ELSE text END AS body
+FROM {{documents}}""",
+    # packages whose first part below word/, xl/ or ppt/ tells their type, and containers without one, under misleading names
+    "office_files": f"""
+SELECT doc_id AS file_id, CASE doc_id % 3 WHEN 0 THEN 'x.docx' WHEN 1 THEN 'x.zip' ELSE 'x' END AS filename,
+  CASE doc_id % 5 WHEN 0 THEN '{_DOCX_HEX}' WHEN 1 THEN '{_XLSX_HEX}' WHEN 2 THEN '{_PPTX_HEX}' WHEN 3 THEN '{_DEEP_HEX}' ELSE '{_ZIP_HEX}' END AS body_hex
 FROM {{documents}}""",
     "entries": """
 SELECT archive_id, entry_idx, k, size,
