@@ -229,12 +229,12 @@ rows_after AS (
   FROM drawn, LATERAL (SELECT unnest(range(CASE f WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END))) WHERE f <> 0),
 numbered AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS i0,
-    regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS said,
-    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS copy FROM rows_after),
+    regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS said FROM rows_after),
+counted AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS copy FROM numbered),
 judged AS (
   SELECT *, said = '' OR copy > 1 AS must, said = '' AS blank, said <> '' AND copy > 1 AS again, said <> '' AND copy = 1 AND right(said, 1) NOT IN ('.', '!', '?') AS cut,
     CASE WHEN said <> '' AND copy = 1 AND right(said, 1) NOT IN ('.', '!', '?') THEN 5 ELSE 0 END AS tr,
-    lag(i0) OVER (PARTITION BY conv_id ORDER BY i) || i0 AS pair FROM numbered),
+    lag(i0) OVER (PARTITION BY conv_id ORDER BY i) || i0 AS pair FROM counted),
 walk AS (
   SELECT DISTINCT conv_id, 0::BIGINT AS n, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS e, {never} AS s, {never} AS u, {never} AS a FROM conversations
   UNION ALL

@@ -237,11 +237,12 @@ def _key(column: str):
 
 
 def with_faults(turns: DataFrame) -> DataFrame:
-    """``turns`` with ``fault``: blank, duplicate (role and text seen earlier in the conversation), truncated, or null."""
+    """``turns`` with ``copy``, the how manieth row of its role and text in the conversation it is, and ``fault``: blank, duplicate
+    (role and text seen earlier), truncated, or null. Rows that are equal in all columns are told apart by ``copy`` alone."""
     said = F.rtrim("text", F.lit(SPACES))
     copies = W.partitionBy("conv_id", "role", "text").orderBy("turn")
-    return turns.withColumn(
-        "fault", F.when(said == "", "blank").when(F.row_number().over(copies) > 1, "duplicate")
+    return turns.withColumn("copy", F.row_number().over(copies)).withColumn(
+        "fault", F.when(said == "", "blank").when(F.col("copy") > 1, "duplicate")
         .when(~F.substring(said, -1, 1).isin(".", "!", "?"), "truncated"))
 
 
@@ -269,7 +270,7 @@ def repair_turns(turns: DataFrame, grammar=ROLE_GRAMMAR, costs: Costs = Costs(),
     # absent rows make one group that says nothing
     rows = rows.select("conv_id", *[F.when(F.col("present"), F.col(c)).alias(c) for c in ("turn", "role", "text")], "present")
     # the window groups by more than conv_id, so the one exchange serves it and the order below
-    judged = with_faults(rows.repartition("conv_id")).sortWithinPartitions("conv_id", "present", "turn", "role", "text")
+    judged = with_faults(rows.repartition("conv_id")).sortWithinPartitions("conv_id", "present", "turn", "role", "text", "copy")
     sent = judged.select("conv_id", "turn", F.col("role").cast("binary").alias("role"), F.col("text").cast("binary").alias("text"), "fault", "present")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

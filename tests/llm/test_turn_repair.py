@@ -118,7 +118,8 @@ def test_parser_accepts_the_grammar_only():
 def test_reports_equal_plain_versions(spark, parts):
     rng = random.Random(parts)
     talks = {c: odd(rng, rng.choice([1, 2, 3, 8, 40])) for c in range(120)} | {None: odd(rng, 4), 500: [(t, ("user", "assistant")[t % 2], f"T{t}.") for t in range(5000)],
-        501: [(t, "tool", f"T{t}.") for t in range(1500)], 502: odd(rng, 1200), 503: [(None, None, None)] * 3}
+        501: [(t, "tool", f"T{t}.") for t in range(1500)], 502: odd(rng, 1200), 503: [(None, None, None)] * 3,
+        504: [(t // 2, ('user', 'assistant')[t // 2 % 2], ('No', f'T{t // 2}')[t % 4 > 1]) for t in range(60)]}
     rows = [(c, *r, 7) for c, rs in talks.items() for r in rs]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, seq int").repartition(parts)
     edits = repair_turns(turns)
