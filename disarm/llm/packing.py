@@ -22,6 +22,7 @@ from disarm.llm.tokens import little_endian, token_ids, tokenizer_path
 from disarm.staging import stage
 
 _BYTES = 4 << 20  # ids held in a task before they are handed on
+PLAN_RUNS = 1_000_000  # runs of a plan (40 bytes each) that go to all tasks; longer plans are joined by length
 
 
 def _cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -109,14 +110,15 @@ def pack(pieces: DataFrame, key: list[str], capacity: int = 2048, length: str =
     counted = stage(kept.groupBy(length, "_salt").agg(F.count("*").alias("_n")), "piece-counts")
     # at most `capacity` rows come to the driver
     counts = {r[0]: r[1] for r in counted.groupBy(length).agg(F.sum("_n")).collect()}
-    plan = spark.createDataFrame(plan_runs(counts, capacity), "_length long, _lo long, _hi long, _first long, offset long")
+    runs = plan_runs(counts, capacity)
+    plan = spark.createDataFrame(runs, "_length long, _lo long, _hi long, _first long, offset long")
     before = W.partitionBy(length).orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)
     bases = stage(counted.select(length, "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")), "piece-bases")
     place = F.row_number().over(W.partitionBy(length, "_salt").orderBy(*key)) - 1
     ranked = kept.withColumn("_place", place).join(bases, [length, "_salt"]).withColumn("_rank", F.col("_base") + F.col("_place"))
-    # the plan's size is bounded by the capacity, not by the rows
     slot = (F.col(length) == F.col("_length")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi"))
-    return ranked.join(F.broadcast(plan), slot).select(
+    # the plan's size follows the capacity, not the rows
+    return ranked.join(F.broadcast(plan) if len(runs) <= PLAN_RUNS else plan, slot).select(
         *pieces.columns, (F.col("_first") + F.col("_rank") - F.col("_lo")).alias("sequence_id"), "offset")
 
 

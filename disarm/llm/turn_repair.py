@@ -237,7 +237,7 @@ def _key(column: str):
 
 
 def with_faults(turns: DataFrame) -> DataFrame:
-    """``turns`` with ``copy``, the how manieth row of its role and text in the conversation it is, and ``fault``: blank, duplicate
+    """``turns`` with ``copy``, which occurrence of its role and text in the conversation a row is, and ``fault``: blank, duplicate
     (role and text seen earlier), truncated, or null. Rows that are equal in all columns are told apart by ``copy`` alone."""
     said = F.rtrim("text", F.lit(SPACES))
     copies = W.partitionBy("conv_id", "role", "text").orderBy("turn")

@@ -152,8 +152,8 @@ def near_copies(
     Links are pairs with a cosine of at least ``threshold`` in double precision; each one kept was computed.
     Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing; nor do
     vectors of different lengths. component_id is the smallest id reachable by links, ``kept`` is true for the
-    one row that has it. audited_recall is at least ``recall``, or an error is raised. Equal vectors count as links of each other, also under a repeated id. Null ids sort
-    last and stay null. Other columns are ignored; an empty table gives an empty result.
+    rows whose id that is. audited_recall is at least ``recall``, or an error is raised. Equal vectors count as links of each
+    other, also under a repeated id. Null ids sort last and stay null. Other columns are ignored; an empty table gives an empty result.
     """
     kind = "<f4" if "float" in vectors.schema[vector_col].dataType.simpleString() else "<f8"
     floor = math.cos(2 * math.acos(threshold))
