@@ -2,11 +2,12 @@
 
 Rejected events are not recorded, so each decision depends on earlier decisions of the key: a chain. Keys of up to
 ``hot_rows`` rows are decided whole, in one pass over rows sorted by key and time that jumps from acceptance to acceptance by
-binary search. If any key has more, the rows are cut into ranges of (key, time), so that such a key is spread over many:
+binary search. If any key has more, the rows are cut into ranges of (key, time), so that such a key is spread over many. How
+many follows the rows, not the limit from which a key counts as hot:
 
 * For one event the state between ranges is a moment, the earliest one that is accepted again, and a range is a step
-  function of it. Functions of neighbours are put together, then those of twice as many ranges, and so on: after log2(ranges)
-  rounds each range knows its entry.
+  function of it. A tree is built: four neighbours are put together, then four of those, and so on, each function cut off a window
+  past its first row. Moments then go down the tree. So all functions of a level have at most a step for each row.
 * For more events the state is the list of the last acceptances. All ranges run at once from what they know of
   the range before, and run again while that has changed. Two runs that come to the same state are the same from there on,
   so a change rarely gets past a range; where acceptances never meet (a window that has most rows of a range), it goes on
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from disarm import rules
-from disarm.staging import range_width, stage
+from disarm.staging import RANGE_ROWS, clear_staged, mark, range_width, stage
 
 HOT_ROWS = 2_000_000
 _NEVER, _ALWAYS = np.iinfo(np.int64).max, np.iinfo(np.int64).min
@@ -84,14 +85,15 @@ def rate_limit_decisions(events: DataFrame, max_events: int, window_s: int = rul
     window = window_s * 1_000_000
     rows = events.select("event_id", "key", F.unix_micros("ts").alias("at"))
     out = "event_id long, accepted boolean"
-    most = rows.groupBy("key").count().agg(F.max("count")).first()[0] or 0
+    most, total = (n or 0 for n in rows.groupBy("key").count().agg(F.max("count"), F.sum("count")).first())
     if most <= hot_rows:
         by_key = rows.repartition("key").sortWithinPartitions("key", "at", "event_id")
         return by_key.mapInPandas(_decide(max_events, window, ["key"]), out)
-    kept = stage(rows, "limited")
-    width = max(range_width(kept, kept.count()), 2 * -(-most // hot_rows))
-    ranges = stage(kept.repartitionByRange(width, "key", "at", "event_id").withColumn("part", F.spark_partition_id()), "limit-ranges", "part")
+    width = max(range_width(rows, total), 2)
+    ranges = stage(rows.repartitionByRange(width, "key", "at", "event_id").withColumn("part", F.spark_partition_id()), "limit-ranges", "part")
+    since = mark()
     entries = (_entries_of_one if max_events == 1 else _entries_of_many)(ranges, max_events, window)
+    clear_staged(ranges.sparkSession, since)
     return _sorted(ranges).mapInPandas(_decide(max_events, window, ["part", "key"], entries), out)
 
 
@@ -99,15 +101,16 @@ def _sorted(ranges: DataFrame) -> DataFrame:
     return ranges.repartition("part").sortWithinPartitions("part", "key", "at", "event_id")
 
 
-def _links(ranges: DataFrame) -> dict[int, tuple[bool, bool]]:
-    """Of each range whether its first key goes on from the range before, and whether it has no other key.
+def _links(ranges: DataFrame) -> dict[int, tuple[bool, bool, int]]:
+    """Of each range whether its first key goes on from the range before, whether it has no other key, and its rows.
 
     One row for each range, that is for about two million rows, comes to the driver.
     """
     ends = ranges.groupBy("part").agg(
-        F.min(F.struct("key", "at", "event_id")).alias("first"), F.max(F.struct("key", "at", "event_id")).alias("last")).orderBy("part").collect()
+        F.min(F.struct("key", "at", "event_id")).alias("first"), F.max(F.struct("key", "at", "event_id")).alias("last"),
+        F.count(F.lit(1)).alias("n")).orderBy("part").collect()
     before = [None, *ends]
-    return {e.part: (b is not None and _same(b.last.key, e.first.key), _same(e.first.key, e.last.key)) for b, e in zip(before, ends)}
+    return {e.part: (b is not None and _same(b.last.key, e.first.key), _same(e.first.key, e.last.key), e.n) for b, e in zip(before, ends)}
 
 
 # --- one event: ranges as step functions of the moment from which an event is accepted ---
@@ -147,13 +150,25 @@ def _compose(first: tuple, then: tuple) -> tuple[np.ndarray, np.ndarray]:
     return _squeezed(np.concatenate([t1, t2[rest]]), np.concatenate([_apply(t2, e2, e1), e2[rest]]))
 
 
-_TABLE = "part int, times binary, exits binary"
+def _within(times: np.ndarray, exits: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """The steps for moments up to ``reach``."""
+    upto = int(np.searchsorted(times, reach)) + 1
+    return times[:upto], exits[:upto]
+
+
+# ``reach`` is a window past the first row: no moment that a function is entered with is later
+_TABLE = "part int, times binary, exits binary, reach long"
+_FAN = 4
 
 
 def _read(times: bytes, exits: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(times, np.int64), np.frombuffer(exits, np.int64)
 
 
+def _row(part: int, made: tuple[np.ndarray, np.ndarray], reach: int) -> pd.DataFrame:
+    return pd.DataFrame({"part": [part], "times": [made[0].tobytes()], "exits": [made[1].tobytes()], "reach": [reach]})
+
+
 def _entries_of_one(ranges: DataFrame, _: int, window: int) -> dict[int, list[int]]:
     links = _links(ranges)
     order = sorted(links)
@@ -162,40 +177,48 @@ def _entries_of_one(ranges: DataFrame, _: int, window: int) -> dict[int, list[in
     single = {p: links[p][1] for p in order}
 
     def tables(key, rows: pd.DataFrame) -> pd.DataFrame:
-        part = int(key[0])
+        part, constant = int(key[0]), np.array([_NEVER])
         if not goes_on[part]:
-            made = np.array([_NEVER]), np.array([_ALWAYS])
-        else:
-            last = rows["key"].iat[-1]
-            same = rows["key"].isna() if pd.isna(last) else rows["key"] == last
-            at = rows.loc[same, "at"].to_numpy()
-            made = _steps(at, window)
-            if not single[part]:  # the last key begins here, whatever comes before
-                made = np.array([_NEVER]), _apply(*made, np.array([_ALWAYS]))
-        return pd.DataFrame({"part": [place[part]], "times": [made[0].tobytes()], "exits": [made[1].tobytes()]})
+            return _row(place[part], (constant, np.array([_ALWAYS])), _NEVER)
+        last = rows["key"].iat[-1]
+        same = rows["key"].isna() if pd.isna(last) else rows["key"] == last
+        at = rows.loc[same, "at"].to_numpy()
+        made = _steps(at, window)
+        if not single[part]:  # the last key begins here, whatever comes before
+            return _row(place[part], (constant, _apply(*made, np.array([_ALWAYS]))), _NEVER)
+        return _row(place[part], made, int(at[0]) + window)
+
+    def composed(key, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("part")
+        reach = int(rows["reach"].iat[0])
+        made = None
+        for times, exits in zip(rows["times"], rows["exits"]):
+            made = _within(*(_read(times, exits) if made is None else _compose(made, _read(times, exits))), reach)
+        return _row(int(key[0]), made, reach)
+
+    def entered(known: dict[int, int]):
+        def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+            rows, moments = rows.sort_values("part"), [known[int(key[0])]]
+            for times, exits in zip(rows["times"].iloc[:-1], rows["exits"].iloc[:-1]):
+                moments.append(int(_apply(*_read(times, exits), np.array([moments[-1]]))[0]))
+            return pd.DataFrame({"part": rows["part"].to_numpy(), "moment": moments})
+
+        return run
 
     # a range is about two million rows of three numbers
-    now = stage(ranges.groupBy("part").applyInPandas(lambda key, rows: tables(key, rows.sort_values(["key", "at", "event_id"], na_position="first")), _TABLE), "limit-steps")
-    spark, entry, width = ranges.sparkSession, {0: int(_ALWAYS)}, 1
-
-    def moved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            after = [int(_apply(*_read(t, e), np.array([m]))[0]) for t, e, m in zip(batch["times"], batch["exits"], batch["moment"])]
-            yield pd.DataFrame({"part": batch["part"] + width, "moment": after})
-
-    def doubled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made = [_compose(_read(t1, e1), _read(t2, e2)) for t1, e1, t2, e2 in zip(batch["times"], batch["exits"], batch["times2"], batch["exits2"])]
-            yield pd.DataFrame({"part": batch["part"], "times": [t.tobytes() for t, _ in made], "exits": [e.tobytes() for _, e in made]})
-
-    while len(entry) < len(order):
-        known = spark.createDataFrame(list(entry.items()), "part int, moment long")
-        found = now.join(F.broadcast(known), "part").mapInPandas(moved, "part int, moment long")
-        entry |= {r.part: r.moment for r in found.collect() if r.part < len(order)}
-        if len(entry) < len(order):
-            ahead = now.select((F.col("part") - width).alias("part"), F.col("times").alias("times2"), F.col("exits").alias("exits2"))
-            now = stage(now.join(ahead, "part").mapInPandas(doubled, _TABLE), "limit-steps")
-        width *= 2
+    leaves = ranges.groupBy("part").applyInPandas(lambda key, rows: tables(key, rows.sort_values(["key", "at", "event_id"], na_position="first")), _TABLE)
+    levels, n, node = [stage(leaves, "limit-steps")], len(order), F.floor(F.col("part") / _FAN).cast("int").alias("node")
+    # a window of very many rows makes long functions; those are not put together any more
+    while n > 1 and levels[-1].agg(F.max(F.octet_length("times"))).first()[0] // 8 <= RANGE_ROWS:
+        levels.append(stage(levels[-1].groupBy(node).applyInPandas(composed, _TABLE), "limit-steps"))
+        n = -(-n // _FAN)
+    top, entry = levels.pop(), {0: int(_ALWAYS)}
+    for i in range(n - 1):
+        step = F.udf(lambda t, e, m=entry[i]: int(_apply(*_read(t, e), np.array([m]))[0]), "long")
+        entry[i + 1] = top.where(F.col("part") == i).select(step("times", "exits")).first()[0]
+    while levels:
+        found = levels.pop().groupBy(node).applyInPandas(entered(entry), "part int, moment long")
+        entry = {r.part: r.moment for r in found.collect()}
     # a moment stands for the acceptance a window before it
     return {p: [entry[i] - window] for p, i in place.items() if links[p][0] and entry[i] != _ALWAYS}
 

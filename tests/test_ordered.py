@@ -103,6 +103,26 @@ def test_limiter_spreads_hot_keys(spark, monkeypatch, places, window, span, keys
     assert parts[0] >= 4
 
 
+def one_hot_key(spark, n):
+    rows = [(i, i * 7 % 5 + 40 * i, "hot") for i in range(n)]
+    return rows, spark.createDataFrame(rows, "event_id LONG, s LONG, key STRING").withColumn("ts", F.timestamp_seconds("s"))
+
+
+@pytest.mark.parametrize("places, longest", [(1, 10**6), (1, 20)])
+def test_limiter_over_many_ranges_that_never_meet(spark, monkeypatch, places, longest):
+    """Ranges follow the rows, not the limit of a hot key; jobs don't follow the ranges; what finds the entries is cleared."""
+    rows, df = one_hot_key(spark, 1500)
+    monkeypatch.setattr(limits, "RANGE_ROWS", longest)  # of functions that are put together, and of rows run in one job
+    parts, staged = [], []
+    monkeypatch.setattr(limits, "stage", lambda d, label, *by, made=limits.stage: staged.append(label) or made(d, label, *by))
+    monkeypatch.setattr(limits, "_links", lambda r, made=limits._links: parts.append(r.select("part").distinct().count()) or made(r))
+    kept = limits.mark()
+    got = limits.rate_limit_decisions(df, places, 8000, hot_rows=10)
+    assert limits.mark() == kept + 1  # the ranges
+    assert {r.event_id: r.accepted for r in got.collect()} == limited(rows, places, 8000)
+    assert 4 <= parts[0] <= 8 and "limited" not in staged and len(staged) <= 5
+
+
 def test_steps_and_their_composition():
     rng = random.Random(6)
     for _ in range(200):
