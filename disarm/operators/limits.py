@@ -10,8 +10,8 @@ many follows the rows, not the limit from which a key counts as hot:
   past its first row. Moments then go down the tree. So all functions of a level have at most a step for each row.
 * For more events the state is the list of the last acceptances. All ranges run at once from what they know of
   the range before, and run again while that has changed. Two runs that come to the same state are the same from there on,
-  so a change rarely gets past a range; where acceptances never meet (a window that has most rows of a range), it goes on
-  range by range.
+  so a change rarely gets past a range. Where acceptances don't meet (a window that has most rows of a range), the first
+  ranges that are not settled run one after the other, two million rows in a job.
 """
 
 from __future__ import annotations
@@ -223,15 +223,19 @@ def _entries_of_one(ranges: DataFrame, _: int, window: int) -> dict[int, list[in
     return {p: [entry[i] - window] for p, i in place.items() if links[p][0] and entry[i] != _ALWAYS}
 
 
-# --- more events: runs of all ranges at once, again where the entry has changed ---
+# --- more events: runs of all ranges at once, again where the entry has changed, in the end one after the other ---
 
 
 def _entries_of_many(ranges: DataFrame, max_events: int, window: int) -> dict[int, list[int]]:
     links = _links(ranges)
     order = sorted(links)
+    before = dict(zip(order[1:], order))
 
-    def exits(wanted: list[int], entries: dict[int, list[int]]) -> dict[int, list[int]]:
-        """What ranges leave for the next one: the last acceptances of their last key that count then."""
+    def exits(rows: DataFrame, entries: dict[int, list[int]], chained: bool = False) -> dict[int, list[int]]:
+        """What ranges leave for the next one: the last acceptances of their last key that count then.
+
+        ``chained``: all rows are in one task, and each range goes on from the one before.
+        """
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             part, key, taken, end = None, None, None, None
             for batch in batches:
@@ -240,7 +244,8 @@ def _entries_of_many(ranges: DataFrame, max_events: int, window: int) -> dict[in
                     if p != part:
                         if part is not None:
                             yield left(part, taken, end)
-                        taken = deque(entries.get(p, []), maxlen=max_events)
+                        if part is None or not chained:
+                            taken = deque(entries.get(p, []), maxlen=max_events)
                     elif not _same(k, key):
                         taken = deque(maxlen=max_events)
                     part, key = p, k
@@ -252,18 +257,29 @@ def _entries_of_many(ranges: DataFrame, max_events: int, window: int) -> dict[in
         def left(part, taken, end) -> pd.DataFrame:
             return pd.DataFrame({"part": [part], "taken": [[t for t in taken if t > end - window]]})
 
-        found = _sorted(ranges.where(F.col("part").isin(wanted))).mapInPandas(run, "part int, taken array<long>")
-        return {r.part: list(r.taken) for r in found.collect()}
-
-    entries: dict[int, list[int]] = {}
-    left, todo = {}, order
-    while todo:
-        left |= exits(todo, entries)
-        todo = []
-        for before, part in zip(order, order[1:]):
-            entry = left[before] if links[part][0] else []
-            if entry != entries.get(part, []):
-                entries[part] = entry
-                if links[part][1]:  # with another key after it, the range's end doesn't depend on its entry
-                    todo.append(part)
-    return {p: e for p, e in entries.items() if e}
+        return {r.part: list(r.taken) for r in rows.mapInPandas(run, "part int, taken array<long>").collect()}
+
+    def some(parts: list[int]) -> DataFrame:
+        return ranges.where(F.col("part").isin(parts))
+
+    def of(part: int) -> list[int]:
+        return left[before[part]] if part in before and links[part][0] else []
+
+    entries, left, last = {p: [] for p in order}, exits(_sorted(ranges), {}), 2 * len(order)
+    # with another key after it, a range's end doesn't depend on its entry
+    while todo := [p for p in order if links[p][1] and of(p) != entries[p]]:
+        if 2 * len(todo) <= last:
+            entries |= {p: of(p) for p in todo}
+            left |= exits(_sorted(some(todo)), entries)
+        else:
+            chain, n = [todo[0]], links[todo[0]][2]
+            for p in order[order.index(todo[0]) + 1:]:
+                n += links[p][2]
+                if n > RANGE_ROWS or not (links[p][0] and links[p][1]):
+                    break
+                chain.append(p)
+            entries[chain[0]] = of(chain[0])
+            left |= exits(some(chain).coalesce(1).sortWithinPartitions("part", "key", "at"), entries, chained=True)
+            entries |= {p: of(p) for p in chain[1:]}
+        last = len(todo)
+    return {p: of(p) for p in order if of(p)}

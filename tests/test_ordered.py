@@ -108,7 +108,7 @@ def one_hot_key(spark, n):
     return rows, spark.createDataFrame(rows, "event_id LONG, s LONG, key STRING").withColumn("ts", F.timestamp_seconds("s"))
 
 
-@pytest.mark.parametrize("places, longest", [(1, 10**6), (1, 20)])
+@pytest.mark.parametrize("places, longest", [(1, 10**6), (1, 20), (3, 10**6), (3, 250)])
 def test_limiter_over_many_ranges_that_never_meet(spark, monkeypatch, places, longest):
     """Ranges follow the rows, not the limit of a hot key; jobs don't follow the ranges; what finds the entries is cleared."""
     rows, df = one_hot_key(spark, 1500)
