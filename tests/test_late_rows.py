@@ -106,3 +106,23 @@ def test_the_session_keeps_its_state_store(spark):
     with ss.state_store(spark):
         assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == ss.ROCKSDB
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == before
+
+
+def grouped_by(stream):
+    """The plan above the watermark, with the columns that rows of keyed state are grouped by."""
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    return plan[:plan.index("EventTimeWatermark")]
+
+
+def test_downloads_expire_once(spark):
+    """Downloads of a shard share its state and one timer; equal times, nulls and a row whose time is over already each come out."""
+    path, schema = fresh(), "id long, created_at timestamp, size long"
+    parts = [[(1, 0, 10), (2, 0, None), (3, 30, 2**60 + 1), (4, 700, 5)], [(5, 650, 7), (6, 5000, 1)], [(7, 4990, 3)], [(8, 9000, 4)]]
+    for part in parts:
+        spark.createDataFrame([(i, moment(s), z) for i, s, z in part], schema).coalesce(1).write.mode("append").parquet(path)
+    stream = ss.download_expiry_stream(sq.stream_table(spark, path, max_files=1), 600, "60 seconds", shards=2)
+    assert "shard#" in grouped_by(stream)
+    got, dropped, _ = run(stream)
+    rows = sorted((tuple(r) for r in got), key=lambda r: (r[2], r[0]))
+    sizes = {1: 10, 2: None, 3: 2**60 + 1, 4: 5, 5: 7, 6: 1, 7: 3, 8: 4}
+    assert rows == [(i, sizes[i], "expired") for i in range(1, 8)] + [(i, sizes[i], "stored") for i in range(1, 9)] and not dropped
