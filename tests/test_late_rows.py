@@ -114,6 +114,22 @@ def grouped_by(stream):
     return plan[:plan.index("EventTimeWatermark")]
 
 
+def test_keys_of_the_limiter_are_dealt_to_shards(spark):
+    """A key of its own costs calls to the store in every micro-batch; keys that share a shard are still decided alone."""
+    rng = random.Random(8)
+    rows = [(i, rng.randrange(20_000), rng.choice([None, *range(90)])) for i in range(900)]
+    want = {tuple(r) for r in limits.rate_limit_decisions(batch(spark, rows, "key long"), 2, 3000).collect()}
+    stream = ss.rate_limit_stream(arriving_keys(spark, rows), 2, 3000, f"{LATE} seconds", shards=3)
+    assert "shard#" in grouped_by(stream)
+    got, dropped, left = run(stream)
+    assert {tuple(r) for r in got} == want and len(got) == len(rows) and not dropped
+    assert left <= 4
+
+
+def arriving_keys(spark, rows):
+    return arriving(spark, [(i, s, None if k is None else str(k)) for i, s, k in rows], "key string", 4, 9000).withColumn("key", F.expr("try_cast(key AS long)"))
+
+
 def test_downloads_expire_once(spark):
     """Downloads of a shard share its state and one timer; equal times, nulls and a row whose time is over already each come out."""
     path, schema = fresh(), "id long, created_at timestamp, size long"
