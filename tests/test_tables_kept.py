@@ -137,3 +137,21 @@ def test_threads_clear_their_own_tables(spark):
     done.set()
     thread.join()
     assert result == {"rows": 5, "cleared": 1} and here.count() == 3
+
+
+def test_arrivals_of_a_stream_are_bounded_in_rows(spark):
+    """A micro-batch is one arrival, and waits in the state of its keys: larger tables make more of them, not larger ones."""
+    from disarm.plans.catalog import _shuffled
+
+    rows = spark.range(1000).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 864).alias("ts"))
+    stream = _shuffled(spark, rows, rows_each=100)
+    sizes, ids = [], []
+
+    def count(batch, _):
+        found = [r.event_id for r in batch.select("event_id").collect()]
+        sizes.append(len(found))
+        ids.extend(found)
+
+    stream.writeStream.foreachBatch(count).option("checkpointLocation", tempfile.mkdtemp(prefix="spark-")).trigger(availableNow=True).start().awaitTermination()
+    assert len(sizes) >= 10 and max(sizes) <= 130
+    assert sorted(i for i in ids if i is not None) == list(range(1000))
