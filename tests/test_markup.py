@@ -47,3 +47,31 @@ def test_nothing_is_shuffled(spark):
     frame = spark.createDataFrame([("f", b"<svg/>")], "file_id string, content binary")
     for df in (inspect_markup(frame), strip_markup(frame), markup_findings(frame)):
         assert "Exchange" not in df._jdf.queryExecution().toString()
+
+
+def test_a_token_takes_few_bytes_in_python():
+    """A batch of documents has millions of tokens; they are kept by column, not as an object each."""
+    import tracemalloc
+
+    from disarm.functions import tags
+
+    data, n = b"<p a='1'>x</p>" * 20_000, 40_000
+    tracemalloc.start()
+    into = tags._Columns()
+    tags._read(data, frozenset(), frozenset(), 10**6, into)
+    made = into.arrow()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(made.field("tokens")[0]) == n and peak < 100 * n
+
+
+def test_documents_of_a_batch_keep_their_tokens():
+    from disarm.functions import tags
+
+    into = tags._Columns()
+    for data in (b"<a>x</a>", b"<b><b><b><b>", b"", b"<c/>tail"):
+        tags._read(data, frozenset(["a"]), frozenset(), 3, into)
+    got = into.arrow().to_pylist()
+    assert [t and [(x["kind"], x["element"], x["start"], x["length"], x["opens"]) for x in t] for t in (g["tokens"] for g in got)] == [
+        [("start", "a", 0, 3, True), ("end", "a", 4, 4, False)], None, [], [("empty", "c", 0, 4, False)]]
+    assert [g["n_tokens"] for g in got] == [3, 4, 0, 2] and [g["tail"] for g in got] == [8, None, 0, 4]
